@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagemill.llm.exact_dedup import exact_groups
 from pagemill.llm.packing import pack
+from pagemill.llm.simhash import fingerprint_groups
 from pagemill.llm.token_counts import token_counts
 from pagemill.session import table, workspace
 
@@ -21,6 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -29,7 +34,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), workspace(spark, "token-cache"))
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op6_exact_dedup, op9_token_counts)}
+QUERIES = {q.__name__: q for q in (op1_packing, op3_simhash, op6_exact_dedup, op9_token_counts)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": r"""
