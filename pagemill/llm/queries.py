@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pagemill.llm.embedding_dedup import embedding_groups
 from pagemill.llm.exact_dedup import exact_groups
 from pagemill.llm.packing import pack
 from pagemill.llm.simhash import fingerprint_groups
+from pagemill.llm.suffix_dedup import remove_repeats
 from pagemill.llm.token_counts import token_counts
+from pagemill.llm.toxicity import fit, scores
+from pagemill.llm.warc import read_archives, write_archives
 from pagemill.session import table, workspace
 
 
@@ -22,23 +26,54 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_archives(table(spark, sf_dir, "pages"))
+    return read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), workspace(spark, "token-cache"))
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op3_simhash, op6_exact_dedup, op9_token_counts)}
+def held_out(doc_id):
+    """Rows whose labels are never learnt from."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    found = scores(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {q.__name__: q for q in (op1_packing, op2_suffix_dedup, op3_simhash, op4_warc, op6_exact_dedup, op7_embedding_dedup, op9_token_counts, op10_toxicity)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
         r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY cp DESC, doc_id) AS rn, count(*) OVER (PARTITION BY t) AS c, first_value(doc_id) OVER (PARTITION BY t ORDER BY cp DESC, doc_id) AS k FROM n)
         SELECT doc_id, k AS keep_id, c AS group_size, rn = 1 AS kept, sha256(t) AS text_sha256 FROM r""",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+        d AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS last_id FROM p),
+        b AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: CASE substr(h, i::INT, 1) WHEN '0' THEN '0000' WHEN '1' THEN '0001' WHEN '2' THEN '0010' WHEN '3' THEN '0011' WHEN '4' THEN '0100' WHEN '5' THEN '0101' WHEN '6' THEN '0110' WHEN '7' THEN '0111' WHEN '8' THEN '1000' WHEN '9' THEN '1001' WHEN 'a' THEN '1010' WHEN 'b' THEN '1011' WHEN 'c' THEN '1100' WHEN 'd' THEN '1101' WHEN 'e' THEN '1110' ELSE '1111' END), 'string_agg', '') AS bits FROM d)
+        SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + 16 * substr(bits, (5 * i + 1)::INT, 1)::INT + 8 * substr(bits, (5 * i + 2)::INT, 1)::INT + 4 * substr(bits, (5 * i + 3)::INT, 1)::INT + 2 * substr(bits, (5 * i + 4)::INT, 1)::INT + substr(bits, (5 * i + 5)::INT, 1)::INT)::INT, 1)), 'string_agg', '') AS payload_digest,
+          CASE WHEN page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last_id THEN last_id END AS refers_to FROM b""",
 }

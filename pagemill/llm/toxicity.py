@@ -50,10 +50,10 @@ class SubwordModel:
         return float(self.margins[ngram_buckets(word, len(self.margins))].mean())
 
 
-def train(texts: list[str], toxic: np.ndarray, prior: float, buckets: int = 1 << 17, dim: int = 8, epochs: int = 40, rate: float = 0.05, scale: float = 20.0, decay: float = 1e-3, least_texts: int = 5, seed: int = 7) -> SubwordModel:
-    """Joint training by momentum over the whole sample; the bias is moved from the sample's balance to ``prior``.
+def train(texts: list[str], toxic: np.ndarray, prior: float, buckets: int = 1 << 17, dim: int = 8, epochs: int = 40, rate: float = 0.05, scale: float = 20.0, decay: float = 1e-3, damping: float = 0.3, least_texts: int = 5, seed: int = 7) -> SubwordModel:
+    """Joint training by Adam over the whole sample; the bias is moved from the sample's balance to ``prior``.
 
-    Steps are scaled by the gradients' size over all of a parameter, so what rarely or evenly occurs hardly moves.
+    ``damping`` adds the gradients' size over all of a parameter to that of each number: what rarely occurs moves less.
 
     Only buckets met in ``least_texts`` texts have a vector; those of the others are zero. ``scale`` multiplies the mean
     of a text's words, which is small where few of them matter.
@@ -102,7 +102,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, buckets: int = 1 <<
     vectors = rng.uniform(-1, 1, (len(used), dim)).astype(np.float32) / dim
     head, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     params = [vectors, head, bias]
-    first, second = [np.zeros_like(p) for p in params], [0.0] * len(params)
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     target = np.stack([1 - toxic, toxic], axis=1).astype(np.float32)
     for epoch in range(1, epochs + 1):
         mean = to_texts(to_words(vectors))
@@ -110,11 +110,11 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, buckets: int = 1 <<
         odds = np.exp(logits - logits.max(axis=1, keepdims=True))
         error = (odds / odds.sum(axis=1, keepdims=True) - target) / len(texts)
         grads = [to_grams(from_texts(error @ head.T)), mean.T @ error, error.sum(axis=0)]
-        for i, (p, g, m) in enumerate(zip(params, grads, first, strict=True)):
+        for p, g, m, v in zip(params, grads, first, second, strict=True):
             m += 0.1 * (g - m)
-            second[i] += 0.02 * (float((g * g).mean()) - second[i])
-            size = np.sqrt(second[i] / (1 - 0.98**epoch)) + 1e-12
-            p -= rate * (m / (1 - 0.9**epoch) / size + decay * p)
+            v += 0.01 * (g * g - v)
+            size = np.sqrt(v / (1 - 0.99**epoch))
+            p -= rate * (m / (1 - 0.9**epoch) / (size + damping * np.sqrt((size * size).mean()) + 1e-12) + decay * p)
     margins = np.zeros(buckets, np.float32)
     margins[used] = scale * vectors @ (head[:, 1] - head[:, 0])
     sampled = toxic.mean()
