@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pagemill.llm.embedding_dedup import embedding_groups
 from pagemill.llm.exact_dedup import exact_groups
 from pagemill.llm.packing import pack
+from pagemill.llm.passages import near_passages
 from pagemill.llm.simhash import fingerprint_groups
 from pagemill.llm.suffix_dedup import remove_repeats
 from pagemill.llm.token_counts import token_counts
@@ -21,9 +22,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_columns(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), derive={"ids_crc32": F.crc32("ids")}, keep_ids=False)
-    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return op1_columns(pieces)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +44,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -63,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_suffix_dedup, op3_simhash, op4_warc, op6_exact_dedup, op7_embedding_dedup, op9_token_counts, op10_toxicity)}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_suffix_dedup, op3_simhash, op4_warc, op5_passages, op6_exact_dedup, op7_embedding_dedup, op9_token_counts, op10_toxicity)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": r"""

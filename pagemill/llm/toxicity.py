@@ -50,7 +50,7 @@ class SubwordModel:
         return float(self.margins[ngram_buckets(word, len(self.margins))].mean())
 
 
-def train(texts: list[str], toxic: np.ndarray, prior: float, buckets: int = 1 << 17, dim: int = 8, epochs: int = 40, rate: float = 0.05, scale: float = 20.0, decay: float = 1e-3, damping: float = 0.3, least_texts: int = 5, seed: int = 7) -> SubwordModel:
+def train(texts: list[str], toxic: np.ndarray, prior: float, buckets: int = 1 << 17, dim: int = 4, epochs: int = 60, rate: float = 0.3, scale: float = 60.0, decay: float = 1e-3, damping: float = 1.0, least_texts: int = 15, seed: int = 7) -> SubwordModel:
     """Joint training by Adam over the whole sample; the bias is moved from the sample's balance to ``prior``.
 
     ``damping`` adds the gradients' size over all of a parameter to that of each number: what rarely occurs moves less.
@@ -122,7 +122,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, buckets: int = 1 <<
     return SubwordModel(margins, float(bias[1] - bias[0] + moved))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, sample_bytes: int = 16384) -> SubwordModel | float:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 5000, sample_bytes: int = 8192) -> SubwordModel | float:
     """A model, or the constant score where one label is missing. ``labels``: doc_id, toxic."""
     fair = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
     fair = fair.where("toxic = most").select("doc_id", "toxic")
