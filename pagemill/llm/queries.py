@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pagemill.llm import sentencepiece_lattice
 from pagemill.llm.embedding_dedup import embedding_groups
 from pagemill.llm.exact_dedup import exact_groups
 from pagemill.llm.packing import pack
@@ -13,7 +14,7 @@ from pagemill.llm.suffix_dedup import remove_repeats
 from pagemill.llm.token_counts import token_counts
 from pagemill.llm.toxicity import fit, scores
 from pagemill.llm.warc import read_archives, write_archives
-from pagemill.session import table, workspace
+from pagemill.session import materialise, table, workspace
 
 
 def tokenizer_path(name: str) -> str:
@@ -56,6 +57,15 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and, from these again, the text: doc_id, n_pieces, ids_crc32, text_sha256 of the decoded text."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    coded = materialise(sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), path), "coded")
+    little = F.transform("ids", lambda i: F.concat(*(F.lpad(F.hex(F.shiftright(i, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4))))
+    texts = sentencepiece_lattice.decode(coded, path)
+    return coded.join(texts, "ref").select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.unhex(F.array_join(little, ""))).alias("ids_crc32"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), workspace(spark, "token-cache"))
 
@@ -72,7 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_suffix_dedup, op3_simhash, op4_warc, op5_passages, op6_exact_dedup, op7_embedding_dedup, op9_token_counts, op10_toxicity)}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_suffix_dedup, op3_simhash, op4_warc, op5_passages, op6_exact_dedup, op7_embedding_dedup, op8_sentencepiece, op9_token_counts, op10_toxicity)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": r"""
