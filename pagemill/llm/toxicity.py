@@ -16,6 +16,7 @@ is the share of toxic labels (0.5 if there are none); an empty table returns no
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -59,27 +60,35 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, buckets: int = 1 <<
     of a text's words, which is small where few of them matter.
     """
     vocabulary: dict[str, int] = {}
-    docs, cols = [], []
+    docs, cols = array("i"), array("i")
     for i, text in enumerate(texts):
         found = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
-        cols += found
-        docs += [i] * len(found)
+        cols.extend(found)
+        docs.extend([i] * len(found))
     doc, word = np.array(docs, np.int64), np.array(cols, np.int64)
+    del docs, cols
     per_doc = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
     key, count = np.unique(doc * len(vocabulary) + word, return_counts=True)
-    doc, word = np.divmod(key, max(len(vocabulary), 1))
+    doc, word = (x.astype(np.int32) for x in np.divmod(key, max(len(vocabulary), 1)))
     weight = (scale * count / per_doc[doc]).astype(np.float32)
-    grams = [ngram_buckets(w, buckets) for w in vocabulary]
-    sizes = np.array([len(g) for g in grams])
-    gram = np.fromiter((b for g in grams for b in g), np.int64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(grams)), sizes)
+    grams, sizes = array("i"), array("i")
+    for w in vocabulary:
+        own = ngram_buckets(w, buckets)
+        grams.extend(own)
+        sizes.append(len(own))
+    n_words = len(vocabulary)
+    del vocabulary, key, count
+    gram, sizes = np.array(grams, np.int32), np.array(sizes, np.int32)
+    del grams
+    owner = np.repeat(np.arange(n_words, dtype=np.int32), sizes)
 
     # texts that a bucket occurs in, counted by way of the words that hold it
-    texts_of_word = np.bincount(word, minlength=len(grams))
+    texts_of_word = np.bincount(word, minlength=n_words)
     met = np.bincount(gram, texts_of_word[owner], buckets)
     keep = met[gram] >= least_texts
     gram, owner = gram[keep], owner[keep]
     used, gram = np.unique(gram, return_inverse=True)
+    gram = gram.astype(np.int32)
     share = (1 / sizes).astype(np.float32)[owner]
 
     def pooled(index: np.ndarray, source: np.ndarray, factor: np.ndarray, n: int):
@@ -96,8 +105,8 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, buckets: int = 1 <<
 
         return run
 
-    to_words, to_grams = pooled(owner, gram, share, len(grams)), pooled(gram, owner, share, len(used))
-    to_texts, from_texts = pooled(doc, word, weight, len(texts)), pooled(word, doc, weight, len(grams))
+    to_words, to_grams = pooled(owner, gram, share, n_words), pooled(gram, owner, share, len(used))
+    to_texts, from_texts = pooled(doc, word, weight, len(texts)), pooled(word, doc, weight, n_words)
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1, 1, (len(used), dim)).astype(np.float32) / dim
     head, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
@@ -122,7 +131,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, buckets: int = 1 <<
     return SubwordModel(margins, float(bias[1] - bias[0] + moved))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 5000, sample_bytes: int = 8192) -> SubwordModel | float:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_bytes: int = 8192) -> SubwordModel | float:
     """A model, or the constant score where one label is missing. ``labels``: doc_id, toxic."""
     fair = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
     fair = fair.where("toxic = most").select("doc_id", "toxic")
