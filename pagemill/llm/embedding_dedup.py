@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -58,6 +57,36 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
         parent[moved], label = best[moved], low
 
 
+def _links(group: list[tuple], cosine: float, out: list[tuple]) -> None:
+    """Link counts (node, links, null) and forest edges (node, 0, other) of one pair of slices of a bucket."""
+    t, within = group[0][1], group[0][3] == group[0][4]
+    for dim in {len(g[9]) for g in group}:
+        same = [g for g in group if len(g[9]) == dim]
+        if len(same) < 2:
+            continue
+        unit = np.array([g[9] for g in same], np.float64)
+        unit /= np.abs(unit).max(axis=1, keepdims=True)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        near = unit @ unit.T >= cosine
+        np.fill_diagonal(near, False)
+        if not within:
+            side = np.array([g[5] for g in same])
+            near &= side[:, None] != side[None, :]
+        if not near.any():
+            continue
+        own = np.array([g[8] for g in same], np.int64)
+        for earlier in range(t):  # counted there
+            near &= own[:, None, earlier] != own[None, :, earlier]
+        links = near @ np.array([g[7] for g in same], np.int64)
+        out += [(same[i][6], int(links[i]), None) for i in np.nonzero(links)[0]]
+        out += [(same[i][6], 0, same[j][6]) for i, j in _forest(near)]
+
+
+def _found(out: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*out, strict=True) if out else [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "links", "other"])
+
+
 FOUND = "node long, links long, other long"
 
 
@@ -96,27 +125,25 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.93, tables: int = 28,
     body = classes.select("node", F.col("label").alias("own_label"), "embedding", "copies", "keys")
     keyed = keyed.join(body, (keyed["node"] == body["node"]) & (keyed["label"] == body["own_label"])).drop(body["node"]).drop("own_label")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, within = int(pdf["t"].iloc[0]), pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
-        out = []
-        for _, same in pdf.groupby(pdf["embedding"].map(len)):
-            unit = np.array(same["embedding"].tolist(), np.float64)
-            unit /= np.abs(unit).max(axis=1, keepdims=True)
-            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-            own = np.array(same["keys"].tolist(), np.int64)
-            side, node, copies = (same[c].to_numpy() for c in ("side", "node", "copies"))
-            near = unit @ unit.T >= cosine
-            np.fill_diagonal(near, False)
-            if not within:
-                near &= side[:, None] != side[None, :]
-            for earlier in range(t):  # counted there
-                near &= own[:, None, earlier] != own[None, :, earlier]
-            links = near @ copies
-            out += [(int(node[i]), int(links[i]), None) for i in np.nonzero(links)[0]]
-            out += [(int(node[i]), 0, int(node[j])) for i, j in _forest(near)]
-        return pd.DataFrame(out, columns=["node", "links", "other"]).astype({"other": "Int64"})
-
-    found = materialise(keyed.groupBy("label", "t", "key", "lo", "hi").applyInPandas(compare, FOUND), "vector-links")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][:5] != row[:5]:
+                    _links(held, cosine, out)
+                    held = []
+                held.append(row)
+            if len(out) > 50_000:
+                yield _found(out)
+                out = []
+        if held:
+            _links(held, cosine, out)
+        yield _found(out)
+
+    group = ["label", "t", "key", "lo", "hi"]
+    sorted_groups = keyed.select(*group, "side", "node", "copies", "keys", "embedding").repartition(*group).sortWithinPartitions(*group)
+    found = materialise(sorted_groups.mapInArrow(compare, FOUND), "vector-links")
     parts = connected_components(found.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("label", "embedding", "node", "copies").join(parts, "node", "left").join(counts, "node", "left")
