@@ -11,7 +11,6 @@ from pyspark.sql import Column, functions as F
 from pagemill.functions.patterns import ARTEFACT_LINES, PLAIN_QUOTES, QUOTES, STOPWORDS, WORD_TOKEN
 
 
-@F.pandas_udf("string")
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -23,7 +22,8 @@ def strip(text: Column) -> Column:
 
 def compatible(text: Column) -> Column:
     """NFKC. ASCII texts don't change under it: Python gets a null for them."""
-    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    nfkc = F.pandas_udf(_nfkc, "string")
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def plain_quotes(text: Column) -> Column:

@@ -93,22 +93,35 @@ def contradictions(chunks: DataFrame, semantic: DataFrame | None = None) -> Data
 
 
 def ambiguities(chunks: DataFrame, most: int = P.MOST_AMBIGUITIES) -> DataFrame:
-    """Vague words: the first of each (phrase, page), at most ``most`` a document in the order of chunk, rule and match."""
-    parts = []
-    for i, (phrase, category, severity, advice) in enumerate(P.AMBIGUITY_RULES):
-        parts.append(scan(chunks, rf"\b{phrase}\b", 0).select("doc_id", "page", F.struct("chunk_index", F.lit(i).alias("rule"), "match_index").alias("ord"), F.col("match").alias("phrase"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(advice).alias("recommendation")))
-    found = first_rows(reduce(DataFrame.unionByName, parts), ["doc_id", F.lower("phrase"), "page"], ["ord"])
+    """Vague words: the first of each (phrase, page), at most ``most`` a document in the order of chunk, rule and match.
+
+    The phrases don't overlap, so one pattern finds all of them in a pass.
+    """
+    any_phrase = "|".join(phrase for phrase, *_ in P.AMBIGUITY_RULES)
+    rules = F.create_map(*(x for i, (phrase, *rest) in enumerate(P.AMBIGUITY_RULES) for x in (F.lit(phrase), F.struct(F.lit(i).alias("rule"), *(F.lit(v).alias(k) for k, v in zip(("category", "severity", "recommendation"), rest, strict=True))))))
+    found = scan(chunks, rf"\b(?:{any_phrase})\b", 0).select("doc_id", "page", "chunk_index", "match_index", F.col("match").alias("phrase"), F.element_at(rules, F.lower("match")).alias("r"))
+    found = found.select("doc_id", "page", F.struct("chunk_index", "r.rule", "match_index").alias("ord"), "phrase", "r.category", "r.severity", "r.recommendation")
+    found = first_rows(found, ["doc_id", F.lower("phrase"), "page"], ["ord"])
     return found.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).where(F.col("_n") <= most).drop("_n")
 
 
+def scan_rules(chunks: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Matches of several patterns (kind, flags, pattern; one group) in one pass over the table.
+
+    doc_id, page, ord (chunk_index, rule, match_index), kind, match, value (the group, upper case).
+    """
+    parts = []
+    for i, (kind, flags, p) in enumerate(rules):
+        row = lambda m, k, i=i, kind=kind: F.struct(F.lit(i).alias("rule"), k.alias("match_index"), F.lit(kind).alias("kind"), m["match"].alias("match"), F.upper(strip(m["g1"])).alias("value"))
+        parts.append(F.transform(matches(F.col("text"), java(p, flags), 1), row))
+    found = chunks.select("doc_id", "page", "chunk_index", F.explode(F.concat(*parts)).alias("m"))
+    return found.select("doc_id", "page", F.struct("chunk_index", "m.rule", "m.match_index").alias("ord"), "m.kind", "m.match", "m.value")
+
+
 def references(chunks: DataFrame) -> DataFrame:
     """Distinct references with VALID or BROKEN_REFERENCE, as their target is defined in the document or not."""
-    defined = [scan(chunks, p, 1, flags).select("doc_id", F.lit(kind).alias("kind"), F.upper(strip(F.col("g1"))).alias("value")) for kind, flags, p in P.DEFINITIONS]
-    defined = reduce(DataFrame.unionByName, defined).distinct().withColumn("known", F.lit(True))
-    used = []
-    for i, (kind, p) in enumerate(P.REFERENCES.items()):
-        used.append(scan(chunks, p, 1).select("doc_id", "page", F.struct("chunk_index", F.lit(i).alias("rule"), "match_index").alias("ord"), F.lit(kind).alias("kind"), F.col("match").alias("reference"), F.upper(strip(F.col("g1"))).alias("value")))
-    used = reduce(DataFrame.unionByName, used)
+    defined = scan_rules(chunks, P.DEFINITIONS).select("doc_id", "kind", "value").distinct().withColumn("known", F.lit(True))
+    used = scan_rules(chunks, [(kind, "i", p) for kind, p in P.REFERENCES.items()]).withColumnRenamed("match", "reference")
     used = first_rows(used, ["doc_id", F.lower("reference"), "kind", F.lower("value"), "page"], ["ord"])
     joined = used.join(defined, ["doc_id", "kind", "value"], "left")
     return joined.select("doc_id", "reference", F.concat_ws(" ", F.initcap("kind"), "value").alias("target"), "page", F.when(F.col("known"), "VALID").otherwise("BROKEN_REFERENCE").alias("status"), "ord")

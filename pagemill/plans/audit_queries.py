@@ -95,8 +95,8 @@ ENTITY_MERGE = """merged_ents AS (SELECT doc_id, type, arg_min(text, ord) AS ent
           list_sort(list(DISTINCT related) FILTER (lower(trim(related)) <> lower(trim(text)))) AS related FROM ents GROUP BY doc_id, lower(trim(text)), type)"""
 _MENTION = lambda t, p: f"SELECT doc_id, entity, ord, mp, unnest(generate_series(1, len(vs))) AS j, vs FROM (SELECT doc_id, entity, ord, m.page AS mp, m.snippet AS ms, regexp_extract_all(m.snippet, {quoted(p)}) AS vs FROM (SELECT *, unnest(mentions) AS m FROM merged_ents WHERE type = '{t}' AND len(mentions) >= 2))"
 ENTITY_CONFLICTS = f"""{ENTITY_MERGE}, seen AS ({_MENTION("MONEY", P.SNIPPET_MONEY)} UNION ALL {_MENTION("DATE", P.SNIPPET_DATE)}),
-        vals AS (SELECT doc_id, entity, ord, vs[j] AS val, min(row(mp, vs[j])) AS at, list(mp) AS ps FROM seen GROUP BY doc_id, entity, ord, vs[j]),
-        mention_conflicts AS (SELECT doc_id, entity, list(val ORDER BY at) AS vl, list_sort(list_distinct(flatten(list(ps)))) AS pages, ord FROM vals GROUP BY doc_id, entity, ord HAVING count(*) >= 2),
+        vals AS (SELECT doc_id, entity, ord, vs[j] AS val, min(row(mp, vs[j])) AS seen_at, list(mp) AS ps FROM seen GROUP BY doc_id, entity, ord, vs[j]),
+        mention_conflicts AS (SELECT doc_id, entity, list(val ORDER BY seen_at) AS vl, list_sort(list_distinct(flatten(list(ps)))) AS pages, ord FROM vals GROUP BY doc_id, entity, ord HAVING count(*) >= 2),
         all_conflicts AS (SELECT doc_id, entity, value_a, value_b, pages, confidence, severity, 0 AS source, oa, ob FROM fact_conflicts UNION ALL SELECT doc_id, entity, vl[1], vl[2], pages, 0.8::DOUBLE, 'medium', 1, ord, 0 FROM mention_conflicts),
         entity_conflicts AS (SELECT doc_id, entity, value_a, value_b, pages, confidence, severity FROM all_conflicts QUALIFY row_number() OVER (PARTITION BY doc_id, lower(entity), least(lower(value_a), lower(value_b)), greatest(lower(value_a), lower(value_b)) ORDER BY source, oa, ob) = 1)"""
 _POINTS = lambda points, other: "CASE lower(severity) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in points.items()) + f" ELSE {points[other]} END"
