@@ -110,10 +110,11 @@ def scan_rules(chunks: DataFrame, rules: list[tuple[str, str, str]]) -> DataFram
 
     doc_id, page, ord (chunk_index, rule, match_index), kind, match, value (the group, upper case).
     """
-    parts = []
-    for i, (kind, flags, p) in enumerate(rules):
-        row = lambda m, k, i=i, kind=kind: F.struct(F.lit(i).alias("rule"), k.alias("match_index"), F.lit(kind).alias("kind"), m["match"].alias("match"), F.upper(strip(m["g1"])).alias("value"))
-        parts.append(F.transform(matches(F.col("text"), java(p, flags), 1), row))
+
+    def row(rule: int, kind: str):
+        return lambda m, k: F.struct(F.lit(rule).alias("rule"), k.alias("match_index"), F.lit(kind).alias("kind"), m["match"].alias("match"), F.upper(strip(m["g1"])).alias("value"))
+
+    parts = [F.transform(matches(F.col("text"), java(p, flags), 1), row(i, kind)) for i, (kind, flags, p) in enumerate(rules)]
     found = chunks.select("doc_id", "page", "chunk_index", F.explode(F.concat(*parts)).alias("m"))
     return found.select("doc_id", "page", F.struct("chunk_index", "m.rule", "m.match_index").alias("ord"), "m.kind", "m.match", "m.value")
 

@@ -26,16 +26,19 @@ def visible_workspaces(workspaces: DataFrame, memberships: DataFrame) -> DataFra
 
 def effective_roles(asked: DataFrame, workspaces: DataFrame, memberships: DataFrame) -> DataFrame:
     """``asked`` (user_id, workspace_id) with role: admin of an own one without organisation, else the membership's; else null."""
-    own = workspaces.select("workspace_id", "owner_id", "organization_id")
-    joined = asked.join(own, "workspace_id", "left").join(memberships.select("user_id", "organization_id", F.col("role").alias("member_role")), ["user_id", "organization_id"], "left")
-    role = F.when(F.col("organization_id").isNull(), F.when(F.col("owner_id") == F.col("user_id"), "admin")).otherwise(F.col("member_role"))
-    return joined.select("user_id", "workspace_id", role.alias("role"))
+    asked = asked.select(F.col("user_id").alias("asker"), F.col("workspace_id").alias("asked_id"))
+    own = workspaces.select(F.col("workspace_id").alias("own_id"), F.col("owner_id").alias("own_owner"), F.col("organization_id").alias("own_organization"))
+    roles = memberships.select(F.col("user_id").alias("member_id"), F.col("organization_id").alias("member_of"), F.col("role").alias("member_role"))
+    joined = asked.join(own, F.col("asked_id") == F.col("own_id"), "left")
+    joined = joined.join(roles, (F.col("asker") == F.col("member_id")) & (F.col("own_organization") == F.col("member_of")), "left")
+    role = F.when(F.col("own_organization").isNull(), F.when(F.col("own_owner") == F.col("asker"), "admin")).otherwise(F.col("member_role"))
+    return joined.select(F.col("asker").alias("user_id"), F.col("asked_id").alias("workspace_id"), role.alias("role"))
 
 
 def access_scope(documents: DataFrame, workspaces: DataFrame, memberships: DataFrame) -> DataFrame:
     """Documents (document_id, workspace_id) that each user may read, with their role."""
     seen = effective_roles(visible_workspaces(workspaces, memberships), workspaces, memberships)
-    return documents.join(seen, "workspace_id").select("user_id", "document_id", "workspace_id", "role")
+    return documents.select("document_id", "workspace_id").join(seen, "workspace_id").select("user_id", "document_id", "workspace_id", "role")
 
 
 def audit_report(log: DataFrame) -> tuple[DataFrame, DataFrame]:

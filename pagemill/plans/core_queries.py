@@ -356,6 +356,8 @@ _CHUNKS = rf"""WITH RECURSIVE {_CLEAN.removeprefix("WITH ")},
     ck AS (SELECT doc_id, idx AS chunk_index, 1 AS page, (p[j + 1] - p[i + 1])::INT AS token_count, i::INT AS first_sentence, (j - i)::INT AS n_sentences, array_to_string(s[i + 1:j], chr(10) || chr(10)) AS text FROM orbit JOIN ps USING (doc_id))"""
 _STATUS = "st AS (SELECT user_id AS document_id, (['" + "', '".join(workspace.PROGRESS) + f"'])[(event_id % {len(workspace.PROGRESS)} + 1)::INT] AS status, ts, event_id FROM events)"
 
+_NUMBER = lambda x: f"CASE WHEN abs({x} * 10 - round({x} * 10)) < 1e-9 THEN printf('%.1f', {x}) ELSE printf('%.2f', {x}) END"
+
 ORACLE_SQL = {
     "clean_pages": f"{_CLEAN} SELECT * FROM cl",
     "chunk_documents": f"{_CHUNKS} SELECT doc_id, chunk_index, page, token_count, first_sentence, n_sentences, length(text) AS n_chars, sha256(text) AS text_sha256 FROM ck",
@@ -392,7 +394,7 @@ ORACLE_SQL = {
     "recent_messages": "WITH k AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant', 'system') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5) SELECT conv_id AS session_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM k",
     "repeated_questions": "WITH l AS (SELECT user_id, floor(epoch(ts)) - lag(floor(epoch(ts))) OVER (PARTITION BY user_id, event_type ORDER BY floor(epoch(ts))) AS gap FROM events) SELECT user_id AS session_id, count(*) FILTER (gap <= 1800) AS reused, count(*) AS asked FROM l GROUP BY ALL",
     "rate_limit": "WITH n AS (SELECT event_id, user_id AS key, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND 1 PRECEDING) AS before FROM events) SELECT event_id, key, before, before < 3 AS admitted, greatest(0, 3 - before - 1)::INT AS remaining FROM n",
-    "latest_status": f"WITH {_STATUS}, g AS (SELECT document_id, arg_max(status, ts) AS status, epoch(max(ts))::BIGINT AS b, epoch(min(ts))::BIGINT AS a FROM (SELECT document_id, status, date_trunc('microsecond', ts) AS ts FROM st) GROUP BY ALL) SELECT document_id, status, CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in workspace.PROGRESS.items()) + " END AS progress, b - a AS seconds FROM g",
+    "latest_status": f"WITH {_STATUS}, g AS (SELECT document_id, arg_max(status, ts) AS status, floor(epoch(max(ts)))::BIGINT AS b, floor(epoch(min(ts)))::BIGINT AS a FROM (SELECT document_id, status, date_trunc('microsecond', ts) AS ts FROM st) GROUP BY ALL) SELECT document_id, status, CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in workspace.PROGRESS.items()) + " END AS progress, b - a AS seconds FROM g",
     "stage_seconds": f"WITH {_STATUS}, l AS (SELECT status, floor(epoch(lead(ts) OVER (PARTITION BY document_id ORDER BY ts)))::BIGINT - floor(epoch(ts))::BIGINT AS s FROM st) SELECT status, count(s) AS n, sum(s)::BIGINT AS seconds FROM l GROUP BY status",
     "usage_totals": "WITH u AS (SELECT conv_id AS session_id, role AS model, greatest(1, length(coalesce(text, '')) // 4) AS p, length(coalesce(text, '')) AS c FROM conversations) SELECT session_id, model, sum(p) AS prompt_tokens, sum(c) AS completion_tokens, sum(p + c) AS total_tokens FROM u GROUP BY ALL",
     "quality_report": f"{audit.EVERYTHING}, {audit.SCORES}, ch AS (SELECT concat('pack ', doc_id % 10) AS pack, score >= 20 AS passed FROM trust) SELECT pack, count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'FAIL' END AS status FROM ch GROUP BY pack",
@@ -400,4 +402,28 @@ ORACLE_SQL = {
     "upserted_chunks": "WITH r AS (SELECT o_orderkey AS chunk_id, o_custkey AS doc_id, CASE WHEN o_totalprice > 300000 THEN 'new' ELSE o_orderstatus END AS text FROM orders) SELECT text, count(*) AS n, sum(chunk_id) AS ids FROM r WHERE NOT (doc_id IN (1, 2, 3) AND text = 'new') GROUP BY text",
     "first_page": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 20",
     "stream_window_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "executive_summary": f"""{audit.EVERYTHING}, {audit.SCORES}, {_DEDUPED.removeprefix(_F + ", ")},
+        h1 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, concat_ws(' ', subject, predicate, value) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM dx) WHERE n <= 15 GROUP BY doc_id),
+        h2 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, summary AS x, row_number() OVER (PARTITION BY doc_id ORDER BY summary) AS n FROM merged) WHERE n <= 8 GROUP BY doc_id),
+        h3 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, concat('Broken reference: ', reference, ' -> ', target) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, rule, i) AS n FROM refs WHERE status = 'BROKEN_REFERENCE') WHERE n <= 8 GROUP BY doc_id),
+        h4 AS (SELECT doc_id, least(10, count(*)) AS v FROM matrix GROUP BY doc_id),
+        h5 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, concat(entity, ': ''', value_a, ''' vs ''', value_b, '''') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY entity, value_a, value_b) AS n FROM entity_conflicts) WHERE n <= 8 GROUP BY doc_id),
+        h6 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, concat('Ambiguity: ''', phrase, ''' (', category, ')') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, rule, i) AS n FROM vague) WHERE n <= 8 GROUP BY doc_id)
+        SELECT t.doc_id, concat('Executive summary of document ', t.doc_id, '. The document has a trust score of ', {_NUMBER("t.score")}, '% based on automated intelligence checks.') AS executive_summary,
+          coalesce(list_transform(h1.v, lambda f: concat('Fact: ', f)), ['No major facts extracted.']) AS key_findings, list_concat(coalesce(h3.v, []), coalesce(h6.v, [])) AS critical_risks,
+          coalesce(h2.v, ['No major contradictions found.']) AS major_contradictions, coalesce(h5.v, ['No major entity conflicts found.']) AS important_entities,
+          concat('Document contains ', coalesce(h4.v, 0), ' identified requirement tracking items.') AS requirements_overview,
+          concat('Evaluated trust score is ', {_NUMBER("t.score")}, '%: Contradiction health score is ', {_NUMBER("t.contradiction_health")}, '%. Reference integrity score is ', {_NUMBER("t.reference_integrity")}, '%.') AS trust_assessment,
+          ['Verify and repair identified broken references.', 'Clarify identified ambiguous terminology.'] AS recommended_actions
+        FROM trust t LEFT JOIN h1 USING (doc_id) LEFT JOIN h2 USING (doc_id) LEFT JOIN h3 USING (doc_id) LEFT JOIN h4 USING (doc_id) LEFT JOIN h5 USING (doc_id) LEFT JOIN h6 USING (doc_id)""",
+    "review_report": f"""{audit.EVERYTHING}, {audit.SCORES},
+        h3 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, concat(reference, ' -> ', target, ' (Page ', page, ')') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, rule, i) AS n FROM refs WHERE status = 'BROKEN_REFERENCE') WHERE n <= 8 GROUP BY doc_id),
+        h5 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, concat(entity, ': ''', value_a, ''' vs ''', value_b, '''') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY entity, value_a, value_b) AS n FROM entity_conflicts) WHERE n <= 8 GROUP BY doc_id),
+        h6 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, concat('''', phrase, ''' (', category, ') on Page ', page) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, rule, i) AS n FROM vague) WHERE n <= 8 GROUP BY doc_id),
+        al AS (SELECT t.doc_id, coalesce(h3.v, []) AS b, coalesce(h5.v, []) AS c, coalesce(h6.v, []) AS a FROM trust t LEFT JOIN h3 USING (doc_id) LEFT JOIN h5 USING (doc_id) LEFT JOIN h6 USING (doc_id))
+        SELECT doc_id, ['Verify that all sections mentioned in references exist.'] AS reviewer_checklist,
+          CASE WHEN len(c) + len(a) > 0 THEN list_concat(list_transform(c, lambda x: concat('What is the correct value for entity: ', x, '?')), list_transform(a, lambda x: concat('Can we replace the ambiguous phrase ', x, ' with a concrete description?'))) ELSE ['Are there any outstanding project questions?'] END AS open_questions,
+          ['Confirm that all requirement trace targets are satisfied.'] AS compliance_concerns,
+          CASE WHEN len(c) + len(b) > 0 THEN list_concat(list_transform(c, lambda x: concat('Entity data clash: ', x)), list_transform(b, lambda x: concat('Broken internal reference: ', x))) ELSE ['No high-priority risks detected.'] END AS risk_items,
+          CASE WHEN len(c) + len(b) > 0 THEN list_concat(list_transform(c, lambda x: concat('Resolve conflict: ', x, '.')), list_transform(b, lambda x: concat('Check broken reference: ', x))) ELSE ['Verify text contents.'] END AS verification_tasks FROM al""",
 }
