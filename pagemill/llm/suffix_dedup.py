@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagemill.session import discard, materialise, ship_code
 
-PART = 4 << 20
+PART = 1 << 20
 POSITION = np.uint64((1 << 27) - 1)
 ANCHORS = "ref long, batch int, key long, content long, start int, strings int, anchor int"
 
