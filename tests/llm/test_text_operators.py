@@ -199,7 +199,7 @@ def test_toxicity(spark, docs):
 
     rng = random.Random(8)
     clean = lambda n: " ".join("".join(rng.choice("aeionrst") for _ in range(5)) for _ in range(n))
-    given = [(i, f"{clean(20)} zork{clean(1)} {clean(20)}" if i % 3 == 0 else clean(42)) for i in range(1800)]
+    given = [(i, f"{clean(20)} zork{clean(1)} {clean(10)} zork{clean(1)} zork{clean(9)}" if i % 3 == 0 else clean(42)) for i in range(1800)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1800) if crc32(str(i).encode()) % 5], "doc_id long, toxic int")
     model = fit(docs(given), labels)
     out = {r.doc_id: r.score for r in scores(docs([*given, (9000, None), (9001, "")]), model).collect()}
