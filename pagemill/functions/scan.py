@@ -10,21 +10,31 @@ def java(pattern: str, flags: str = "i") -> str:
     return f"(?{flags}dU){pattern}"
 
 
+BREAK, FIELD = "\x01", "\x02"
+
+
 def matches(text: Column, pattern: str, groups: int = 0) -> Column:
     """array<struct<start, match, g1...>>: the non-overlapping matches of a Java ``pattern``, left to right.
 
-    ``start`` counts characters from 0. Matches must not be empty. Offsets come from the pieces between the matches: one
-    fold adds up their lengths. Groups are read off the matches, which are short: ``pattern`` must match its own match the
-    same way, as it does unless it looks beyond its ends.
+    ``start`` counts characters from 0. The pattern runs once: a replacement sets each match and its groups between
+    control characters (those of a text become U+0004), and splitting on these gives gaps and matches in turn.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(found, F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("size")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.array_append(acc["starts"], acc["at"] + x["gap"]).alias("starts"))
-    starts = F.aggregate(lengths, begin, step, lambda acc: acc["starts"])
-    group = lambda g: F.transform(found, lambda m: F.regexp_extract(m, pattern, g))
-    parts = [starts.alias("start"), found.alias("match"), *(group(g).alias(f"g{g}") for g in range(1, groups + 1))]
-    return F.arrays_zip(*parts)
+    fields = "".join(f"{FIELD}${g}" for g in range(1, groups + 1))
+    plain = F.translate(text, BREAK + FIELD, "\x04\x04")
+    parts = F.split(F.regexp_replace(plain, pattern, f"{BREAK}$0{fields}{BREAK}"), BREAK, -1)
+    # odd parts are matches; a fold adds up what lies before each
+    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<start:int,part:string>>").alias("found"))
+
+    def step(acc: Column, part: Column) -> Column:
+        size = F.length(F.substring_index(part, FIELD, 1))
+        found = F.when(acc["inside"], F.array_append(acc["found"], F.struct(acc["at"].alias("start"), part.alias("part")))).otherwise(acc["found"])
+        return F.struct((acc["at"] + size).alias("at"), (~acc["inside"]).alias("inside"), found.alias("found"))
+
+    def row(x: Column) -> Column:
+        cells = F.split(x["part"], FIELD, -1)
+        return F.struct(x["start"].alias("start"), cells[0].alias("match"), *(cells[g].alias(f"g{g}") for g in range(1, groups + 1)))
+
+    return F.transform(F.aggregate(parts, begin, step, lambda acc: acc["found"]), row)
 
 
 def snippet(text: Column, start: Column, size: Column, before: int, after: int) -> Column:
