@@ -178,6 +178,24 @@ def test_compact_windows():
         assert set(compact_windows(h, 5)) == want
 
 
+def test_compare_windows():
+    from pagemill.llm.passages import Part, compare, compare_wanted, shared_runs
+
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        a = rng.permutation(60_000)[:120].astype("<u2")
+        b = a.copy()
+        changed = rng.choice(np.delete(np.arange(120), 60), rng.integers(0, 40), replace=False)
+        b[changed] = 60_001 + np.arange(len(changed))
+        if rng.random() < 0.3:
+            b = np.insert(b, int(rng.integers(0, 61)), 65_000)
+        lead = int(np.flatnonzero(b == a[60])[0])
+        x, y = Part(1, 1, 60, 60, a.tobytes(), None, 46), Part(2, 2, lead, lead, b.tobytes(), None, 46)
+        want = shared_runs(x.shingles, y.shingles, 46, 0.8, 7)
+        assert compare(x, y, 46, 0.8, 7) == want
+        assert compare_wanted(x, y, 0.8) or not want
+
+
 def test_sentencepiece(docs):
     import sentencepiece
 
