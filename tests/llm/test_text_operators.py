@@ -232,3 +232,40 @@ def test_pipeline_registered():
     import corpus_pipeline
 
     assert len(corpus_pipeline.STAGES) == 5 and __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """run() against a brute force: repeated rows, ids shared by different texts, and rows without an id."""
+    import corpus_pipeline
+    from pagemill.llm.packing import pack
+    from pagemill.llm.toxicity import fit, scores
+
+    rng = random.Random(11)
+    some = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    toxic = lambda: f"{some(9)} zork zorks {some(3)} zorker zorky zork"
+    clean = [some(30) for _ in range(8)]
+    training = [(1000 + i, toxic() if i % 3 == 0 else some(17)) for i in range(240)]
+    given = training + [(1, clean[0]), (1, clean[0]), (2, clean[0]), (3, clean[1]), (3, toxic()), (4, clean[2]), (5, clean[2]), (5, clean[3]), (5, clean[3])]
+    given += [(None, toxic()), (None, clean[4]), (None, clean[4]), (None, clean[0]), (6, None), (None, "")]
+    passage = some(60)  # both ids of a pair also stand on a row of their own
+    given += [(7, f"{clean[5]} {passage} {some(40)}"), (8, f"{some(45)} {passage} {some(35)}"), (8, clean[6]), (None, f"{some(50)} {passage} {clean[7]}")]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in given], "doc_id long, text string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, int((i - 1000) % 3 == 0)) for i, _ in training], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    at = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(given)], "doc_id long, text string")
+    score = {given[r.doc_id]: r.score for r in scores(at, fit(docs, labels)).collect()}
+    seen, want = set(), []
+    for i, t in sorted(given, key=lambda x: (x[0] is None, x[0] or 0)):
+        if score[i, t] >= 0.5 or (t or "") in seen:
+            continue
+        seen.add(t or "")
+        if passage in (t or "") and i != 7:
+            head, tail = t.split(passage)
+            t = head + tail.lstrip()
+        want.append((i, t))
+    assert (None, clean[4]) in want and sum("zork" in (t or "") for _, t in want) < 8
+    wanted = spark.createDataFrame(want, "doc_id long, text string")
+    sums = lambda pieces: Counter((r.doc_id, r.doc_tokens) for r in pieces.where("start = 0").collect())
+    assert sums(corpus_pipeline.run(spark, str(tmp_path))) == sums(pack(wanted, tokenizer_path("word_bpe_49k.json")))
