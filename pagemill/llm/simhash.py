@@ -9,8 +9,11 @@ buckets take an exact way whose rows don't grow with the bucket: each emits its
 flipped; two differ in at most 2 bits if and only if they share such a point, and a point has 65 classes at most.
 
 :func:`similar_groups` is for whole texts of some similarity, where many bits differ: buckets come from blocks of a long
-fingerprint over word pairs, links from the Hamming distance of a long fingerprint over the shingles asked for. Pairs of
-large buckets are compared in slices, and only a spanning forest of the links leaves a task.
+fingerprint over word pairs and from min-hash bands of the shingles asked for. A loose Hamming limit on a long fingerprint
+over the distinct shingles sorts out what is far apart; it makes candidate groups, never a link. Pairs of large buckets are
+compared in slices, and only a spanning forest of the candidates leaves a task. The texts of a candidate group, one of
+each class, are then read again, and all its pairs within the limit are verified by the exact Jaccard similarity of their
+shingles, unless verified links already connect them.
 
 Cases: null and empty texts, and texts of white space, have fingerprint zero and are linked like any other; texts with
 fewer words than a shingle are one shingle; copies and repeated rows share a class; an empty table returns no rows; a
@@ -145,31 +148,89 @@ def _forest(bits: np.ndarray, limit: int, half: int | None) -> list[tuple[int, i
         parent[moved], label = best[moved], low
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 24, table_bits: int = 20, lanes: int = 8, pair_limit: int = 32, slice_rows: int = 512) -> DataFrame:
-    """(doc_id, component_id) of each row of ``docs``; texts that are close to one another share the smallest id.
+def min_bands(hashes: np.ndarray, bands: int, band_rows: int) -> np.ndarray:
+    """For each band, the least hashes under ``band_rows`` functions as one 64-bit key (signed)."""
+    out = np.zeros(bands, np.uint64)
+    for k in range(bands * band_rows if len(hashes) else 0):
+        h = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        least = (h ^ (h >> np.uint64(29))).min()
+        out[k // band_rows] = (out[k // band_rows] ^ least) * np.uint64(0x94D049BB133111EB)
+    return out.view(np.int64)
 
-    The shingles of two texts with Jaccard similarity J have cosine 2J/(1+J) if they differ in single places; a bit then
-    differs with probability arccos(cosine)/pi. A pair with J of 0.85 meets in a bucket with probability 0.99.
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sorted sets of hashes; 1 if both are empty."""
+    if not len(a) and not len(b):
+        return 1.0
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
+def verified_links(bits: np.ndarray, shingles: list[np.ndarray], limit: int, similarity: float, half: int | None) -> list[tuple[int, int]]:
+    """Pairs (i, j) of a spanning forest of the sets with the similarity or more. ``half``: only across that place.
+
+    Pairs come by Hamming distance, nearest first; those beyond ``limit`` or already connected aren't verified.
+    """
+    n = len(bits)
+    distance = np.zeros((n, n), np.int32)
+    for lane in range(bits.shape[1]):
+        distance += np.bitwise_count(bits[:, None, lane] ^ bits[None, :, lane])
+    near = np.triu(distance <= limit, 1)
+    if half is not None:
+        near[:half, :half] = False
+        near[half:, half:] = False
+    left, right = np.nonzero(near)
+    order = np.argsort(distance[left, right], kind="stable")
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    links = []
+    for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
+        a, b = find(i), find(j)
+        if a == b:
+            continue
+        sizes = len(shingles[i]), len(shingles[j])
+        if min(sizes) >= similarity * max(sizes) and jaccard(shingles[i], shingles[j]) >= similarity:
+            root[max(a, b)] = min(a, b)
+            links.append((i, j))
+    return links
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 24, table_bits: int = 20, lanes: int = 8, pair_limit: int = 32, slice_rows: int = 512, bands: int = 16, band_rows: int = 5, slice_shingles: int = 1 << 21) -> DataFrame:
+    """(doc_id, component_id) of each row of ``docs``; texts linked by pairs of the similarity share the smallest id.
+
+    Two texts with Jaccard similarity J of their distinct shingles meet in a band with probability 1 - (1 - J**5)**16:
+    0.998 at 0.8, wherever they differ. The cosine of their shingles is 2J/(1+J) or more and a bit differs with
+    probability arccos(cosine)/pi at most; the limit lies 6 standard deviations above that, for sets so small that bits tie.
     """
     spark = docs.sparkSession
     ship_code(spark)
-    limit = math.floor(64 * lanes * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    limit = math.floor(64 * lanes * differs + 6 * math.sqrt(64 * lanes * differs * (1 - differs)))
     key_lanes = -(-tables * table_bits // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits, keys = [], []
-            for t in batch.column(1):
+            bits, keys, sizes = [], [], []
+            for t in batch.column(2):
                 w = _words(t.as_py())
-                bits.append(majority(shingle_hashes(w, words), lanes).tobytes())
+                distinct = np.unique(shingle_hashes(w, words))
+                bits.append(majority(distinct, lanes).tobytes())
                 own = np.unpackbits(majority(shingle_hashes(w, 2), key_lanes).view(np.uint8))[: tables * table_bits].reshape(tables, table_bits)
-                keys.append(own @ (1 << np.arange(table_bits)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "bits", "keys"])
+                keys.append(np.concatenate([own @ (1 << np.arange(table_bits)), min_bands(distinct, bands, band_rows)]))
+                sizes.append(len(distinct))
+            columns = [batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sign", "bits", "keys", "n_shingles"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, bits binary, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sign"), "text")
+    found = rows.mapInArrow(run, "doc_id long, sign long, bits binary, keys array<long>, n_shingles long")
     found = materialise(found, "long-fingerprints")
-    classes = found.groupBy("bits").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys"))
-    classes = materialise(classes, "long-classes")
+    classes = found.groupBy("bits").agg(F.min(F.struct("doc_id", "sign")).alias("least"), F.min("doc_id").alias("node"), F.min("keys").alias("keys"), F.max("n_shingles").alias("n_shingles"))
+    classes = materialise(classes.select("node", F.when(F.col("least.doc_id") == F.col("node"), F.col("least.sign")).alias("sign"), "bits", "keys", "n_shingles"), "long-classes")
     keyed = classes.select("node", F.posexplode("keys").alias("t", "key"))
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keyed = materialise(keyed.join(sizes, ["t", "key"]), "long-buckets")
@@ -202,7 +263,48 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tab
     hot = hot.select("t", "key", "node", "own", F.explode(mates).alias("m")).select("t", "key", "m.lo", "m.hi", "node", F.when(F.col("own") == F.col("m.lo"), 0).otherwise(1).alias("side"))
     forest = hot.join(bits, "node").groupBy("t", "key", "lo", "hi").applyInPandas(compare, "src long, dst long")
 
-    parts = connected_components(links.unionByName(forest))
+    # all of a candidate group is compared, in slices of bounded rows and shingles
+    groups = connected_components(links.unionByName(forest)).withColumnRenamed("component", "part")
+    members = classes.select("node", "sign", "n_shingles").join(groups, "node")
+    slices = members.groupBy("part").agg(F.ceil(F.greatest(F.count(F.lit(1)) / slice_rows, F.sum("n_shingles") / slice_shingles)).alias("slices"))
+    members = members.join(slices, "part").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            held = [np.unique(shingle_hashes(_words(t.as_py()), words)) for t in batch.column(at)]
+            bits = pa.array([majority(h, lanes).tobytes() for h in held], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(at)), bits, pa.array([h.tobytes() for h in held], pa.binary())], ["node", "part", "slices", "own", "bits", "shingles"])
+
+    texts = rows.join(members.select("node", "sign", "part", "slices", "own").hint("shuffle_hash"), (F.col("doc_id") == F.col("node")) & rows["sign"].eqNullSafe(members["sign"]))
+    texts = texts.select("node", "part", "slices", "own", "text").mapInArrow(sets, "node long, part long, slices long, own long, bits binary, shingles binary")
+    texts = materialise(texts, "candidate-shingles")
+    texts = texts.select("node", "part", "own", "bits", "shingles", F.explode(mates).alias("m"))
+    texts = texts.select("part", "m.lo", "m.hi", "node", F.when(F.col("own") == F.col("m.lo"), 0).otherwise(1).alias("side"), "bits", "shingles")
+    texts = texts.repartition("part", "lo", "hi").sortWithinPartitions("part", "lo", "hi", "side", "node")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}
+
+        def links_of() -> pa.RecordBatch:
+            first = sum(side == 0 for side, *_ in held.values())
+            nodes = list(held)
+            bits = np.frombuffer(b"".join(b for _, b, _ in held.values()), np.uint64).reshape(-1, lanes)
+            edges = verified_links(bits, [np.frombuffer(s, np.uint64) for *_, s in held.values()], limit, similarity, first if first < len(nodes) else None)
+            ends = ([nodes[e[k]] for e in edges] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["src", "dst"])
+
+        for batch in batches:
+            for part, lo, hi, node, side, bits, shingles in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if (part, lo, hi) != group:
+                    if len(held) > 1:
+                        yield links_of()
+                    group, held = (part, lo, hi), {}
+                held.setdefault(node, (side, bits, shingles))
+        if len(held) > 1:
+            yield links_of()
+
+    parts = connected_components(texts.mapInArrow(linked, "src long, dst long"))
     named = classes.select("bits", "node").join(parts, "node", "left")
     least = named.select("bits", F.coalesce("component", "node").alias("component_id"))
     return found.select("doc_id", "bits").join(least, "bits").select("doc_id", "component_id")

@@ -144,6 +144,27 @@ def test_similar_groups(docs):
         assert out == {i: i // 10 * 10 for i, _ in given}
 
 
+def test_similar_groups_block_edits(docs):
+    """Appended, truncated and replaced blocks at 0.8 to 0.9 are linked, those just under 0.8 aren't."""
+    from pagemill.llm.simhash import similar_groups
+
+    rng = random.Random(12)
+    some = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    given, near = [], {}
+    for k in range(120):
+        base, size = some(200), rng.randint(16, 68)
+        copy = [base + some(size), base[: 200 - size * 2 // 3], base[:90] + some(size // 2) + base[90 + size // 2 :]][k % 3]
+        a, b = shingles(base), shingles(copy)
+        given += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        near[2 * k + 1] = len(a & b) / len(a | b) >= 0.8
+    assert 30 < sum(near.values()) < 115
+    for limit, rows in ((32, 512), (1, 2)):
+        out = {r.doc_id: r.component_id for r in similar_groups(docs(given), pair_limit=limit, slice_rows=rows).collect()}
+        assert {i for i in near if out[i] != i and not near[i]} == set()
+        assert sum(out[i] == i - 1 for i in near if near[i]) >= sum(near.values()) - 1
+
+
 def test_passages(docs):
     from pagemill.llm.passages import near_passages, without_passages
 
