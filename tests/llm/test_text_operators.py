@@ -217,6 +217,20 @@ def test_compare_windows():
         assert compare_wanted(x, y, 0.8) or not want
 
 
+def test_compare_group_chain():
+    """c is near b but not a, and b is near a: c's passage is found in b."""
+    from pagemill.llm.passages import Part, compare_group
+
+    a = np.arange(100).astype("<u2")
+    b, c = a.copy(), a.copy()
+    b[5:95:10] = 1000 + np.arange(9)
+    c[5:95:10] = b[5:95:10]
+    c[8:98:10] = 2000 + np.arange(9)
+    parts = [Part(k, k, 50, 50, x.tobytes(), None, 46) for k, x in enumerate((a, b, c), 1)]
+    found = {(r[0], r[1]) for r in compare_group(parts, 46, 0.8, 7)}
+    assert found == {(2, 1), (3, 2)}
+
+
 def test_sentencepiece(docs):
     import sentencepiece
 
