@@ -217,6 +217,35 @@ def test_compare_windows():
         assert compare_wanted(x, y, 0.8) or not want
 
 
+def test_compare_wide_gaps():
+    """Windows with phrases replaced, against brute force over all pairs of their runs that begin and end alike."""
+    from pagemill.llm.passages import Part, compare, widest_gap
+
+    rng = np.random.default_rng(13)
+    hits = 0
+    for k in range(150):
+        n = int(rng.integers(60, 76))
+        a = rng.permutation(60_000)[:n].astype("<u2")
+        at = int(rng.integers(5, n - 20))
+        gone, new = int(rng.integers(5, 16)), int(rng.integers(5, 16))
+        b = np.concatenate([a[:at], 60_001 + np.arange(gone if k % 2 else new), a[at + gone :]]).astype("<u2")
+        met = np.flatnonzero(np.isin(a, b))
+        lead = int(met[rng.integers(len(met))])
+        x, y = Part(1, 1, lead, lead, a.tobytes(), None, 46), Part(2, 2, 0, int(np.flatnonzero(b == a[lead])[0]), b.tobytes(), None, 46)
+        found = compare(x, y, 46, 0.8, 7, widest_gap(a, b, 0.8))
+        total = np.zeros((len(a) + 1, len(b) + 1), np.int64)
+        total[1:, 1:] = (a[:, None] == b[None, :]).cumsum(0).cumsum(1)
+        i0, i1 = np.array([(i, e) for i in range(len(a)) for e in range(i + 46, len(a) + 1)]).T
+        j0, j1 = np.array([(j, e) for j in range(len(b)) for e in range(j + 46, len(b) + 1)]).T
+        common = total[i1][:, j1] - total[i0][:, j1] - total[i1][:, j0] + total[i0][:, j0]
+        score = common / ((i1 - i0)[:, None] + (j1 - j0)[None, :] - common)
+        alike = (a[i0][:, None] == b[j0][None, :]) & (a[i1 - 1][:, None] == b[j1 - 1][None, :])
+        best = common[alike & (score >= 0.8)].max(initial=0)
+        assert (max((total[m[1], m[3]] - total[m[0], m[3]] - total[m[1], m[2]] + total[m[0], m[2]] for m in found), default=0)) == best
+        hits += best > 0
+    assert 30 < hits < 150
+
+
 def test_compare_group_chain():
     """c is near b but not a, and b is near a: c's passage is found in b."""
     from pagemill.llm.passages import Part, compare_group
