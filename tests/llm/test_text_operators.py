@@ -184,6 +184,23 @@ def test_passages(docs):
     assert near_passages(docs([])).count() == 0
 
 
+def test_passages_recall(docs):
+    """Passages of 50 words with one replaced (similarity 41/51), each in two texts, are found with the default functions."""
+    from pagemill.llm.passages import near_passages
+
+    rng = random.Random(14)
+    some = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    given = []
+    for k in range(400):
+        shared = some(50)
+        near = [*shared[:25], *some(1), *shared[26:]]
+        given += [(2 * k, " ".join(some(20) + shared + some(30))), (2 * k + 1, " ".join(some(35) + near + some(15)))]
+    found = {(r.doc_id, r.other_id) for r in near_passages(docs(given)).collect()}
+    assert found <= {(2 * k + 1, 2 * k) for k in range(400)}
+    print("recall", len(found) / 400)
+    assert len(found) >= 0.98 * 400
+
+
 def test_compact_windows():
     from pagemill.llm.passages import compact_windows
 
