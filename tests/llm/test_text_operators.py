@@ -175,8 +175,8 @@ def test_passages(docs):
     given = [(i, " ".join(some(40) + shared + some(30))) for i in range(1, 13)] + [(50, " ".join(some(400))), (51, None), (52, ""), (60, " ".join(some(80)))]
     given += [(61, given[-1][1]), (61, given[-1][1])]
     found = near_passages(docs(given)).collect()
-    spans = {r.doc_id: (r.first_word, r.end_word) for r in found if r.other_id == 1}
-    assert spans == {i: (40, 110) for i in range(2, 13)}
+    spans = {(r.doc_id, r.first_word, r.end_word) for r in found if 0 < r.other_id < r.doc_id < 13}
+    assert spans == {(i, 40, 110) for i in range(2, 13)}
     assert {(r.doc_id, r.other_id) for r in found if r.doc_id > 40} == {(61, 60)}
     left = {r.doc_id: r.text for r in without_passages(docs(given), near_passages(docs(given))).collect()}
     assert left[1] == given[0][1] and left[50] == given[12][1] and left[51] is None and left[61] == ""
@@ -201,55 +201,116 @@ def test_passages_recall(docs):
     assert len(found) >= 0.98 * 400
 
 
-def test_compact_windows():
-    from pagemill.llm.passages import compact_windows
+def test_passages_groups(docs):
+    """Texts that share a passage, each with another word in its middle, are all found, whatever the size of the group."""
+    from pagemill.llm.passages import near_passages
+
+    rng = random.Random(3)
+    some = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    for n in (40, 150, 400):
+        shared = some(60)
+        given = [(i, " ".join(some(30) + shared[:30] + some(1) + shared[31:] + some(30))) for i in range(n)]
+        found = {r.doc_id for r in near_passages(docs(given).repartition(3)).collect()}
+        print("recall in a group of", n, len(found) / (n - 1))
+        assert len(found) >= 0.98 * (n - 1)
+
+
+def test_passages_brute_force(docs):
+    """Random texts with repeated lines and phrases, chains of edits, clashing ids: against all pairs of texts."""
+    from pagemill.llm.passages import near_passages, run_hashes, shared_passages, word_values, WordHashes
+
+    rng = random.Random(15)
+    some = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
+    line, rows = some(12), []
+    for k in range(12):
+        text = some(rng.randint(70, 200))
+        for _ in range(rng.randint(2, 5)):
+            copy = list(text)
+            for _ in range(rng.randint(0, 6)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randint(0, 3)] = some(rng.randint(0, 3))
+            if rng.random() < 0.5:
+                text = copy  # a chain
+            at = rng.randrange(len(copy))
+            copy[at:at] = line * rng.randint(1, 4)
+            rows.append(" ".join(some(rng.randint(0, 40)) + copy + some(rng.randint(0, 40))))
+    rng.shuffle(rows)
+    given = [(i // 2 if i < 4 else i, t) for i, t in enumerate(rows)]
+    given += [(900, None), (901, ""), (902, " ".join(line)), (None, rows[0]), given[9], (903, rows[7] + " " + " ".join(line * 9))]
+    table, want, docs_found = WordHashes(), set(), set()
+    shingles = [(i, run_hashes(word_values(t.lower().encode(), table), 5)) for i, t in given if t and i is not None]
+    for x, (i, a) in enumerate(shingles):
+        for y, (j, b) in enumerate(shingles):
+            if x != y and (i, y) > (j, x) and i >= j and not (i == j and np.array_equal(a, b)) and shared_passages(a, b, 46, 0.8):
+                want.add((i, j))
+                docs_found.add(i)
+    out = near_passages(docs(given).repartition(4)).collect()
+    found = {r.doc_id for r in out}
+    assert {(r.doc_id, r.other_id) for r in out} <= want
+    print("recall of random texts", len(found & docs_found) / len(docs_found))
+    assert len(found & docs_found) >= 0.95 * len(docs_found)
+    runs, equal = {}, []
+    for i, t in sorted((i, t) for i, t in given if t and i is not None):
+        words = t.split()
+        for at in range(len(words) - 49):
+            if runs.setdefault(tuple(words[at : at + 50]), i) < i:
+                covered = np.zeros(len(words), bool)
+                for r in out:
+                    if r.doc_id == i:
+                        covered[r.first_word : r.end_word] = True
+                equal.append(covered[at : at + 50].all())
+    print("equal runs of 50 words covered", np.mean(equal), len(equal))
+    assert np.mean(equal) >= 0.97
+
+
+def test_passages_long_text(docs):
+    """A text of several parts, hashed alike wherever it is cut, and a passage at its end."""
+    from pagemill.llm.passages import near_passages
+
+    rng = random.Random(16)
+    some = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    shared, long = some(70), some(160_000)
+    given = [(1, " ".join(some(9) + shared)), (2, " ".join(long + shared)), (3, "x" + " ".join(long[70_000:])), (4, "y" * 300_000)]
+    found = {(r.doc_id, r.other_id): (r.first_word, r.end_word, r.similarity) for r in near_passages(docs(given)).collect()}
+    assert found == {(2, 1): (160_000, 160_070, 1.0), (3, 2): (1, 90_000, 1.0)}
+
+
+def test_window_minima(monkeypatch):
+    from pagemill.llm import passages
 
     rng = np.random.default_rng(2)
-    for _ in range(100):
-        h = rng.integers(0, 9, rng.integers(0, 40)).astype(np.uint64)
-        want = set()
-        for c in range(len(h)):
-            a = max((i + 1 for i in range(c) if h[i] <= h[c]), default=0)
-            b = min((i for i in range(c + 1, len(h)) if h[i] < h[c]), default=len(h))
-            if b - a >= 5:
-                want.add((a, c, b))
-        assert set(compact_windows(h, 5)) == want
-
-
-def test_compare_windows():
-    from pagemill.llm.passages import Part, compare, compare_wanted, shared_runs
-
-    rng = np.random.default_rng(7)
-    for _ in range(300):
-        a = rng.permutation(60_000)[:120].astype("<u2")
-        b = a.copy()
-        changed = rng.choice(np.delete(np.arange(120), 60), rng.integers(0, 40), replace=False)
-        b[changed] = 60_001 + np.arange(len(changed))
-        if rng.random() < 0.3:
-            b = np.insert(b, int(rng.integers(0, 61)), 65_000)
-        lead = int(np.flatnonzero(b == a[60])[0])
-        x, y = Part(1, 1, 60, 60, a.tobytes(), None, 46), Part(2, 2, lead, lead, b.tobytes(), None, 46)
-        want = shared_runs(x.shingles, y.shingles, 46, 0.8, 7)
-        assert compare(x, y, 46, 0.8, 7) == want
-        assert compare_wanted(x, y, 0.8) or not want
-
-
-def test_compare_wide_gaps():
-    """Windows with phrases replaced, against brute force over all pairs of their runs that begin and end alike."""
-    from pagemill.llm.passages import Part, compare, widest_gap
+    hashes = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    want = [i + int(hashes[i : i + 46].argmin()) for i in range(len(hashes) - 45)]
+    assert passages.window_minima(hashes, 46).tolist() == want
+    monkeypatch.setattr(passages, "POSITION", np.uint64(255))
+    assert passages.window_minima(hashes, 46).tolist() == want
+    assert passages.window_minima(hashes[:9], 46).tolist() == []
+
+
+def test_local_holders():
+    from pagemill.llm.passages import local_holders
+
+    place = lambda at, tag: at << 32 | tag
+    names = np.array([7, 7, 7, 8, 7])
+    docs, places = np.array([5, 3, 3, 3, 3]), np.array([place(1, 0), place(4, 9), place(3, 8), place(6, 9), place(5, 8)])
+    rows = list(zip(*(c.to_pylist() for c in local_holders(names, docs, places)), strict=True))
+    assert [r[:3] for r in rows if r[3] is None] == [(7, 3, place(3, 8)), (7, 3, place(5, 8)), (8, 3, place(6, 9))]
+    assert [r[1:] for r in rows if r[3] is not None] == [(3, place(4, 9), 3, place(3, 8)), (5, place(1, 0), 3, place(3, 8))]
+
+
+def test_shared_passages():
+    """Texts with phrases replaced, against brute force over all pairs of their runs that begin and end alike."""
+    from pagemill.llm.passages import shared_passages
 
     rng = np.random.default_rng(13)
     hits = 0
     for k in range(150):
         n = int(rng.integers(60, 76))
-        a = rng.permutation(60_000)[:n].astype("<u2")
+        a = rng.permutation(60_000)[:n].astype(np.uint64)
         at = int(rng.integers(5, n - 20))
         gone, new = int(rng.integers(5, 16)), int(rng.integers(5, 16))
-        b = np.concatenate([a[:at], 60_001 + np.arange(gone if k % 2 else new), a[at + gone :]]).astype("<u2")
-        met = np.flatnonzero(np.isin(a, b))
-        lead = int(met[rng.integers(len(met))])
-        x, y = Part(1, 1, lead, lead, a.tobytes(), None, 46), Part(2, 2, 0, int(np.flatnonzero(b == a[lead])[0]), b.tobytes(), None, 46)
-        found = compare(x, y, 46, 0.8, 7, widest_gap(a, b, 0.8))
+        b = np.concatenate([a[:at], 60_001 + np.arange(gone if k % 2 else new), a[at + gone :]]).astype(np.uint64)
+        found = shared_passages(a, b, 46, 0.8)
         total = np.zeros((len(a) + 1, len(b) + 1), np.int64)
         total[1:, 1:] = (a[:, None] == b[None, :]).cumsum(0).cumsum(1)
         i0, i1 = np.array([(i, e) for i in range(len(a)) for e in range(i + 46, len(a) + 1)]).T
@@ -263,20 +324,6 @@ def test_compare_wide_gaps():
     assert 30 < hits < 150
 
 
-def test_compare_group_chain():
-    """c is near b but not a, and b is near a: c's passage is found in b."""
-    from pagemill.llm.passages import Part, compare_group
-
-    a = np.arange(100).astype("<u2")
-    b, c = a.copy(), a.copy()
-    b[5:95:10] = 1000 + np.arange(9)
-    c[5:95:10] = b[5:95:10]
-    c[8:98:10] = 2000 + np.arange(9)
-    parts = [Part(k, k, 50, 50, x.tobytes(), None, 46) for k, x in enumerate((a, b, c), 1)]
-    found = {(r[0], r[1]) for r in compare_group(parts, 46, 0.8, 7)}
-    assert found == {(2, 1), (3, 2)}
-
-
 def test_sentencepiece(docs):
     import sentencepiece
 
