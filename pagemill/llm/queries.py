@@ -60,10 +60,8 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and, from these again, the text: doc_id, n_pieces, ids_crc32, text_sha256 of the decoded text."""
     path = tokenizer_path("piece_bpe_32k.model")
-    coded = materialise(sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), path), "coded")
-    little = F.transform("ids", lambda i: F.concat(*(F.lpad(F.hex(F.shiftright(i, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4))))
-    texts = sentencepiece_lattice.decode(coded, path)
-    return coded.join(texts, "ref").select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.unhex(F.array_join(little, ""))).alias("ids_crc32"), F.sha2("text", 256).alias("text_sha256"))
+    back = sentencepiece_lattice.decode(sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), path), path)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

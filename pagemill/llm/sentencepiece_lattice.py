@@ -1,14 +1,17 @@
 """SentencePiece encoding and decoding as a relational lattice (operator 8).
 
-Texts are split into words (a run of white-space marks and what follows up to the next mark; no piece of such a model
-reaches over that cut). For the distinct words, all substrings of at most the longest piece's length are exploded and
-equi-joined to the piece table, whose size is the model's; the matches are the lattice's edges. They are grouped by word
-and folded with the higher-order ``aggregate`` to the word's segmentation, which is joined back to the words of texts.
+Texts are split into words (a run of white-space marks and what follows up to the next mark), and these into fragments
+wherever no piece holds the two characters that meet: no segmentation depends on what lies beyond such a cut. A first
+pass counts the fragments of all texts. For the frequent ones, at most ``max_known`` (a fixed bound, found by counts in
+powers of two), all substrings of at most the longest piece's length are exploded and equi-joined to the piece table,
+whose size is the model's; the matches are the lattice's edges. They are grouped by fragment and folded with the
+higher-order ``aggregate`` to the fragment's segmentation. The result is broadcast, and a second pass over the texts puts
+ids together from it. Rare fragments, which no other task may hold, are folded where they are met, with a heap and to the
+same result; so no occurrence of a word is ever shuffled.
 
 The fold isn't Viterbi's: the vocabulary file at hand is a BPE model, where the best path by score isn't what the library
-returns. Each step of the fold merges the adjacent pair whose piece scores best (leftmost on ties), as the library does.
-Words of over ``fold_limit`` characters, for which steps times edges is too much, are merged with a heap instead, to the
-same result. Characters without a piece fall back to bytes.
+returns. Each step of the fold merges the adjacent pair whose piece scores best (leftmost on ties), as the library does;
+its state is a bit for each place where symbols meet. Characters without a piece fall back to bytes.
 
 Cases: null and empty texts have no pieces; long texts and words are handled whole; repeated rows return a row each; a
 null ``doc_id`` is carried; an empty table returns no rows; further columns are ignored. A mark (U+2581) in a text is
@@ -18,15 +21,19 @@ encoded like a space, so decoding returns a space.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from pagemill.session import materialise, ship_code
+from pagemill.session import discard, materialise, ship_code
 
 MARK = "▁"
 PIECES = "piece string, id int, score double, kind string"
+MAX_WORDS = 200_000
+FOLDED = 60  # characters of a fragment whose places fit a long
 
 
 def read_pieces(path: str) -> tuple[list[tuple], int]:
@@ -75,66 +82,147 @@ def heap_merge(word: str, pieces: dict[str, tuple[float, int]], first_byte: int)
     return ids
 
 
-def encode_words(words: DataFrame, model_path: str, fold_limit: int = 48) -> DataFrame:
-    """Distinct ``word`` -> word, ids."""
+def cut_pairs(pieces: list[str]) -> frozenset[str]:
+    """The pairs of neighbouring characters that some piece holds; a word can be cut between any others."""
+    return frozenset(p[i : i + 2] for p in pieces for i in range(len(p) - 1))
+
+
+def fragments(word: str, pairs: frozenset[str]) -> list[str]:
+    """A word cut wherever no piece holds the two characters that meet."""
+    cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs), len(word)]
+    return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def word_keys(text: str | None) -> list[str]:
+    """The words of a text, each without its first mark (spaces are marks, and one stands before the text)."""
+    if not text:
+        return []
+    keys = text.replace(MARK, " ").split(" ")
+    if "" not in keys:
+        return keys
+    out, marks = [], 0
+    for key in keys:
+        if key:
+            out.append(MARK * marks + key)
+        marks = 0 if key else marks + 1
+    return out + [MARK * (marks - 1)] if marks else out
+
+
+class WordIds(dict):
+    """Word without its first mark -> its ids as little-endian unsigned 32-bit bytes, for one task."""
+
+    def __init__(self, known: dict[str, bytes], pieces: dict[str, tuple[float, int]], pairs: frozenset[str], first_byte: int):
+        self.known, self.pieces, self.pairs, self.first_byte = known, pieces, pairs, first_byte
+
+    def fragment(self, part: str) -> bytes:
+        found = self.known.get(part)
+        return np.array(heap_merge(part, self.pieces, self.first_byte), "<u4").tobytes() if found is None else found
+
+    def __missing__(self, key: str) -> bytes:
+        ids = b"".join(map(self.fragment, fragments(MARK + key, self.pairs)))
+        if len(key) < 64:
+            if len(self) >= MAX_WORDS:
+                self.clear()
+            self[key] = ids
+        return ids
+
+
+def fragment_counts(docs: DataFrame, pairs: frozenset[str]) -> DataFrame:
+    """(fragment, n) over all texts of ``docs``; each task adds up its own first."""
+    shared = docs.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            found: Counter[str] = Counter()
+            for key, n in words.items():
+                for part in fragments(MARK + key, shared.value):
+                    found[part] += n
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["fragment", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                words.update(word_keys(text.as_py()))
+                if len(words) > MAX_WORDS:
+                    yield counted()
+        yield counted()
+
+    return docs.select("text").mapInArrow(run, "fragment string, n long").groupBy("fragment").agg(F.sum("n").alias("n"))
+
+
+def encode_fragments(words: DataFrame, model_path: str) -> DataFrame:
+    """Distinct ``word`` of at most ``FOLDED`` characters -> word, ids: the lattice and its fold."""
     spark = words.sparkSession
-    ship_code(spark)
     rows, first_byte = read_pieces(model_path)
     normal = [r for r in rows if r[3] == "normal"]
     longest = max(len(r[0]) for r in normal)
     table = F.broadcast(spark.createDataFrame(normal, PIECES).select("piece", "id", (-F.col("score")).alias("cost")))
 
     sized = words.select("word", F.length("word").alias("n"))
-    short = sized.where(F.col("n") <= fold_limit)
-    cells = short.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+    cells = sized.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     cells = cells.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s")))).alias("k"))
     edges = cells.select("word", "s", (F.col("s") + F.col("k")).alias("e"), F.substring("word", F.col("s") + 1, F.col("k")).alias("piece")).join(table, "piece")
-    lattice = edges.groupBy("word").agg(F.collect_list(F.struct("cost", "s", "e", "id")).alias("edges"))
-    lattice = short.join(lattice, "word", "left").select("word", "n", F.coalesce("edges", F.array().cast("array<struct<cost:double,s:int,e:int,id:int>>")).alias("edges"))
+    edge = F.expr("struct(cost, s, e, id, shiftleft(1L, s) | shiftleft(1L, e) AS ends, shiftleft(1L, e) - shiftleft(1L, s + 1) AS inner)")
+    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    lattice = sized.join(lattice, "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast(lattice.schema["edges"].dataType)))
     lattice = lattice.withColumn("merges", F.filter("edges", lambda x: x["e"] - x["s"] > 1))
-    folded = F.expr("""
-        aggregate(sequence(1, greatest(n - 1, 1)), sequence(0, n), (cuts, i) ->
-          aggregate(
-            array(array_min(filter(merges, m -> array_contains(cuts, m.s) AND array_position(cuts, m.s) + 2 = array_position(cuts, m.e)))),
-            cuts,
-            (old, m) -> if(m IS NULL, old, filter(old, c -> c <= m.s OR c >= m.e))))""")
-    bytes_of = "transform(sequence(1, octet_length(substring(word, cuts[i] + 1, 1))), b -> conv(substring(hex(encode(substring(word, cuts[i] + 1, 1), 'UTF-8')), 2 * b - 1, 2), 16, 10)::int + {0})".format(first_byte)
+    places = F.expr("""
+        aggregate(sequence(1, greatest(n - 1, 1)), shiftleft(1L, n + 1) - 1, (places, i) ->
+          places & ~coalesce(get(filter(merges, m -> (places & m.ends) = m.ends AND bit_count(places & m.inner) = 1), 0).inner, 0L))""")
+    cuts = F.expr("filter(sequence(0, n), c -> (shiftright(places, c) & 1L) = 1L)")
+    bytes_of = f"transform(sequence(1, octet_length(substring(word, cuts[i] + 1, 1))), b -> conv(substring(hex(encode(substring(word, cuts[i] + 1, 1), 'UTF-8')), 2 * b - 1, 2), 16, 10)::int + {first_byte})"
     ids = F.expr(f"flatten(transform(sequence(0, size(cuts) - 2), i -> coalesce(nullif(transform(filter(edges, x -> x.s = cuts[i] AND x.e = cuts[i + 1]), x -> x.id), array()), {bytes_of})))")
-    done = lattice.withColumn("cuts", folded).select("word", ids.alias("ids"))
-
-    pieces = spark.sparkContext.broadcast({p: (score, i) for p, i, score, _ in normal})
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"word": pdf["word"], "ids": [heap_merge(w, pieces.value, first_byte) for w in pdf["word"]]})
-
-    long = sized.where(F.col("n") > fold_limit).select("word").mapInPandas(merge, "word string, ids array<int>")
-    return done.unionByName(long)
-
-
-def split_words(text):
-    """The words of a text: marks for spaces, one before the text, each run of marks with what follows."""
-    marked = F.concat(F.lit(MARK), F.translate(text, " ", MARK))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(f"{MARK}+[^{MARK}]*"), F.lit(0)))
+    return lattice.withColumn("places", places).withColumn("cuts", cuts).select("word", ids.alias("ids"))
+
+
+def known_fragments(docs: DataFrame, model_path: str, pairs: frozenset[str], max_known: int) -> dict[str, bytes]:
+    """The ids of the frequent fragments of ``docs``, ``max_known`` at most."""
+    counts = materialise(fragment_counts(docs, pairs).where(F.length("fragment") <= FOLDED), "fragments")
+    level = F.floor(F.log2("n")).cast("int")
+    least = total = 0
+    for row in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # 64 rows at most
+        total += row["n"]
+        if total > max_known:
+            least = row["level"] + 1
+            break
+    coded = encode_fragments(counts.where(level >= least).select(F.col("fragment").alias("word")), model_path)
+    known = {r["word"]: np.array(r["ids"], "<u4").tobytes() for r in coded.toLocalIterator()}
+    discard(docs.sparkSession, counts)
+    return known
+
+
+def encode(docs: DataFrame, model_path: str, max_known: int = 1 << 17) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit numbers) for each row of ``docs`` (doc_id, text)."""
+    spark = docs.sparkSession
+    ship_code(spark)
+    rows, first_byte = read_pieces(model_path)
+    pieces = {p: (score, i) for p, i, score, kind in rows if kind == "normal"}
+    pairs = cut_pairs(list(pieces))
+    shared = spark.sparkContext.broadcast((known_fragments(docs, model_path, pairs, max_known), pieces, pairs, first_byte))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordIds(*shared.value)
+        for batch in batches:
+            ids = [b"".join(map(table.__getitem__, word_keys(t.as_py()))) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """ref (of a row), doc_id, ids for each row of ``docs`` (doc_id, text)."""
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("ref"), "doc_id", split_words(F.col("text")).alias("words")), "piece-words")
-    words = rows.select(F.explode("words").alias("word")).distinct()
-    known = materialise(encode_words(words, model_path), "piece-ids")
-    placed = rows.select("ref", F.posexplode("words").alias("pos", "word")).join(known, "word").select("ref", "pos", "ids")
-    ids = placed.groupBy("ref").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return rows.select("ref", "doc_id").join(ids, "ref", "left").select("ref", "doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(coded: DataFrame, model_path: str) -> DataFrame:
-    """ref, text for each row of ``coded`` (ref, ids): the pieces' bytes, marks as spaces, without the first space."""
-    spark: SparkSession = coded.sparkSession
+    """``coded`` (doc_id, ids) with text: the pieces' bytes, marks as spaces, without the first space."""
+    spark = coded.sparkSession
+    ship_code(spark)
     rows, _ = read_pieces(model_path)
-    table = [(i, bytes([int(p[1:-1], 16)]) if k == "byte" else p.replace(MARK, " ").encode() if k == "normal" else b"") for p, i, _, k in rows]
-    table = F.broadcast(spark.createDataFrame(table, "id int, raw binary"))
-    parts = coded.select("ref", F.posexplode("ids").alias("pos", "id")).join(table, "id")
-    joined = parts.groupBy("ref").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: F.hex(x["raw"])), "").alias("hex"))
-    text = F.regexp_replace(F.decode(F.unhex("hex"), "UTF-8"), "^ ", "")
-    return coded.select("ref").join(joined.select("ref", text.alias("text")), "ref", "left").select("ref", F.coalesce("text", F.lit("")).alias("text"))
+    shared = spark.sparkContext.broadcast([bytes([int(p[1:-1], 16)]) if k == "byte" else p.replace(MARK, " ").encode() if k == "normal" else b"" for p, _, _, k in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            raw = (b"".join(map(table.__getitem__, np.frombuffer(i.as_py() or b"", "<u4").tolist())) for i in batch.column(1))
+            texts = [r.removeprefix(b" ").decode("utf-8", "replace") for r in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")

@@ -324,18 +324,21 @@ def test_shared_passages():
     assert 30 < hits < 150
 
 
-def test_sentencepiece(docs):
+@pytest.mark.parametrize("known", [0, 40, 100_000])
+def test_sentencepiece(docs, known):
     import sentencepiece
 
     from pagemill.llm.sentencepiece_lattice import decode, encode
 
     path = tokenizer_path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
-    given = [c for c in CASES if c[0] != 6] + [(7, "  two  spaces €𝄞 Hello\nworld <s>"), (8, "abcdefgh" * 30)] + [(100 + i, t) for i, t in enumerate(texts(10))]
-    coded = encode(docs(given), path).cache()
-    assert Counter((r.doc_id, tuple(r.ids)) for r in coded.collect()) == Counter((i, tuple(library.encode(t or ""))) for i, t in given)
-    back = coded.select("ref", "doc_id").join(decode(coded, path), "ref").collect()
-    assert Counter((r.doc_id, r.text) for r in back) == Counter((i, t or "") for i, t in given)
+    given = CASES + [(7, "  two  spaces €𝄞 Hello\nworld <s>  "), (8, "abcdefgh" * 30), (9, "▁"), (10, "naïve  über" * 7), (11, " "), (12, "ab12.5% don't" * 3)]
+    given += [(100 + i, t) for i, t in enumerate(texts(10))]
+    coded = encode(docs(given), path, max_known=known)
+    out = decode(coded, path).collect()
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in out) == Counter((i, tuple(library.encode(t or ""))) for i, t in given)
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((i, (t or "").replace("▁", " ")) for i, t in given)
+    assert decode(encode(docs([]), path), path).count() == 0
 
 
 def test_toxicity(spark, docs):
