@@ -1,13 +1,12 @@
 """SentencePiece encoding and decoding as a relational lattice (operator 8).
 
-Texts are split into words (a run of white-space marks and what follows up to the next mark), and these into fragments
-wherever no piece holds the two characters that meet: no segmentation depends on what lies beyond such a cut. A first
-pass counts the fragments of all texts. For the frequent ones, at most ``max_known`` (a fixed bound, found by counts in
-powers of two), all substrings of at most the longest piece's length are exploded and equi-joined to the piece table,
-whose size is the model's; the matches are the lattice's edges. They are grouped by fragment and folded with the
-higher-order ``aggregate`` to the fragment's segmentation. The result is broadcast, and a second pass over the texts puts
-ids together from it. Rare fragments, which no other task may hold, are folded where they are met, with a heap and to the
-same result; so no occurrence of a word is ever shuffled.
+Texts are split into words (a run of white-space marks and what follows up to the next mark; no piece reaches over that
+cut). A first pass counts the words of all texts. For the frequent ones, at most ``max_known`` (a fixed bound, found by
+counts in powers of two), all substrings of at most the longest piece's length are exploded and equi-joined to the piece
+table, whose size is the model's; the matches are the lattice's edges. They are grouped by word and folded with the
+higher-order ``aggregate`` to the word's segmentation. The result is broadcast, and a second pass over the texts puts ids
+together from it. Rare words, which other tasks hardly hold, are folded where they are met, many at once and to the same
+result; so no occurrence of a word is ever shuffled.
 
 The fold isn't Viterbi's: the vocabulary file at hand is a BPE model, where the best path by score isn't what the library
 returns. Each step of the fold merges the adjacent pair whose piece scores best (leftmost on ties), as the library does;
@@ -33,7 +32,8 @@ from pagemill.session import discard, materialise, ship_code
 MARK = "▁"
 PIECES = "piece string, id int, score double, kind string"
 MAX_WORDS = 200_000
-FOLDED = 60  # characters of a fragment whose places fit a long
+FOLDED = 60  # characters of a word whose places fit a long
+NEVER = np.iinfo(np.int32).max
 
 
 def read_pieces(path: str) -> tuple[list[tuple], int]:
@@ -82,15 +82,79 @@ def heap_merge(word: str, pieces: dict[str, tuple[float, int]], first_byte: int)
     return ids
 
 
-def cut_pairs(pieces: list[str]) -> frozenset[str]:
-    """The pairs of neighbouring characters that some piece holds; a word can be cut between any others."""
-    return frozenset(p[i : i + 2] for p in pieces for i in range(len(p) - 1))
-
-
-def fragments(word: str, pairs: frozenset[str]) -> list[str]:
-    """A word cut wherever no piece holds the two characters that meet."""
-    cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs), len(word)]
-    return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+class Merger:
+    """Merges the symbols of many words at once: in each step, that pair of every word whose piece scores best."""
+
+    def __init__(self, pieces: dict[str, tuple[float, int]], first_byte: int):
+        self.pieces, self.first_byte = pieces, first_byte
+        bare = sorted({c for p in pieces for c in p} - pieces.keys())
+        symbols = {p: i for p, (_, i) in pieces.items()} | {c: (1 << 19) + k for k, c in enumerate(bare)}
+        self.of_char = np.full(0x110000, (1 << 20) - 1, np.int32)  # a character of no piece
+        for c, i in symbols.items():
+            if len(c) == 1:
+                self.of_char[ord(c)] = i
+        order = {score: k for k, score in enumerate(sorted({score for score, _ in pieces.values()}, reverse=True))}
+        pairs = {}
+        for p, (score, i) in pieces.items():
+            for k in range(1, len(p)):
+                if p[:k] in symbols and p[k:] in symbols:
+                    pairs[symbols[p[:k]] << 20 | symbols[p[k:]]] = (order[score], i)
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.ranks, self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int32).T.copy()
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = left.astype(np.int64) << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER), self.merged[at]
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, packed."""
+        out: list[bytes] = [b""] * len(words)
+        order = sorted((len(w), k) for k, w in enumerate(words))
+        for begin in range(0, len(order), 8192):
+            part = [k for _, k in order[begin : begin + 8192]]
+            longest = len(words[part[-1]])
+            if longest <= FOLDED:
+                for k, found in zip(part, self.fold([words[k] for k in part], longest), strict=True):
+                    out[k] = found
+            else:
+                for k in part:
+                    out[k] = np.array(heap_merge(words[k], self.pieces, self.first_byte), "<u4").tobytes()
+        return out
+
+    def fold(self, words: list[str], longest: int) -> list[bytes]:
+        n, wide = len(words), longest + 1  # the last column of a row is never a symbol
+        sizes = np.array([len(w) for w in words])
+        inside = np.arange(wide)[None, :] < sizes[:, None]
+        symbol = np.full((n, wide), (1 << 20) - 1, np.int32)
+        symbol[inside] = self.of_char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")]
+        rank = np.full((n, wide), NEVER, np.int32)
+        piece = np.zeros((n, wide), np.int32)
+        both = inside[:, 1:] & inside[:, :-1]
+        rank[:, :-1][both], piece[:, :-1][both] = self.look_up(symbol[:, :-1][both], symbol[:, 1:][both])
+        following = np.tile(np.arange(1, wide + 1), (n, 1))
+        before = following - 2
+        rows = np.arange(n)
+        while len(rows):
+            at = rank[rows].argmin(axis=1)
+            going = rank[rows, at] != NEVER
+            rows, at = rows[going], at[going]
+            gone = following[rows, at]
+            after = following[rows, gone]
+            symbol[rows, at] = piece[rows, at]
+            rank[rows, gone], inside[rows, gone] = NEVER, False
+            following[rows, at] = after
+            more = after < sizes[rows]
+            before[rows[more], after[more]] = at[more]
+            rank[rows[~more], at[~more]] = NEVER
+            for r, left, right in ((rows[more], at[more], after[more]), ((r := rows[at > 0]), before[r, at[at > 0]], at[at > 0])):
+                rank[r, left], piece[r, left] = self.look_up(symbol[r, left], symbol[r, right])
+        found = symbol[inside]
+        ends = np.cumsum(inside.sum(axis=1)).tolist()
+        packed = found.astype("<u4").tobytes()
+        plain = (symbol < (1 << 19)) | ~inside
+        whole = plain.all(axis=1).tolist()
+        return [packed[4 * a : 4 * b] if w else np.array(heap_merge(word, self.pieces, self.first_byte), "<u4").tobytes() for a, b, w, word in zip([0, *ends], ends, whole, words, strict=False)]
 
 
 def word_keys(text: str | None) -> list[str]:
@@ -108,39 +172,16 @@ def word_keys(text: str | None) -> list[str]:
     return out + [MARK * (marks - 1)] if marks else out
 
 
-class WordIds(dict):
-    """Word without its first mark -> its ids as little-endian unsigned 32-bit bytes, for one task."""
-
-    def __init__(self, known: dict[str, bytes], pieces: dict[str, tuple[float, int]], pairs: frozenset[str], first_byte: int):
-        self.known, self.pieces, self.pairs, self.first_byte = known, pieces, pairs, first_byte
-
-    def fragment(self, part: str) -> bytes:
-        found = self.known.get(part)
-        return np.array(heap_merge(part, self.pieces, self.first_byte), "<u4").tobytes() if found is None else found
-
-    def __missing__(self, key: str) -> bytes:
-        ids = b"".join(map(self.fragment, fragments(MARK + key, self.pairs)))
-        if len(key) < 64:
-            if len(self) >= MAX_WORDS:
-                self.clear()
-            self[key] = ids
-        return ids
-
-
-def fragment_counts(docs: DataFrame, pairs: frozenset[str]) -> DataFrame:
-    """(fragment, n) over all texts of ``docs``; each task adds up its own first."""
-    shared = docs.sparkSession.sparkContext.broadcast(pairs)
+def word_counts(docs: DataFrame, least: int = 2) -> DataFrame:
+    """(word without its first mark, n) over all texts of ``docs``. Each task adds up its own; words that it meets less than ``least`` times count there as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[str] = Counter()
 
         def counted() -> pa.RecordBatch:
-            found: Counter[str] = Counter()
-            for key, n in words.items():
-                for part in fragments(MARK + key, shared.value):
-                    found[part] += n
+            found = [(w, n) for w, n in words.items() if n >= least and len(w) < FOLDED]
             words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["fragment", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -149,10 +190,10 @@ def fragment_counts(docs: DataFrame, pairs: frozenset[str]) -> DataFrame:
                     yield counted()
         yield counted()
 
-    return docs.select("text").mapInArrow(run, "fragment string, n long").groupBy("fragment").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encode_fragments(words: DataFrame, model_path: str) -> DataFrame:
+def encode_words(words: DataFrame, model_path: str) -> DataFrame:
     """Distinct ``word`` of at most ``FOLDED`` characters -> word, ids: the lattice and its fold."""
     spark = words.sparkSession
     rows, first_byte = read_pieces(model_path)
@@ -177,9 +218,9 @@ def encode_fragments(words: DataFrame, model_path: str) -> DataFrame:
     return lattice.withColumn("places", places).withColumn("cuts", cuts).select("word", ids.alias("ids"))
 
 
-def known_fragments(docs: DataFrame, model_path: str, pairs: frozenset[str], max_known: int) -> dict[str, bytes]:
-    """The ids of the frequent fragments of ``docs``, ``max_known`` at most."""
-    counts = materialise(fragment_counts(docs, pairs).where(F.length("fragment") <= FOLDED), "fragments")
+def known_words(docs: DataFrame, model_path: str, max_known: int) -> dict[str, bytes]:
+    """The ids of the frequent words of ``docs`` by the lattice, ``max_known`` at most."""
+    counts = materialise(word_counts(docs), "words")
     level = F.floor(F.log2("n")).cast("int")
     least = total = 0
     for row in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # 64 rows at most
@@ -187,8 +228,8 @@ def known_fragments(docs: DataFrame, model_path: str, pairs: frozenset[str], max
         if total > max_known:
             least = row["level"] + 1
             break
-    coded = encode_fragments(counts.where(level >= least).select(F.col("fragment").alias("word")), model_path)
-    known = {r["word"]: np.array(r["ids"], "<u4").tobytes() for r in coded.toLocalIterator()}
+    coded = encode_words(counts.where(level >= least).select(F.concat(F.lit(MARK), "word").alias("word")), model_path)
+    known = {r["word"][1:]: np.array(r["ids"], "<u4").tobytes() for r in coded.toLocalIterator()}
     discard(docs.sparkSession, counts)
     return known
 
@@ -199,13 +240,33 @@ def encode(docs: DataFrame, model_path: str, max_known: int = 1 << 17) -> DataFr
     ship_code(spark)
     rows, first_byte = read_pieces(model_path)
     pieces = {p: (score, i) for p, i, score, kind in rows if kind == "normal"}
-    pairs = cut_pairs(list(pieces))
-    shared = spark.sparkContext.broadcast((known_fragments(docs, model_path, pairs, max_known), pieces, pairs, first_byte))
+    shared = spark.sparkContext.broadcast((known_words(docs, model_path, max_known), pieces, first_byte))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordIds(*shared.value)
+        known, pieces, first_byte = shared.value
+        merger, rare = Merger(pieces, first_byte), {}
         for batch in batches:
-            ids = [b"".join(map(table.__getitem__, word_keys(t.as_py()))) for t in batch.column(1)]
+            ids: list[bytes] = []
+            held: list[list[str]] = []
+            size = 0
+
+            def coded() -> None:
+                new = {w for keys in held for w in keys if w not in known and w not in rare}
+                if len(rare) > MAX_WORDS:
+                    rare.clear()
+                    new = {w for keys in held for w in keys if w not in known}
+                new = list(new)
+                rare.update(zip(new, merger.ids([MARK + w for w in new]), strict=True))
+                for keys in held:
+                    ids.append(b"".join([known[w] if w in known else rare[w] for w in keys]))
+
+            for text in batch.column(1):
+                held.append(word_keys(text.as_py()))
+                size += len(held[-1])
+                if size > 1 << 18:
+                    coded()
+                    held, size = [], 0
+            coded()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
