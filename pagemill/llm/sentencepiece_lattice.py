@@ -31,7 +31,7 @@ from pagemill.session import discard, materialise, ship_code
 
 MARK = "▁"
 PIECES = "piece string, id int, score double, kind string"
-MAX_WORDS = 200_000
+MAX_WORDS = 100_000
 FOLDED = 60  # characters of a word whose places fit a long
 NEVER = np.iinfo(np.int32).max
 
@@ -132,7 +132,7 @@ class Merger:
         piece = np.zeros((n, wide), np.int32)
         both = inside[:, 1:] & inside[:, :-1]
         rank[:, :-1][both], piece[:, :-1][both] = self.look_up(symbol[:, :-1][both], symbol[:, 1:][both])
-        following = np.tile(np.arange(1, wide + 1), (n, 1))
+        following = np.tile(np.arange(1, wide + 1, dtype=np.int32), (n, 1))
         before = following - 2
         rows = np.arange(n)
         while len(rows):
@@ -234,7 +234,7 @@ def known_words(docs: DataFrame, model_path: str, max_known: int) -> dict[str, b
     return known
 
 
-def encode(docs: DataFrame, model_path: str, max_known: int = 1 << 17) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, max_known: int = 1 << 16) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit numbers) for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     ship_code(spark)
@@ -263,7 +263,7 @@ def encode(docs: DataFrame, model_path: str, max_known: int = 1 << 17) -> DataFr
             for text in batch.column(1):
                 held.append(word_keys(text.as_py()))
                 size += len(held[-1])
-                if size > 1 << 18:
+                if size > 1 << 17:
                     coded()
                     held, size = [], 0
             coded()
