@@ -23,8 +23,8 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op1_columns(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+def op1_columns(pieces: DataFrame, *more: str) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *more)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

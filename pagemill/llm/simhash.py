@@ -33,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pagemill.llm.components import connected_components
+from pagemill.llm.passages import WordHashes, run_hashes, word_values
 from pagemill.session import materialise, ship_code
 
 SEED = 42
-CHUNK = 1 << 16
+CHUNK = 1 << 13
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -52,18 +53,17 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
 
 def majority(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
     """``lanes`` unsigned 64-bit words: each bit is 1 if set in over half the hashes. Further lanes remix the hashes."""
-    out = np.zeros(lanes, np.uint64)
-    for lane in range(lanes):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), CHUNK):
-            part = hashes[at : at + CHUNK]
-            if lane:
-                part = part * np.uint64((0x9E3779B97F4A7C15 + 2 * lane * 0x632BE59BD9B4E019) % 2**64 | 1)
-                part = (part ^ (part >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-                part = part ^ (part >> np.uint64(29))
-            counts += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[lane] = np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]
-    return out
+    counts = np.zeros((lanes, 64), np.int64)
+    odd = np.array([[(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019) % 2**64 | 1] for k in range(1, lanes)], np.uint64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[None, at : at + CHUNK]
+        if lanes > 1:
+            more = part * odd
+            more = (more ^ (more >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            part = np.concatenate([part, more ^ (more >> np.uint64(29))])
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(lanes, -1, 8), axis=2, bitorder="little")
+        counts += np.add.reduce(bits, axis=1, dtype=np.uint16)
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -150,12 +150,16 @@ def _forest(bits: np.ndarray, limit: int, half: int | None) -> list[tuple[int, i
 
 def min_bands(hashes: np.ndarray, bands: int, band_rows: int) -> np.ndarray:
     """For each band, the least hashes under ``band_rows`` functions as one 64-bit key (signed)."""
-    out = np.zeros(bands, np.uint64)
-    for k in range(bands * band_rows if len(hashes) else 0):
-        h = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-        least = (h ^ (h >> np.uint64(29))).min()
-        out[k // band_rows] = (out[k // band_rows] ^ least) * np.uint64(0x94D049BB133111EB)
-    return out.view(np.int64)
+    least = np.full(bands * band_rows, np.iinfo(np.uint64).max, np.uint64)
+    masks = np.array([[0x9E3779B97F4A7C15 * (k + 1) % 2**64] for k in range(len(least))], np.uint64)
+    for at in range(0, len(hashes), CHUNK):
+        h = (hashes[None, at : at + CHUNK] ^ masks) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        least = np.minimum(least, h.min(axis=1))
+    key = np.zeros(bands, np.uint64)
+    for column in least.reshape(bands, band_rows).T:
+        key = (key ^ column) * np.uint64(0x94D049BB133111EB)
+    return key.view(np.int64)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -214,13 +218,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tab
     key_lanes = -(-tables * table_bits // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordHashes()
         for batch in batches:
             bits, keys, sizes = [], [], []
             for t in batch.column(2):
-                w = _words(t.as_py())
-                distinct = np.unique(shingle_hashes(w, words))
+                w = word_values((t.as_py() or "").encode().lower(), table)
+                distinct = np.unique(run_hashes(w, min(words, max(len(w), 1))))
                 bits.append(majority(distinct, lanes).tobytes())
-                own = np.unpackbits(majority(shingle_hashes(w, 2), key_lanes).view(np.uint8))[: tables * table_bits].reshape(tables, table_bits)
+                own = np.unpackbits(majority(run_hashes(w, min(2, max(len(w), 1))), key_lanes).view(np.uint8))[: tables * table_bits].reshape(tables, table_bits)
                 keys.append(np.concatenate([own @ (1 << np.arange(table_bits)), min_bands(distinct, bands, band_rows)]))
                 sizes.append(len(distinct))
             columns = [batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
@@ -270,9 +275,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tab
     members = members.join(slices, "part").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordHashes()
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            held = [np.unique(shingle_hashes(_words(t.as_py()), words)) for t in batch.column(at)]
+            held = [np.unique(run_hashes(v, min(words, max(len(v), 1)))) for v in (word_values((t.as_py() or "").encode().lower(), table) for t in batch.column(at))]
             bits = pa.array([majority(h, lanes).tobytes() for h in held], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(at)), bits, pa.array([h.tobytes() for h in held], pa.binary())], ["node", "part", "slices", "own", "bits", "shingles"])
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-MAX_CHUNKS = 1_500_000
+MAX_CHUNKS = 300_000
 STOPS = frozenset(b".,;:!?")
 _tables: dict[tuple, "ChunkTable"] = {}
 

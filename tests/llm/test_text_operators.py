@@ -403,3 +403,28 @@ def test_pipeline_rows(spark, tmp_path):
     wanted = spark.createDataFrame(want, "doc_id long, text string")
     sums = lambda pieces: Counter((r.doc_id, r.doc_tokens) for r in pieces.where("start = 0").collect())
     assert sums(corpus_pipeline.run(spark, str(tmp_path))) == sums(pack(wanted, tokenizer_path("word_bpe_49k.json")))
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage on nulls, empty texts, repeated rows, further columns of clashing names, and on no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    some = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage, long = some(60), some(3000)
+    given = [(1, None), (2, ""), (3, some(20)), (4, f"{some(10)} {passage}"), (5, f"{some(15)} {passage}"), (None, some(9)), (6, long), (7, long), (8, f"{long} {some(1)}"), (9, long), (9, long)]
+    docs = spark.createDataFrame([(i, t, len(t or ""), "k", i, "n") for i, t in given], "doc_id long, text string, n_chars long, node string, ref long, key string")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = lambda df: Counter(r.doc_id for r in df.collect())
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert set(docs.columns) <= set(out.columns), name
+        kept[name] = ids(out)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    everything = Counter(i for i, _ in given)
+    assert kept["toxicity"] in (everything, Counter())
+    assert kept["exact dedup"] == everything - Counter([2, 7, 9, 9])
+    assert kept["SimHash near-dedup"] == everything - Counter([2, 7, 8, 9, 9])
+    assert set(everything - kept["substring dedup"]) == {7, 9}
+    assert ids(corpus_pipeline.packing(spark, docs, str(tmp_path)).where("start = 0")) == everything
