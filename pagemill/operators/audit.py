@@ -54,7 +54,7 @@ def date_conflicts(chunks: DataFrame) -> DataFrame:
 
 
 def money_conflicts(chunks: DataFrame) -> DataFrame:
-    return label_conflicts(chunks, "money", P.MONEY, 0.95, 3, False)
+    return label_conflicts(chunks, "monetary", P.MONEY, 0.95, 3, False)
 
 
 def polarity_conflicts(chunks: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ DETECTORS = [numeric_conflicts, date_conflicts, money_conflicts, polarity_confli
 def contradictions(chunks: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
     """Findings of all detectors, then ``semantic`` ones (doc_id, type, severity, confidence, summary), merged.
 
-    Of findings with the same first 120 characters of the summary, the first stays; blank ones go.
+    Of findings with the same first 120 characters of the summary, the first stays; blank ones go. ``ord``: the order of detection.
     """
     columns = ["doc_id", "type", "severity", "confidence", "summary"]
     parts = [d(chunks).select(*columns, F.lit(i).alias("source"), "ord_a", "ord_b") for i, d in enumerate(DETECTORS)]
@@ -89,7 +89,7 @@ def contradictions(chunks: DataFrame, semantic: DataFrame | None = None) -> Data
         none = F.struct(F.lit(0).alias("chunk_index"), F.lit(0).alias("match_index"))
         parts.append(semantic.select(*columns, F.lit(len(DETECTORS)).alias("source"), none.alias("ord_a"), none.alias("ord_b")))
     found = reduce(DataFrame.unionByName, parts).withColumn("key", F.substring(F.lower(strip(F.col("summary"))), 1, 120)).where("key <> ''")
-    return first_rows(found, ["doc_id", "key"], ["source", "ord_a", "ord_b", "summary"]).select(*columns)
+    return first_rows(found, ["doc_id", "key"], ["source", "ord_a", "ord_b", "summary"]).select(*columns, F.struct("source", "ord_a", "ord_b", "summary").alias("ord"))
 
 
 def ambiguities(chunks: DataFrame, most: int = P.MOST_AMBIGUITIES) -> DataFrame:
@@ -114,7 +114,9 @@ def scan_rules(chunks: DataFrame, rules: list[tuple[str, str, str]]) -> DataFram
     def row(rule: int, kind: str):
         return lambda m, k: F.struct(F.lit(rule).alias("rule"), k.alias("match_index"), F.lit(kind).alias("kind"), m["match"].alias("match"), F.upper(strip(m["g1"])).alias("value"))
 
-    parts = [F.transform(matches(F.col("text"), java(p, flags), 1), row(i, kind)) for i, (kind, flags, p) in enumerate(rules)]
+    none = F.array().cast("array<struct<match:string,g1:string>>")
+    found = lambda p: F.arrays_zip(*(F.regexp_extract_all("text", F.lit(p), F.lit(g)).alias(name) for g, name in ((0, "match"), (1, "g1"))))
+    parts = [F.transform(F.when(F.col("text").rlike(java(p, flags)), found(java(p, flags))).otherwise(none), row(i, kind)) for i, (kind, flags, p) in enumerate(rules)]
     found = chunks.select("doc_id", "page", "chunk_index", F.explode(F.concat(*parts)).alias("m"))
     return found.select("doc_id", "page", F.struct("chunk_index", "m.rule", "m.match_index").alias("ord"), "m.kind", "m.match", "m.value")
 

@@ -2,18 +2,20 @@
 
 The chunker is a function of the sentence it starts at: a chunk takes sentences while their tokens fit ``size``; the next
 one starts at the first sentence from which at most ``overlap`` tokens are left in the chunk. It is folded over a
-document's sentences by two pointers in a grouped map; a document's sentences are all that a group holds.
+document's sentences by two pointers in Arrow batches; the pages of one document are all that a row holds.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pagemill.functions.text import clean, sentences, token_estimate
 from pagemill.session import ship_code
 
-CHUNKS = "doc_id long, chunk_index int, page int, token_count int, first_sentence int, n_sentences int, text string"
+CHUNKS = "doc_id long, chunk_index int, page int, token_count int, first_sentence int, n_sentences int, text string, start_char int, end_char int"
 
 
 def pages_of(docs: DataFrame) -> DataFrame:
@@ -59,27 +61,50 @@ def orbit(tokens: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
-def chunk_documents(pages: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
+def sentence_places(text: str, parts: list[str], offset: int) -> list[tuple[int, int]]:
+    """(first, end) character of each sentence of a page that begins at ``offset``, each sought behind the one before."""
+    out, at = [], 0
+    for part in parts:
+        found = text.find(part, at)
+        begin = at if found < 0 else found
+        at = begin + len(part)
+        out.append((offset + begin, offset + at))
+    return out
+
+
+def chunk_documents(pages: DataFrame, size: int = 500, overlap: int = 50, tokens: Callable[[Column], Column] = token_estimate) -> DataFrame:
     """Chunks of ``pages`` (doc_id, page, text): the fields of ``CHUNKS`` and chunk_id.
 
-    Sentences are joined by blank lines; a chunk's page is the one with most of its tokens, the first on ties.
+    Sentences are joined by blank lines; a chunk's page is the one with most of its tokens, the first on ties. Characters
+    count from the start of the document, pages parted by two. ``tokens`` gives the number of tokens of a text.
     """
-
     ship_code(pages.sparkSession)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "sentence_index"])
-        texts, tokens, pages_at = pdf["text"].tolist(), pdf["tokens"].tolist(), pdf["page"].tolist()
-        rows = []
-        for i, (a, b) in enumerate(orbit(tokens, size, overlap)):
-            share: dict[int, int] = {}
-            for page, n in zip(pages_at[a:b], tokens[a:b], strict=True):
-                share[page] = share.get(page, 0) + n
-            page = max(share, key=share.get)
-            rows.append((pdf["doc_id"].iloc[0], i, page, sum(tokens[a:b]), a, b - a, "\n\n".join(texts[a:b])))
-        return pd.DataFrame(rows, columns=["doc_id", "chunk_index", "page", "token_count", "first_sentence", "n_sentences", "text"])
-
-    made = page_sentences(pages).groupBy("doc_id").applyInPandas(fold, CHUNKS)
+    parts = pages.where("text is not null").select("doc_id", "page", "text", sentences(F.col("text")).alias("parts"))
+    parts = parts.select("doc_id", F.struct("page", "text", "parts", F.transform("parts", tokens).alias("tokens")).alias("p"))
+    whole = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("pages"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split(" ")[0] for f in CHUNKS.split(", ")]
+        kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[f.split(" ")[1]] for f in CHUNKS.split(", ")]
+        for batch in batches:
+            rows = []
+            for doc_id, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                texts, counts, pages_at, places, offset = [], [], [], [], 0
+                for page in own.as_py():
+                    texts += page["parts"]
+                    counts += page["tokens"]
+                    pages_at += [page["page"]] * len(page["parts"])
+                    places += sentence_places(page["text"], page["parts"], offset)
+                    offset += len(page["text"]) + 2
+                for i, (a, b) in enumerate(orbit(counts, size, overlap)):
+                    share: dict[int, int] = {}
+                    for page, n in zip(pages_at[a:b], counts[a:b], strict=True):
+                        share[page] = share.get(page, 0) + n
+                    rows.append((doc_id, i, max(share, key=share.get), sum(counts[a:b]), a, b - a, "\n\n".join(texts[a:b]), places[a][0], places[b - 1][1]))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    made = whole.mapInArrow(fold, CHUNKS)
     return made.withColumn("chunk_id", F.format_string("%s-chk-%d", F.col("doc_id").cast("string"), "chunk_index"))
 
 

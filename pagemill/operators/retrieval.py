@@ -1,15 +1,23 @@
 """Hybrid retrieval for a batch of queries: dense candidates, BM25, local reranking, context packing, citations.
 
 Chunks: chunk_id, doc_id, page, text, vector (unit). Queries: query_id, text, vector. Scoring is brute force, the stated
-semantics; queries are a batch of bounded size and are broadcast only while they are under ``broadcast_rows``.
+semantics: blocks of ``block`` queries at a time meet every chunk as one matrix product in each Arrow batch, which keeps
+its best ``k`` a query; only ids and similarities are shuffled, and the chunks of the winners are joined back. Queries may
+be bound to documents of their own (``scope``), as those of a session.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pagemill.functions.text import query_tokens, space_tokens, strip, token_estimate, truncated, word_tokens
-from pagemill.functions.vectors import clamped, dot
+from pagemill.functions.vectors import dot
+from pagemill.session import materialise, ship_code
 
 PLACES = 9
 
@@ -19,22 +27,73 @@ def _ranked(frame: DataFrame, score: str, ties: list[str], k: int, name: str) ->
     return frame.withColumn(name, F.row_number().over(order)).where(F.col(name) <= k)
 
 
-def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 30, allowed: dict[str, list] | None = None, broadcast_rows: int = 10_000) -> DataFrame:
+def _nearest(asked: list[tuple], k: int, scoped: bool):
+    """A map over batches of (chunk_id, vector, doc_id): query number, chunk_id, similarity of the best ``k`` a query in each."""
+    wanted = np.array([vector for _, vector, _ in asked], np.float64)
+    scopes = [None if documents is None else frozenset(documents) for _, _, documents in asked]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False))
+            if not len(at) or not asked:
+                continue
+            vectors = batch.column(1).drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
+            scores = np.round(np.clip(wanted @ vectors.T, 0.0, 1.0), PLACES)
+            if scoped:
+                documents = [batch.column(2)[int(i)].as_py() for i in at]
+                for row, scope in zip(scores, scopes, strict=True):
+                    if scope is not None:
+                        row[[d not in scope for d in documents]] = -1.0
+            ties = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+            order = np.lexsort((np.broadcast_to(ties, scores.shape), -scores), axis=1)[:, :k] if len(ids) > k else np.broadcast_to(np.arange(len(ids)), scores.shape)
+            number = np.repeat(np.arange(len(scores), dtype=np.int32), order.shape[1])
+            best = np.take_along_axis(scores, order, axis=1).ravel()
+            fits = best >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(number[fits]), pa.array(ids[order].ravel()[fits]), pa.array(best[fits])], ["number", "chunk_id", "similarity"])
+
+    return run
+
+
+def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 30, allowed: dict[str, list] | None = None, scope: DataFrame | None = None, block: int = 2048) -> DataFrame:
     """The ``k`` nearest chunks of each query by cosine, clamped to [0, 1]; ties by chunk id.
 
-    ``allowed`` maps columns to lists of values and filters before anything is scored.
+    ``allowed`` maps columns to lists of values and filters before anything is scored. ``scope`` (query_id, doc_id) names
+    the documents of queries that may not search all; a query without rows in it does.
     """
+    spark = queries.sparkSession
+    ship_code(spark)
     for column, values in (allowed or {}).items():
         chunks = chunks.where(F.col(column).isin(values))
-    own = queries.select("query_id", F.col("vector").alias("query_vector"))
-    if own.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        own = F.broadcast(own)
-    scored = chunks.join(own).withColumn("similarity", F.round(clamped(dot(F.col("vector"), F.col("query_vector"))), PLACES))
-    return _ranked(scored, "similarity", ["chunk_id"], k, "rank").drop("query_vector")
+    asked = queries.where("vector is not null").select("query_id", "vector")
+    if scope is not None:
+        asked = asked.join(scope.groupBy("query_id").agg(F.collect_set("doc_id").alias("documents")), "query_id", "left")
+    else:
+        asked = asked.withColumn("documents", F.lit(None).cast("array<long>"))
+    kept = chunks.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), "doc_id")
+    found = []
+
+    def search(rows: list[tuple]) -> None:
+        hits = kept.mapInArrow(_nearest(rows, k, scope is not None), f"number int, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, similarity double")
+        numbers = spark.createDataFrame([(n, row[0]) for n, row in enumerate(rows)], f"number int, query_id {queries.schema['query_id'].dataType.simpleString()}")
+        hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("number").orderBy(F.col("similarity").desc(), "chunk_id"))).where(F.col("rank") <= k)
+        found.append(hits.join(F.broadcast(numbers), "number").select("query_id", "chunk_id", "similarity", "rank"))
+
+    held: list[tuple] = []
+    for row in asked.orderBy("query_id").toLocalIterator():  # the stated query set, a block at a time
+        held.append(tuple(row))
+        if len(held) == block:
+            search(held)
+            held = []
+    if held or not found:
+        search(held)
+    nearest = materialise(reduce(DataFrame.unionByName, found), "nearest")
+    return chunks.join(nearest, "chunk_id").select("query_id", *chunks.columns, "similarity", "rank")
 
 
 def hybrid_scores(queries: DataFrame, candidates: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``candidates`` with bm25 (statistics of each query's candidates), its share of the best, and 0.7 / 0.3 hybrid."""
+    candidates = materialise(candidates, "candidates")
     terms = queries.select("query_id", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("term"))
     words = candidates.select("query_id", "chunk_id", word_tokens(F.col("text")).alias("words"))
     sizes = words.select("query_id", "chunk_id", F.size("words").alias("size"))
@@ -60,9 +119,9 @@ def rerank(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return joined.withColumn("score", F.bround(F.round(score, PLACES), 4)).drop("wanted", "query_vector")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, candidates: int = 30, limit: int = 5, least: float = 0.05, allowed: dict[str, list] | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, candidates: int = 30, limit: int = 5, least: float = 0.05, allowed: dict[str, list] | None = None, scope: DataFrame | None = None) -> DataFrame:
     """The best chunks of each query: dense candidates, hybrid order, then the rerank score decides."""
-    found = hybrid_scores(queries, dense_search(queries, chunks, candidates, allowed))
+    found = hybrid_scores(queries, dense_search(queries, chunks, candidates, allowed, scope))
     found = found.withColumn("hybrid_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("hybrid").desc(), "rank")))
     found = rerank(queries, found).where(F.col("score") >= least)
     return _ranked(found, "score", ["hybrid_rank"], limit, "final_rank").select("query_id", F.col("final_rank").alias("rank"), "chunk_id", "doc_id", "page", "text", "score", "similarity", "keyword", "hybrid")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 #: tier, requests, seconds. Fixed values
-TIERS = [("heavy", 10, 60), ("daily", 50, 86_400), ("bulk", 1000, 86_400), ("hourly", 20, 3600), ("default", 100, 60)]
+TIERS = [("heavy", 10, 60), ("upload", 50, 86_400), ("chat", 1000, 86_400), ("analysis", 20, 3600), ("standard", 100, 60)]
 #: status and its progress in per cent. Fixed values
 PROGRESS = {"QUEUED": 0, "UPLOADING": 5, "PARSING": 15, "CLEANING": 30, "CHUNKING": 45, "EMBEDDING": 60, "INDEXING": 80, "ANALYZING": 90, "COMPLETED": 100}
 
@@ -61,6 +61,12 @@ def repeated_questions(messages: DataFrame, seconds: int = 1800) -> DataFrame:
     return asked.withColumn("reused", F.coalesce(F.col("ts") - before <= seconds, F.lit(False)))
 
 
+def limits(tier: str) -> tuple[int, int]:
+    """(requests, seconds) of a tier; those of the standard one if it is unknown."""
+    known = {name: (most, seconds) for name, most, seconds in TIERS}
+    return known.get(tier, known["standard"])
+
+
 def rate_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     """``requests`` (key, ts) with admitted, remaining and reset: every earlier request in the window counts, also a rejected one."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))

@@ -34,22 +34,22 @@ def conflict_ctes(kind: str, pattern: str, confidence: float, least: int, generi
     return f"""{occurrences(kind + "_m", pattern, 2)},
         {kind}_l AS (SELECT *, {strip("g1")} AS label, {strip("g2")} AS value FROM {kind}_m),
         {kind}_o AS (SELECT *, lower(label) AS k FROM {kind}_l WHERE length(label) >= {least}{more}),
-        {kind}_f AS (SELECT * FROM {kind}_o QUALIFY row_number() OVER (PARTITION BY doc_id, k, lower(value), page ORDER BY chunk_index, i) = 1),
+        {kind}_f AS MATERIALIZED (SELECT *, {value("value")} AS same FROM {kind}_o QUALIFY row_number() OVER (PARTITION BY doc_id, k, lower(value), page ORDER BY chunk_index, i) = 1),
         {kind}_c AS (SELECT a.doc_id, '{kind}' AS type, 'high' AS severity, {confidence}::DOUBLE AS confidence, a.label, a.value AS value_a, a.page AS page_a, b.value AS value_b, b.page AS page_b,
           concat('{kind.capitalize()} conflict for ''', a.label, ''': ''', a.value, ''' (page ', a.page, ') vs ''', b.value, ''' (page ', b.page, ')') AS summary, a.chunk_index AS ca, a.i AS ia, b.chunk_index AS cb, b.i AS ib
-          FROM {kind}_f a JOIN {kind}_f b ON a.doc_id = b.doc_id AND a.k = b.k AND (a.chunk_index, a.i) < (b.chunk_index, b.i) AND a.page <> b.page AND {value("a.value")} <> {value("b.value")})"""
+          FROM {kind}_f a JOIN {kind}_f b ON a.doc_id = b.doc_id AND a.k = b.k AND (a.chunk_index, a.i) < (b.chunk_index, b.i) AND a.page <> b.page AND a.same <> b.same)"""
 
 
 NUMERIC = conflict_ctes("numerical", P.NUMERIC, 0.92, 3, True)
 DATE = conflict_ctes("date", P.DATE, 0.90, 4, False)
-MONEY = conflict_ctes("money", P.MONEY, 0.95, 3, False)
+MONEY = conflict_ctes("monetary", P.MONEY, 0.95, 3, False)
 DUTY = lambda name: f"{name}_d AS (SELECT *, lower(g1) AS verb, substr(lower({strip('g2')}), 1, 30) AS object, {strip('g0')} AS statement FROM {name}_m)"
 POLARITY = f"""{occurrences("pos_m", P.POSITIVE, 2)}, {occurrences("neg_m", P.NEGATIVE, 2)}, {DUTY("pos")}, {DUTY("neg")},
         pos_f AS (SELECT * FROM pos_d QUALIFY row_number() OVER (PARTITION BY doc_id, verb, object ORDER BY chunk_index, i) = 1),
         requirement_c AS (SELECT a.doc_id, 'requirement' AS type, 'critical' AS severity, 0.93::DOUBLE AS confidence, concat(a.verb, ' ', a.object) AS label, a.statement AS value_a, a.page AS page_a, b.statement AS value_b, b.page AS page_b,
           concat('Requirement polarity conflict: ''', substr(a.statement, 1, 60), ''' vs ''', substr(b.statement, 1, 60), '''') AS summary, a.chunk_index AS ca, a.i AS ia, b.chunk_index AS cb, b.i AS ib
           FROM pos_f a JOIN neg_d b ON a.doc_id = b.doc_id AND a.verb = b.verb AND a.object = b.object AND a.page <> b.page)"""
-KINDS = ["numerical", "date", "money", "requirement"]
+KINDS = ["numerical", "date", "monetary", "requirement"]
 MERGED = (
     f"{NUMERIC}, {DATE}, {MONEY}, {POLARITY}, every AS ("
     + " UNION ALL ".join(f"SELECT *, {i} AS source FROM {k}_c" for i, k in enumerate(KINDS))
@@ -93,12 +93,12 @@ FACT_CONFLICTS = f"""firsts AS (SELECT * FROM clean QUALIFY row_number() OVER (P
         fact_conflicts AS (SELECT *, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END AS severity FROM fact_pairs)"""
 ENTITY_MERGE = """merged_ents AS (SELECT doc_id, type, arg_min(text, ord) AS entity, min(ord) AS ord, max(confidence) AS confidence, list_sort(list(DISTINCT {'page': page, 'snippet': snippet})) AS mentions,
           list_sort(list(DISTINCT related) FILTER (lower(trim(related)) <> lower(trim(text)))) AS related FROM ents GROUP BY doc_id, lower(trim(text)), type)"""
-_MENTION = lambda t, p: f"SELECT doc_id, entity, ord, mp, unnest(generate_series(1, len(vs))) AS j, vs FROM (SELECT doc_id, entity, ord, m.page AS mp, m.snippet AS ms, regexp_extract_all(m.snippet, {quoted(p)}) AS vs FROM (SELECT *, unnest(mentions) AS m FROM merged_ents WHERE type = '{t}' AND len(mentions) >= 2))"
+_MENTION = lambda t, p: f"SELECT doc_id, entity, ord, mi, mp, unnest(generate_series(1, len(vs))) AS j, vs FROM (SELECT doc_id, entity, ord, mi, mentions[mi].page AS mp, regexp_extract_all(mentions[mi].snippet, {quoted(p)}) AS vs FROM (SELECT *, unnest(generate_series(1, len(mentions))) AS mi FROM merged_ents WHERE type = '{t}' AND len(mentions) >= 2))"
 ENTITY_CONFLICTS = f"""{ENTITY_MERGE}, seen AS ({_MENTION("MONEY", P.SNIPPET_MONEY)} UNION ALL {_MENTION("DATE", P.SNIPPET_DATE)}),
-        vals AS (SELECT doc_id, entity, ord, vs[j] AS val, min(row(mp, vs[j])) AS seen_at, list(mp) AS ps FROM seen GROUP BY doc_id, entity, ord, vs[j]),
+        vals AS (SELECT doc_id, entity, ord, vs[j] AS val, min(row(mi, j)) AS seen_at, list(mp) AS ps FROM seen GROUP BY doc_id, entity, ord, vs[j]),
         mention_conflicts AS (SELECT doc_id, entity, list(val ORDER BY seen_at) AS vl, list_sort(list_distinct(flatten(list(ps)))) AS pages, ord FROM vals GROUP BY doc_id, entity, ord HAVING count(*) >= 2),
         all_conflicts AS (SELECT doc_id, entity, value_a, value_b, pages, confidence, severity, 0 AS source, oa, ob FROM fact_conflicts UNION ALL SELECT doc_id, entity, vl[1], vl[2], pages, 0.8::DOUBLE, 'medium', 1, ord, 0 FROM mention_conflicts),
-        entity_conflicts AS (SELECT doc_id, entity, value_a, value_b, pages, confidence, severity FROM all_conflicts QUALIFY row_number() OVER (PARTITION BY doc_id, lower(entity), least(lower(value_a), lower(value_b)), greatest(lower(value_a), lower(value_b)) ORDER BY source, oa, ob) = 1)"""
+        entity_conflicts AS (SELECT * FROM all_conflicts QUALIFY row_number() OVER (PARTITION BY doc_id, lower(entity), least(lower(value_a), lower(value_b)), greatest(lower(value_a), lower(value_b)) ORDER BY source, oa, ob) = 1)"""
 _POINTS = lambda points, other: "CASE lower(severity) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in points.items()) + f" ELSE {points[other]} END"
 _NAMES = [c for c, _, _ in P.COMPONENTS]
 LOST = f"""{occurrences("todo_m", P.PLACEHOLDER, 0)}, todo AS (SELECT * FROM todo_m QUALIFY row_number() OVER (PARTITION BY doc_id, lower(g0), page ORDER BY chunk_index, i) = 1),
@@ -158,7 +158,7 @@ QUERIES = {
     "date_conflicts": conflicts_of(audit.date_conflicts),
     "money_conflicts": conflicts_of(audit.money_conflicts),
     "polarity_conflicts": conflicts_of(audit.polarity_conflicts),
-    "merged_contradictions": lambda s, d: audit.contradictions(chunks(s, d)),
+    "merged_contradictions": lambda s, d: audit.contradictions(chunks(s, d)).drop("ord"),
     "ambiguities": lambda s, d: audit.ambiguities(chunks(s, d)).drop("ord"),
     "references": lambda s, d: audit.references(chunks(s, d)).drop("ord"),
     "requirement_matrix": lambda s, d: audit.requirement_matrix(chunks(s, d)),
@@ -171,7 +171,7 @@ _C = ", ".join(CONFLICT_COLUMNS)
 ORACLE_SQL = {
     "numeric_conflicts": f"WITH {CORPUS}, {NUMERIC} SELECT {_C} FROM numerical_c",
     "date_conflicts": f"WITH {CORPUS}, {DATE} SELECT {_C} FROM date_c",
-    "money_conflicts": f"WITH {CORPUS}, {MONEY} SELECT {_C} FROM money_c",
+    "money_conflicts": f"WITH {CORPUS}, {MONEY} SELECT {_C} FROM monetary_c",
     "polarity_conflicts": f"WITH {CORPUS}, {POLARITY} SELECT {_C} FROM requirement_c",
     "merged_contradictions": f"WITH {CORPUS}, {MERGED} SELECT doc_id, type, severity, confidence, summary FROM merged",
     "ambiguities": f"WITH {CORPUS}, {VAGUE} SELECT doc_id, page, phrase, category, severity, recommendation FROM vague",

@@ -10,7 +10,7 @@ from pagemill.functions.vectors import hash_embedding
 from pagemill.operators import chunking, entities, pairs, reports, retrieval, workspace
 from pagemill.plans import audit_queries as audit
 from pagemill.plans.corpora import ENTITIES, FACTS, REPLIES, chunks, derived, duck_sql
-from pagemill.session import table
+from pagemill.session import materialise, table
 from pagemill.sources import files
 from pagemill.streaming import streams
 
@@ -51,9 +51,9 @@ def hash_embeddings(spark, sf_dir):
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(queries, chunks): the benchmark texts, and each document's text as a chunk."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    own = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", (F.col("doc_id") % 7 + 1).cast("int").alias("page"), "text", hash_embedding(F.col("text"), DIM).alias("vector"))
+    """(queries, chunks): the benchmark texts, and the chunk table of the documents with vectors, written once."""
+    made = chunking.chunk_documents(chunking.clean_pages(pages(spark, sf_dir)))
+    own = materialise(made.select("chunk_id", "doc_id", "page", "text", hash_embedding(F.col("text"), DIM).alias("vector")), "chunk-table")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", hash_embedding(F.col("text"), DIM).alias("vector"))
     return asked, own
 
@@ -110,7 +110,7 @@ def quotes(spark, sf_dir):
 
 def prompts(spark, sf_dir):
     text = chunks(spark, sf_dir)
-    made = pairs.prompt_batches(text.select("doc_id", F.col("chunk_index").alias("ord"), "page", "text"), most_chars=600, most_segments=4)
+    made = pairs.prompt_batches(text.select("doc_id", F.col("chunk_index").alias("ord"), "page", "text"))
     return made.select("doc_id", "batch", "n_segments", "chars", F.length("prompt").alias("n_chars"))
 
 
@@ -250,7 +250,7 @@ QUERIES = {
     "chunk_pair_candidates": lambda s, d: pairs.chunk_pair_candidates(vectors(s, d)),
     "fact_pair_candidates": lambda s, d: pairs.fact_pair_candidates(vectors(s, d)),
     "fact_pair_heuristic": lambda s, d: pairs.fact_pair_heuristic(derived(s, d, FACTS)),
-    "parse_replies": lambda s, d: replies(s, d).select("doc_id", "reply_id", "ok", "parsed.type", "parsed.summary", "parsed.confidence", "parsed.strength"),
+    "parse_replies": lambda s, d: replies(s, d).select("doc_id", "reply_id", "ok", "parsed.type", "parsed.summary", "parsed.confidence", F.col("parsed.contradiction_strength").alias("strength"), "parsed.is_contradiction"),
     "score_contradictions": lambda s, d: pairs.score_contradictions(replies(s, d)),
     "score_semantic_conflicts": lambda s, d: pairs.score_semantic_conflicts(replies(s, d)),
     "resolve_quotes": quotes,
@@ -259,9 +259,9 @@ QUERIES = {
     "shape_facts": lambda s, d: entities.shape_facts(entities.dedupe_facts(derived(s, d, FACTS))),
     "merge_entities": lambda s, d: merged(s, d).select("doc_id", "type", "entity", "confidence", "frequency", "related"),
     "entity_graph": lambda s, d: entities.entity_graph(merged(s, d)),
-    "top_entities": lambda s, d: entities.top_entities(merged(s, d), 2),
-    "top_graph": lambda s, d: entities.top_graph(merged(s, d), 2),
-    "entity_conflicts": lambda s, d: entities.entity_conflicts(derived(s, d, FACTS), merged(s, d)),
+    "top_entities": lambda s, d: entities.top_entities(merged(s, d)),
+    "top_graph": lambda s, d: entities.top_graph(merged(s, d)),
+    "entity_conflicts": lambda s, d: entities.entity_conflicts(derived(s, d, FACTS), merged(s, d)).drop("ord"),
     "executive_summary": summaries,
     "review_report": reviews,
     "organisation_members": organisation_members,
@@ -294,7 +294,26 @@ def _embedded(name: str, select: str) -> str:
 
 _STOPS = ", ".join(f"'{w}'" for w in STOPWORDS)
 _TOKENS = r"list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')"
-_SEARCH = f"""WITH {_embedded("asked", "SELECT item_id AS query_id, text FROM benchmark")}, {_embedded("own", "SELECT doc_id AS chunk_id, doc_id, (doc_id % 7 + 1)::INT AS page, text FROM documents WHERE text IS NOT NULL")},
+_CLEAN = (
+    "WITH pg AS (SELECT doc_id, text FROM documents), cl AS (SELECT doc_id, 1 AS page, "
+    + audit.strip(
+        "regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, '{q}', '{p}'), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F\\p{{Cf}}\\p{{Co}}]', '', 'g'), '(?im)^\\s*page\\s+\\d+\\s+of\\s+\\d+\\s*$', '', 'g'), '(?im)^\\s*-\\s*\\d+\\s*-\\s*$', '', 'g'), '(?im)^\\s*\\[\\s*page\\s+\\d+\\s*\\]\\s*$', '', 'g'), '(?im)^\\s*page\\s+\\d+\\s*$', '', 'g'), chr(9), ' '), ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')".format(
+            q=QUOTES, p=PLAIN_QUOTES.replace("'", "''")
+        )
+    )
+    + " AS text FROM pg)"
+)
+_CHUNKS = rf"""WITH RECURSIVE {_CLEAN.removeprefix("WITH ")},
+    se AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: {audit.strip("s")}), lambda s: s <> '') AS s FROM cl WHERE text IS NOT NULL),
+    tk AS (SELECT doc_id, s, list_transform(s, lambda x: greatest(1, length(x) // 4)) AS t FROM se WHERE len(s) > 0),
+    ps AS (SELECT doc_id, s, len(s) AS n, list_prepend(0, list_transform(range(1, len(t) + 1), lambda i: list_sum(t[1:i])::INT)) AS p FROM tk),
+    orbit AS (SELECT doc_id, 0 AS idx, 0::BIGINT AS i, greatest(1, len(list_filter(p, lambda x: x <= 500)) - 1)::BIGINT AS j FROM ps
+      UNION ALL
+      SELECT doc_id, idx + 1, nx, greatest(nx + 1, len(list_filter(p, lambda x: x - p[nx + 1] <= 500)) - 1)::BIGINT FROM (
+        SELECT o.doc_id, o.idx, p, greatest(o.i + 1, CASE WHEN c < o.j THEN c WHEN o.j - 1 > o.i THEN o.j - 1 ELSE o.j END)::BIGINT AS nx FROM (
+          SELECT o.*, ps.p, ps.n, greatest(o.i + 1, len(list_filter(ps.p, lambda x: ps.p[o.j + 1] - x > 50))) AS c FROM orbit o JOIN ps USING (doc_id) WHERE o.j < ps.n) o)),
+    ck AS (SELECT doc_id, idx AS chunk_index, 1 AS page, (p[j + 1] - p[i + 1])::INT AS token_count, i::INT AS first_sentence, (j - i)::INT AS n_sentences, array_to_string(s[i + 1:j], chr(10) || chr(10)) AS text FROM orbit JOIN ps USING (doc_id))"""
+_SEARCH = f"""{_CHUNKS}, {_embedded("asked", "SELECT item_id AS query_id, text FROM benchmark")}, {_embedded("own", "SELECT concat(doc_id, '-chk-', chunk_index) AS chunk_id, doc_id, page, text FROM ck")},
     dense AS (SELECT query_id, chunk_id, doc_id, page, o.text, list_dot_product(a.vector, o.vector) AS cosine, round(greatest(0.0, least(1.0, list_dot_product(a.vector, o.vector))), 9) AS similarity, a.text AS asked FROM asked a, own o),
     cand AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM dense QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) <= 30)"""
 # RE2's word boundaries are ASCII: words with other letters, which hold no token, are taken out first
@@ -329,31 +348,12 @@ def _pairs_sql(low: float, high: float, around: float, keep: str) -> str:
 
 
 _REPLIES = rf"""WITH rep AS ({duck_sql(REPLIES)}), js AS (SELECT *, nullif(regexp_extract(reply, '(?s)(\{{.*\}})', 1), '') AS j FROM rep),
-    parsed AS (SELECT doc_id, reply_id, similarity, json_extract_string(j, '$.type') AS type, json_extract_string(j, '$.summary') AS summary, json_extract_string(j, '$.confidence')::DOUBLE AS confidence, json_extract_string(j, '$.strength')::DOUBLE AS strength FROM js)"""
+    parsed AS (SELECT doc_id, reply_id, similarity, json_extract_string(j, '$.type') AS type, json_extract_string(j, '$.summary') AS summary, json_extract_string(j, '$.confidence')::DOUBLE AS confidence, json_extract_string(j, '$.contradiction_strength')::DOUBLE AS strength, json_extract_string(j, '$.is_contradiction')::BOOLEAN AS is_contradiction, j IS NOT NULL AS ok FROM js)"""
 _BAND = lambda a, b, c: f"CASE WHEN score >= {a} THEN 'critical' WHEN score >= {b} THEN 'high' WHEN score >= {c} THEN 'medium' ELSE 'low' END AS severity"
 _F = f"WITH {audit.FACT_ROWS}, {audit.CLEAN_FACTS}"
 _E = f"WITH {audit.ENTITY_ROWS}, {audit.ENTITY_MERGE}, m AS (SELECT *, len(mentions) AS frequency FROM merged_ents)"
 _DEDUPED = f"{_F}, dd AS (SELECT doc_id, arg_max(row(ord, s, p, v, page), row(confidence, -ord)) AS best, max(confidence) AS confidence, list(evidence ORDER BY ord) AS evidence FROM clean GROUP BY doc_id, lower(s), lower(p), lower(v)), dx AS (SELECT doc_id, best[1] AS ord, best[2] AS subject, best[3] AS predicate, best[4] AS value, best[5] AS page, confidence, evidence FROM dd)"
-_GRAPH = f"{_E}, edges AS (SELECT DISTINCT e.doc_id, least(e.a, e.b) AS src, greatest(e.a, e.b) AS dst FROM (SELECT doc_id, lower(entity) AS a, lower(trim(unnest(related))) AS b FROM m) e WHERE e.b <> '' AND e.a <> e.b AND EXISTS (SELECT 1 FROM m x WHERE x.doc_id = e.doc_id AND lower(x.entity) = e.b)), top AS (SELECT doc_id, rank, entity, type, frequency FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, ord) AS rank FROM m) WHERE rank <= 2)"
-_CLEAN = (
-    "WITH pg AS (SELECT doc_id, text FROM documents), cl AS (SELECT doc_id, 1 AS page, "
-    + audit.strip(
-        "regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(text, '{q}', '{p}'), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F\\p{{Cf}}\\p{{Co}}]', '', 'g'), '(?im)^\\s*page\\s+\\d+\\s+of\\s+\\d+\\s*$', '', 'g'), '(?im)^\\s*-\\s*\\d+\\s*-\\s*$', '', 'g'), '(?im)^\\s*\\[\\s*page\\s+\\d+\\s*\\]\\s*$', '', 'g'), '(?im)^\\s*page\\s+\\d+\\s*$', '', 'g'), chr(9), ' '), ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')".format(
-            q=QUOTES, p=PLAIN_QUOTES.replace("'", "''")
-        )
-    )
-    + " AS text FROM pg)"
-)
-_CHUNKS = rf"""WITH RECURSIVE {_CLEAN.removeprefix("WITH ")},
-    se AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: {audit.strip("s")}), lambda s: s <> '') AS s FROM cl WHERE text IS NOT NULL),
-    tk AS (SELECT doc_id, s, list_transform(s, lambda x: greatest(1, length(x) // 4)) AS t FROM se WHERE len(s) > 0),
-    ps AS (SELECT doc_id, s, len(s) AS n, list_prepend(0, list_transform(range(1, len(t) + 1), lambda i: list_sum(t[1:i])::INT)) AS p FROM tk),
-    orbit AS (SELECT doc_id, 0 AS idx, 0::BIGINT AS i, greatest(1, len(list_filter(p, lambda x: x <= 500)) - 1)::BIGINT AS j FROM ps
-      UNION ALL
-      SELECT doc_id, idx + 1, nx, greatest(nx + 1, len(list_filter(p, lambda x: x - p[nx + 1] <= 500)) - 1)::BIGINT FROM (
-        SELECT o.doc_id, o.idx, p, greatest(o.i + 1, CASE WHEN c < o.j THEN c WHEN o.j - 1 > o.i THEN o.j - 1 ELSE o.j END)::BIGINT AS nx FROM (
-          SELECT o.*, ps.p, ps.n, greatest(o.i + 1, len(list_filter(ps.p, lambda x: ps.p[o.j + 1] - x > 50))) AS c FROM orbit o JOIN ps USING (doc_id) WHERE o.j < ps.n) o)),
-    ck AS (SELECT doc_id, idx AS chunk_index, 1 AS page, (p[j + 1] - p[i + 1])::INT AS token_count, i::INT AS first_sentence, (j - i)::INT AS n_sentences, array_to_string(s[i + 1:j], chr(10) || chr(10)) AS text FROM orbit JOIN ps USING (doc_id))"""
+_GRAPH = f"{_E}, edges AS (SELECT DISTINCT e.doc_id, least(e.a, e.b) AS src, greatest(e.a, e.b) AS dst FROM (SELECT doc_id, lower(entity) AS a, lower(trim(unnest(related))) AS b FROM m) e WHERE e.b <> '' AND e.a <> e.b), top AS (SELECT doc_id, rank, entity, type, frequency FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, ord) AS rank FROM m) WHERE rank <= 12)"
 _STATUS = "st AS (SELECT user_id AS document_id, (['" + "', '".join(workspace.PROGRESS) + f"'])[(event_id % {len(workspace.PROGRESS)} + 1)::INT] AS status, ts, event_id FROM events)"
 
 _NUMBER = lambda x: f"CASE WHEN abs({x} * 10 - round({x} * 10)) < 1e-9 THEN printf('%.1f', {x}) ELSE printf('%.2f', {x}) END"
@@ -375,17 +375,17 @@ ORACLE_SQL = {
     "chunk_pair_candidates": f"WITH {_pairs_sql(0.45, 0.95, 0.70, 'greatest(8, least(15, n))')} SELECT * FROM kept UNION ALL SELECT doc_id, 1, min(ord), min(ord), 1.0 FROM vs GROUP BY doc_id HAVING count(*) = 1",
     "fact_pair_candidates": f"WITH {_pairs_sql(0.20, 0.85, 0.55, '40')} SELECT * FROM kept",
     "fact_pair_heuristic": f"WITH {audit.FACT_ROWS}, o AS (SELECT doc_id, ord, lower(trim(subject)) AS s, lower(trim(value)) AS v FROM facts WHERE trim(subject) <> '' AND trim(value) <> '') SELECT x.doc_id, x.ord AS a, y.ord AS b, 0.55::DOUBLE AS similarity FROM o x JOIN o y ON x.doc_id = y.doc_id AND x.s = y.s AND x.ord < y.ord AND x.v <> y.v",
-    "parse_replies": f"{_REPLIES} SELECT doc_id, reply_id, summary IS NOT NULL AS ok, type, summary, confidence, strength FROM parsed",
-    "score_contradictions": f"{_REPLIES}, sc AS (SELECT doc_id, reply_id, summary, round(0.4::DOUBLE * coalesce(confidence, 0.8) + 0.4::DOUBLE * coalesce(strength, 0.8) + 0.2::DOUBLE * coalesce(similarity, 0.5), 6) AS score FROM parsed WHERE summary IS NOT NULL) SELECT *, {_BAND(0.85, 0.65, 0.45)} FROM sc",
-    "score_semantic_conflicts": f"{_REPLIES}, sc AS (SELECT doc_id, reply_id, summary, round(0.5::DOUBLE * coalesce(confidence, 0.8) + 0.3::DOUBLE * (1 - coalesce(similarity, 0.5)) + 0.2::DOUBLE * coalesce(confidence, 0.8), 6) AS score FROM parsed WHERE summary IS NOT NULL) SELECT *, {_BAND(0.80, 0.60, 0.40)} FROM sc",
-    "resolve_quotes": f"WITH {audit.CORPUS}, qs AS (SELECT doc_id, chunk_index AS quote_id, CASE WHEN chunk_index % 2 = 0 THEN upper(substr(text, 20, 40)) ELSE 'nothing of the kind' END AS quote FROM corpus), hit AS (SELECT q.doc_id, q.quote_id, arg_min(c.page, c.chunk_index) AS page, arg_min(c.text, c.chunk_index) AS text FROM qs q JOIN corpus c ON q.doc_id = c.doc_id AND contains(lower(c.text), lower(trim(q.quote))) GROUP BY ALL) SELECT q.doc_id, q.quote_id, coalesce(h.page, 99) AS page, CASE WHEN length(coalesce(h.text, quote)) > 300 THEN concat(substr(coalesce(h.text, quote), 1, 300), '...') ELSE coalesce(h.text, quote) END AS snippet, CASE WHEN h.page IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS score FROM qs q LEFT JOIN hit h ON q.doc_id = h.doc_id AND q.quote_id = h.quote_id",
+    "parse_replies": f"{_REPLIES} SELECT doc_id, reply_id, ok, type, summary, confidence, strength, is_contradiction FROM parsed",
+    "score_contradictions": f"{_REPLIES}, sc AS (SELECT doc_id, reply_id, coalesce(summary, 'Contradiction detected') AS summary, round(0.4::DOUBLE * coalesce(confidence, 0.8) + 0.4::DOUBLE * coalesce(strength, 0.8) + 0.2::DOUBLE * coalesce(similarity, 0.5), 6) AS score FROM parsed WHERE ok) SELECT *, {_BAND(0.85, 0.65, 0.45)} FROM sc",
+    "score_semantic_conflicts": f"{_REPLIES}, sc AS (SELECT doc_id, reply_id, summary, round(0.5::DOUBLE * coalesce(confidence, 0.75) + 0.3::DOUBLE * (1 - coalesce(similarity, 0.5)) + 0.2::DOUBLE * coalesce(confidence, 0.75), 6) AS score FROM parsed WHERE ok AND is_contradiction) SELECT *, {_BAND(0.80, 0.60, 0.40)} FROM sc",
+    "resolve_quotes": f"WITH {audit.CORPUS}, qs AS (SELECT doc_id, chunk_index AS quote_id, CASE WHEN chunk_index % 2 = 0 THEN upper(substr(text, 20, 40)) ELSE 'nothing of the kind' END AS quote FROM corpus), hit AS (SELECT q.doc_id, q.quote_id, arg_min(c.page, c.chunk_index) AS page, arg_min(c.text, c.chunk_index) AS text FROM qs q JOIN corpus c ON q.doc_id = c.doc_id AND contains(lower(c.text), lower(trim(q.quote))) GROUP BY ALL) SELECT q.doc_id, q.quote_id, coalesce(h.page, 99) AS page, substr(coalesce(h.text, quote), 1, 400) AS snippet, CASE WHEN h.page IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS score FROM qs q LEFT JOIN hit h ON q.doc_id = h.doc_id AND q.quote_id = h.quote_id",
     "dedupe_facts": f"{_DEDUPED} SELECT * FROM dx",
     "shape_facts": f"{_DEDUPED} SELECT doc_id, concat('fact-', substr(sha256(concat_ws('|', doc_id, subject, predicate, value)), 1, 12)) AS id, 'definitional' AS type, subject, predicate, value, confidence, page, evidence[1] AS evidence FROM dx",
     "merge_entities": f"{_E} SELECT doc_id, type, entity, confidence, frequency, coalesce(related, []) AS related FROM m",
     "entity_graph": f"{_GRAPH} SELECT * FROM edges",
     "top_entities": f"{_GRAPH} SELECT * FROM top",
     "top_graph": f"{_GRAPH}, tr AS (SELECT doc_id, lower(entity) AS name, min(rank) AS r FROM top GROUP BY ALL) SELECT e.doc_id, CASE WHEN x.r < y.r THEN e.src ELSE e.dst END AS source, CASE WHEN x.r < y.r THEN e.dst ELSE e.src END AS target FROM edges e JOIN tr x ON e.doc_id = x.doc_id AND e.src = x.name JOIN tr y ON e.doc_id = y.doc_id AND e.dst = y.name",
-    "entity_conflicts": f"WITH {audit.FACT_ROWS}, {audit.ENTITY_ROWS}, {audit.CLEAN_FACTS}, {audit.FACT_CONFLICTS}, {audit.ENTITY_CONFLICTS} SELECT * FROM entity_conflicts",
+    "entity_conflicts": f"WITH {audit.FACT_ROWS}, {audit.ENTITY_ROWS}, {audit.CLEAN_FACTS}, {audit.FACT_CONFLICTS}, {audit.ENTITY_CONFLICTS} SELECT doc_id, entity, value_a, value_b, pages, confidence, severity FROM entity_conflicts",
     "organisation_members": f"WITH {_TENANTS} SELECT organization_id, user_id, name, email, role FROM members JOIN users USING (user_id)",
     "access_scope": f"WITH {_TENANTS}, vis AS (SELECT owner_id AS user_id, workspace_id FROM spaces UNION SELECT m.user_id, s.workspace_id FROM spaces s JOIN members m USING (organization_id)) SELECT v.user_id, d.document_id, v.workspace_id, CASE WHEN s.organization_id IS NULL THEN CASE WHEN s.owner_id = v.user_id THEN 'admin' END ELSE m.role END AS role FROM vis v JOIN spaces s USING (workspace_id) LEFT JOIN members m ON m.user_id = v.user_id AND m.organization_id = s.organization_id JOIN docs d ON d.workspace_id = v.workspace_id",
     "library_overview": f"WITH {_TENANTS} SELECT user_id, count(*) AS documents, count(*) FILTER (status = 'COMPLETED') AS completed, round_even(sum(bytes) / 1048576.0::DOUBLE, 2) AS megabytes FROM docs GROUP BY user_id",
@@ -404,10 +404,10 @@ ORACLE_SQL = {
     "stream_window_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "executive_summary": f"""{audit.EVERYTHING}, {audit.SCORES}, {_DEDUPED.removeprefix(_F + ", ")},
         h1 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, concat_ws(' ', subject, predicate, value) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM dx) WHERE n <= 15 GROUP BY doc_id),
-        h2 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, summary AS x, row_number() OVER (PARTITION BY doc_id ORDER BY summary) AS n FROM merged) WHERE n <= 8 GROUP BY doc_id),
+        h2 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, summary AS x, row_number() OVER (PARTITION BY doc_id ORDER BY source, ca, ia, cb, ib, summary) AS n FROM merged) WHERE n <= 8 GROUP BY doc_id),
         h3 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, concat('Broken reference: ', reference, ' -> ', target) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, rule, i) AS n FROM refs WHERE status = 'BROKEN_REFERENCE') WHERE n <= 8 GROUP BY doc_id),
         h4 AS (SELECT doc_id, least(10, count(*)) AS v FROM matrix GROUP BY doc_id),
-        h5 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, concat(entity, ': ''', value_a, ''' vs ''', value_b, '''') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY entity, value_a, value_b) AS n FROM entity_conflicts) WHERE n <= 8 GROUP BY doc_id),
+        h5 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, concat(entity, ': ''', value_a, ''' vs ''', value_b, '''') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY source, oa, ob) AS n FROM entity_conflicts) WHERE n <= 8 GROUP BY doc_id),
         h6 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, concat('Ambiguity: ''', phrase, ''' (', category, ')') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, rule, i) AS n FROM vague) WHERE n <= 8 GROUP BY doc_id)
         SELECT t.doc_id, concat('Executive summary of document ', t.doc_id, '. The document has a trust score of ', {_NUMBER("t.score")}, '% based on automated intelligence checks.') AS executive_summary,
           coalesce(list_transform(h1.v, lambda f: concat('Fact: ', f)), ['No major facts extracted.']) AS key_findings, list_concat(coalesce(h3.v, []), coalesce(h6.v, [])) AS critical_risks,
@@ -418,7 +418,7 @@ ORACLE_SQL = {
         FROM trust t LEFT JOIN h1 USING (doc_id) LEFT JOIN h2 USING (doc_id) LEFT JOIN h3 USING (doc_id) LEFT JOIN h4 USING (doc_id) LEFT JOIN h5 USING (doc_id) LEFT JOIN h6 USING (doc_id)""",
     "review_report": f"""{audit.EVERYTHING}, {audit.SCORES},
         h3 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, concat(reference, ' -> ', target, ' (Page ', page, ')') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, rule, i) AS n FROM refs WHERE status = 'BROKEN_REFERENCE') WHERE n <= 8 GROUP BY doc_id),
-        h5 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, concat(entity, ': ''', value_a, ''' vs ''', value_b, '''') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY entity, value_a, value_b) AS n FROM entity_conflicts) WHERE n <= 8 GROUP BY doc_id),
+        h5 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, concat(entity, ': ''', value_a, ''' vs ''', value_b, '''') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY source, oa, ob) AS n FROM entity_conflicts) WHERE n <= 8 GROUP BY doc_id),
         h6 AS (SELECT doc_id, list(x ORDER BY n) AS v FROM (SELECT doc_id, concat('''', phrase, ''' (', category, ') on Page ', page) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, rule, i) AS n FROM vague) WHERE n <= 8 GROUP BY doc_id),
         al AS (SELECT t.doc_id, coalesce(h3.v, []) AS b, coalesce(h5.v, []) AS c, coalesce(h6.v, []) AS a FROM trust t LEFT JOIN h3 USING (doc_id) LEFT JOIN h5 USING (doc_id) LEFT JOIN h6 USING (doc_id))
         SELECT doc_id, ['Verify that all sections mentioned in references exist.'] AS reviewer_checklist,

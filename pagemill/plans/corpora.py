@@ -43,8 +43,8 @@ FROM lineitem"""
 #: replies of a model about pairs of chunks: fenced, bare and broken JSON
 REPLIES = """SELECT l_orderkey AS doc_id, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS int) AS reply_id,
   CASE WHEN l_partkey % 11 = 0 THEN 'no conflict here' ELSE concat(CASE WHEN l_partkey % 2 = 0 THEN concat('```json', chr(10)) ELSE 'Result: ' END,
-    '{{"type": "numerical", "summary": "Item ', cast(l_partkey % 50 AS {STRING}), ' differs", "confidence": ', cast(0.5 + (l_partkey % 10) * 0.05 AS {STRING}),
-    CASE WHEN l_suppkey % 2 = 0 THEN concat(', "strength": ', cast(0.3 + (l_suppkey % 7) * 0.1 AS {STRING})) ELSE '' END, '}}',
+    '{{"type": "numerical", ', CASE WHEN l_partkey % 13 = 0 THEN '' ELSE concat('"summary": "Item ', cast(l_partkey % 50 AS {STRING}), ' differs", ') END, CASE WHEN l_linenumber % 4 = 0 THEN '' WHEN l_linenumber % 4 = 1 THEN '"is_contradiction": false, ' ELSE '"is_contradiction": true, ' END, CASE WHEN l_partkey % 3 = 0 THEN '"confidence": null' ELSE concat('"confidence": ', cast(0.5 + (l_partkey % 10) * 0.05 AS {STRING})) END,
+    CASE WHEN l_suppkey % 2 = 0 THEN concat(', "contradiction_strength": ', cast(0.3 + (l_suppkey % 7) * 0.1 AS {STRING})) ELSE '' END, '}}',
     CASE WHEN l_partkey % 2 = 0 THEN concat(chr(10), '```') ELSE '' END) END AS reply,
   CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE round(0.4 + l_discount * 5, 2) END AS similarity
 FROM lineitem"""

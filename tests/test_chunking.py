@@ -39,3 +39,29 @@ def test_rate_limit(spark):
     asked = spark.createDataFrame([(1, f"2024-01-01 00:00:{i:02d}") for i in range(11)], "key long, ts string").selectExpr("key", "cast(ts as timestamp) as ts")
     rows = rate_limit(asked, 10, 60).orderBy("ts").collect()
     assert [r.admitted for r in rows] == [True] * 10 + [False] and rows[4].remaining == 5 and rows[4].reset == 60
+
+
+def test_chunk_offsets_and_tokenizer(spark):
+    from pyspark.sql import functions as F
+
+    from pagemill.operators.chunking import chunk_documents
+
+    pages = [(1, 1, "  One two.   Three four! \n Five?"), (1, 2, "Six seven. Eight."), (2, 1, None), (3, 1, "")]
+    frame = spark.createDataFrame(pages, "doc_id long, page int, text string")
+    words = lambda t: F.size(F.split(t, " "))
+    out = [(r.chunk_index, r.page, r.token_count, r.text, r.start_char, r.end_char) for r in chunk_documents(frame, 4, 0, words).orderBy("chunk_index").collect()]
+    flat = "\n\n".join(t for _, _, t in pages[:2])
+    assert [flat[a:b] for *_, a, b in out] == ["One two.   Three four!", "Five?\n\nSix seven. Eight."]
+    assert [(i, p, n, t) for i, p, n, t, *_ in out] == [(0, 1, 4, "One two.\n\nThree four!"), (1, 2, 4, "Five?\n\nSix seven.\n\nEight.")]
+
+
+def test_scoped_search(spark):
+    from pagemill.operators.retrieval import dense_search
+
+    chunks = spark.createDataFrame([("c1", 1, 1, "a", [1.0, 0.0]), ("c0", 1, 1, "a", [1.0, 0.0]), ("c2", 2, 1, "b", [0.6, 0.8]), ("c3", 3, 1, "c", None)], "chunk_id string, doc_id long, page int, text string, vector array<double>")
+    queries = spark.createDataFrame([(7, "q", [1.0, 0.0]), (8, "q", [1.0, 0.0]), (9, "q", None)], "query_id int, text string, vector array<double>")
+    scope = spark.createDataFrame([(8, 2)], "query_id int, doc_id long")
+    rows = lambda **o: sorted((r.query_id, r.rank, r.chunk_id, r.similarity) for r in dense_search(queries, chunks, 2, **o).collect())
+    assert rows(scope=scope, block=1) == [(7, 1, "c0", 1.0), (7, 2, "c1", 1.0), (8, 1, "c2", 0.6)]
+    assert rows(allowed={"doc_id": [2]}) == [(7, 1, "c2", 0.6), (8, 1, "c2", 0.6)]
+    assert dense_search(queries.limit(0), chunks).count() == 0 and dense_search(queries, chunks.limit(0)).count() == 0
