@@ -57,29 +57,46 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
         parent[moved], label = best[moved], low
 
 
-def _links(group: list[tuple], cosine: float, out: list[tuple]) -> None:
+class Rows:
+    """Rows of sorted groups as arrays; vectors and keys are read from their flat columns."""
+
+    def __init__(self, table: pa.Table, tables: int):
+        column = lambda k: table.column(k).combine_chunks()
+        self.t, self.key, self.lo, self.hi, self.side, self.node, self.copies = (column(k).to_numpy() for k in range(1, 8))
+        self.keys = column(8).flatten().to_numpy().reshape(-1, tables)
+        vectors = column(9)
+        self.begin = vectors.offsets.to_numpy()[:-1].astype(np.int64)
+        self.dims = np.diff(vectors.offsets.to_numpy())
+        self.values = vectors.values.to_numpy(zero_copy_only=False)
+        label = np.array(table.column(0).to_pylist(), object)
+        same = (label[1:] == label[:-1]) & np.all([c[1:] == c[:-1] for c in (self.t, self.key, self.lo, self.hi)], axis=0)
+        self.starts = np.concatenate([[0], np.flatnonzero(~same.astype(bool)) + 1])
+
+
+def _links(rows: Rows, begin: int, end: int, cosine: float, out: list[tuple]) -> None:
     """Link counts (node, links, null) and forest edges (node, 0, other) of one pair of slices of a bucket."""
-    t, within = group[0][1], group[0][3] == group[0][4]
-    for dim in {len(g[9]) for g in group}:
-        same = [g for g in group if len(g[9]) == dim]
-        if len(same) < 2:
+    within = rows.lo[begin] == rows.hi[begin]
+    for dim in np.unique(rows.dims[begin:end]):
+        at = begin + np.flatnonzero(rows.dims[begin:end] == dim)
+        if len(at) < 2:
             continue
-        unit = np.array([g[9] for g in same], np.float64)
-        unit /= np.abs(unit).max(axis=1, keepdims=True)
+        unit = rows.values[rows.begin[at][:, None] + np.arange(dim)]
+        unit = unit / np.abs(unit).max(axis=1, keepdims=True)
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         near = unit @ unit.T >= cosine
         np.fill_diagonal(near, False)
         if not within:
-            side = np.array([g[5] for g in same])
-            near &= side[:, None] != side[None, :]
+            near &= rows.side[at][:, None] != rows.side[at][None, :]
         if not near.any():
             continue
-        own = np.array([g[8] for g in same], np.int64)
-        for earlier in range(t):  # counted there
-            near &= own[:, None, earlier] != own[None, :, earlier]
-        links = near @ np.array([g[7] for g in same], np.int64)
-        out += [(same[i][6], int(links[i]), None) for i in np.nonzero(links)[0]]
-        out += [(same[i][6], 0, same[j][6]) for i, j in _forest(near)]
+        own, node = rows.keys[at], rows.node[at]
+        left, right = np.nonzero(near)
+        t = int(rows.t[begin])
+        counted = (own[left, :t] == own[right, :t]).any(axis=1)  # in an earlier table
+        near[left[counted], right[counted]] = False
+        links = near @ rows.copies[at]
+        out += [(int(node[i]), int(links[i]), None) for i in np.nonzero(links)[0]]
+        out += [(int(node[i]), 0, int(node[j])) for i, j in _forest(near)]
 
 
 def _found(out: list[tuple]) -> pa.RecordBatch:
@@ -96,7 +113,7 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.93, tables: int = 28,
     ship_code(spark)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(finite & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull(), F.lit(False))
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     rows = materialise(rows.withColumn("usable", usable), "vectors")
 
     classes = rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
@@ -113,7 +130,7 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.93, tables: int = 28,
                     found[i] = k.tolist()
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(found, pa.list_(pa.int64()))], ["label", "embedding", "node", "copies", "keys"])
 
-    classes = classes.mapInArrow(keys, "label string, embedding array<float>, node long, copies long, keys array<long>")
+    classes = classes.mapInArrow(keys, "label string, embedding array<double>, node long, copies long, keys array<long>")
     classes = materialise(classes, "vector-classes")
     keyed = classes.select("node", "label", F.posexplode("keys").alias("t", "key"))
     sizes = keyed.groupBy("label", "t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -126,19 +143,28 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.93, tables: int = 28,
     keyed = keyed.join(body, (keyed["node"] == body["node"]) & (keyed["label"] == body["own_label"])).drop(body["node"]).drop("own_label")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        left: pa.Table | None = None
         out: list[tuple] = []
+
+        def take(table: pa.Table, whole: bool) -> pa.Table | None:
+            """Links of the groups of ``table``; its last one may go on and is returned, unless it is ``whole``."""
+            if not len(table):
+                return None
+            rows = Rows(table, tables)
+            ends = [*rows.starts[1:].tolist(), len(table)]
+            for begin, end in zip(rows.starts.tolist(), ends if whole else ends[:-1], strict=False):
+                if end - begin > 1:
+                    _links(rows, begin, end, cosine, out)
+            return None if whole else table.slice(int(rows.starts[-1]))
+
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][:5] != row[:5]:
-                    _links(held, cosine, out)
-                    held = []
-                held.append(row)
+            table = pa.Table.from_batches([batch])
+            left = take(pa.concat_tables([left, table]) if left is not None else table, False)
             if len(out) > 50_000:
                 yield _found(out)
                 out = []
-        if held:
-            _links(held, cosine, out)
+        if left is not None:
+            take(left, True)
         yield _found(out)
 
     group = ["label", "t", "key", "lo", "hi"]
