@@ -197,11 +197,13 @@ def duplicate_spans(store: DataFrame, length: int, gram: int, batches_of_docs: i
     spark = store.sparkSession
     anchors = materialise(store.select("ref", "packed").mapInArrow(_find(length, gram, batches_of_docs), ANCHORS), "anchors", ["batch"])
     family, met = IndexFamily(spark), None
-    for batch in range(batches_of_docs):
-        own = family.add(anchors.where(F.col("batch") == batch).select("key"))
-        met = own if met is None else met.unionByName(own)
-    found = materialise(anchors.drop("batch").join(met.distinct(), "key"), "matched-suffixes")
-    family.close()
+    try:
+        for batch in range(batches_of_docs):
+            own = family.add(anchors.where(F.col("batch") == batch).select("key"))
+            met = own if met is None else met.unionByName(own)
+        found = materialise(anchors.drop("batch").join(met.distinct(), "key"), "matched-suffixes")
+    finally:
+        family.close()
     discard(spark, anchors)
 
     each = found.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ref", "start", "strings", "anchor")).alias("one"))
