@@ -9,7 +9,7 @@ The softmax has two classes, so what a trained n-gram adds to a text's margin is
 count, are all that is sent to the tasks that score.
 
 Cases: null and empty texts, and those without words, get the score of the bias alone; long texts count whole; repeated
-rows score alike; rows without a label, or labelled 0 and 1 at once, don't train; with no rows of one label, every score
+rows score alike; of several texts with one id the least trains; rows without a label, or labelled 0 and 1 at once, don't train; with no rows of one label, every score
 is the share of toxic labels (0.5 if there are none); an empty table returns no rows; further columns are ignored.
 """
 
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_byte
     for label in (0, 1):  # twice as many as needed: some have no text, or too long a one
         own = fair.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(sample_rows)
         chosen = own if chosen is None else chosen.unionByName(own)
-    rows = short.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = [row for label in (0, 1) for row in rows.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(sample_rows // 2).collect()]
     toxic = np.array([r["toxic"] for r in rows], float)
     if len(set(toxic)) < 2:
