@@ -50,3 +50,55 @@ def test_embeddings(spark):
         assert 0.95 * near.sum() <= found <= near.sum()
         assert all(by_id[i].n_links == 0 and by_id[i].component_id == i for i in range(n, n + 6))
     assert embedding_groups(frame.where("vec_id < 0")).count() == 0
+
+
+def test_embeddings_threshold(spark):
+    """Pairs just over and under the threshold, as doubles; lengths differ; a label's hot group."""
+    from pagemill.llm.embedding_dedup import embedding_groups
+
+    rng = np.random.default_rng(4)
+    rows, near = [], 0
+    for k in range(300):
+        a, b = rng.standard_normal((2, 48))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        cosine = 0.931 if k % 2 else 0.929
+        near += k % 2
+        rows += [(2 * k, a.tolist(), f"l{k}"), (2 * k + 1, (3.7 * (cosine * a + np.sqrt(1 - cosine**2) * b)).tolist(), f"l{k}")]
+    rows += [(1000 + k, rows[1][1][:20], "l0") for k in range(3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    out = {r.vec_id: r for r in embedding_groups(frame).collect()}
+    linked = [k for k in range(300) if out[2 * k + 1].component_id == 2 * k]
+    assert all(k % 2 for k in linked) and len(linked) >= 0.95 * near
+    print("recall at cosine 0.931", len(linked) / near)
+    assert [(out[1000 + k].n_links, out[1000 + k].component_id) for k in range(3)] == [(2, 1000)] * 3
+
+
+def test_toxicity_misspellings(spark):
+    """Misspellings that training never saw are told apart; a model of whole words can't."""
+    import random
+
+    from pagemill.llm.toxicity import fit, scores
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(6))
+    common = [word() for _ in range(400)]
+    some = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    bad = ["zorkblat", "quixfump"]
+    twist = lambda w: w[: (k := rng.randrange(2, 6))] + w[k] + w[k:]  # noqa: E731  a letter doubled
+    docs = [(i, f"{some(20)} {rng.choice(bad)} {some(9)} {rng.choice(bad)}" if i % 2 else some(31)) for i in range(1200)]
+    tests = [(5000 + i, f"{some(20)} {twist(rng.choice(bad))} {some(9)} {twist(rng.choice(bad))}" if i % 2 else some(31)) for i in range(300)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    model = fit(frame(docs), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int"))
+    out = {r.doc_id: r.score for r in scores(frame(tests), model).collect()}
+    bad_scores, clean_scores = (np.array([out[5000 + i] for i in range(300) if i % 2 == k]) for k in (1, 0))
+    auc = np.mean(bad_scores[:, None] > clean_scores[None, :])  # 0.5 for a model of whole words, which sees nothing it knows
+    seen = {w for _, t in docs for w in t.split()}
+    unseen = sum(not any(w in bad for w in t.split() if w in seen) for i, t in tests if i % 2)
+    print("AUC on unseen misspellings", auc, "caught", np.mean(bad_scores >= 0.5))
+    assert unseen == 150 and auc > 0.95 and np.mean(clean_scores >= 0.5) < 0.05
+    assert scores(frame(docs[:0]), model).count() == 0
+    both = [*docs, (1, docs[1][1]), (7, "other text"), (9, "w " * 40_000)]
+    again = fit(frame(both).repartition(5), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int"))
+    assert np.array_equal(again.margins, fit(frame(both[::-1]), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")).margins)
