@@ -4,8 +4,9 @@ The tokenizer drops white space, none of its tokens spans any, and its special s
 are those of its chunks in order. Chunks repeat much more than texts do: each Python worker keeps a bounded table of
 those it has encoded. Special strings in a chunk are handled as by default, since the library encodes the chunk.
 
-Two more facts spare encoding: the tokenizer lower-cases (A-Z are lowered here unless the chunk may hold a special
-string), and a single stop after an ASCII letter is a token run of its own.
+Three more facts spare encoding: the tokenizer lower-cases (A-Z are lowered here unless the chunk may hold a special
+string), a single stop after an ASCII letter is a token run of its own, and a chunk of letters up to U+00FF is one word
+that no normaliser but lower-casing changes, so the library's model can be asked for it directly.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ import numpy as np
 
 MAX_CHUNKS = 600_000
 STOPS = frozenset(b".,;:!?")
+#: byte -> its character in a byte-level vocabulary: itself where that is visible, else the next from U+0100 on
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: chr(b) for b in VISIBLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(VISIBLE)))}
 _tables: dict[tuple, "ChunkTable"] = {}
 
 
@@ -29,6 +33,7 @@ class ChunkTable(dict):
         super().__init__()
         self.limit = limit
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model = self.tokenizer.model
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
@@ -39,7 +44,13 @@ class ChunkTable(dict):
         elif plain != chunk:
             packed = self[plain]
         else:
-            ids = self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
+            text = chunk.decode("utf-8")
+            if chunk.isalpha():
+                ids = [t.id for t in self.model.tokenize(text)]
+            elif text.isalpha() and max(text) <= "\xff":
+                ids = [t.id for t in self.model.tokenize("".join(BYTE_CHARACTERS[b] for b in text.lower().encode()))]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             packed = np.array(ids, dtype="<u4").tobytes()
         if len(self) < self.limit:
             self[chunk] = packed

@@ -31,6 +31,18 @@ def ids():
     return lambda t: whole.encode(t or "", add_special_tokens=False).ids
 
 
+def test_chunks(ids):
+    """Chunks of all kinds against the library, letters up to U+00FF and beyond among them."""
+    from pagemill.llm.wordtokens import ChunkTable, encode, read_tokenizer
+
+    table = ChunkTable(read_tokenizer(tokenizer_path("word_bpe_49k.json"))[1])
+    rng = random.Random(22)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCxyz", "".join(map(chr, range(0xAA, 0x180))), "aé\u0301ñö", "ß½²µªº", "a1.,!?'s", "<|>endoftxar", "Ünïcødé", "İıſΣς日本"]
+    for n in range(6000):
+        text = " ".join("".join(rng.choice(kinds[n % len(kinds)]) for _ in range(rng.randint(1, 12))) for _ in range(3))
+        assert np.frombuffer(encode(table, text.encode()), "<u4").tolist() == ids(text), text
+
+
 def test_packing(spark, docs, ids):
     from pagemill.llm.packing import pack
 
