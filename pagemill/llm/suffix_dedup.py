@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pagemill.session import discard, materialise, ship_code
 
 PART = 1 << 20
+HOT_SHARE = 1000
 POSITION = np.uint64((1 << 27) - 1)
 ANCHORS = "ref long, batch int, key long, content long, start int, strings int, anchor int"
 
@@ -145,19 +146,23 @@ class IndexFamily:
         self.made.remove(name)
 
     def add(self, suffixes: DataFrame) -> DataFrame:
-        """Index a batch (key); returns its keys that meet another suffix, of the batch or of a level."""
+        """Index a batch (key); returns its keys that meet another suffix, of the batch or of a level.
+
+        ``hot`` marks those with over a ``HOT_SHARE``-th of the batch's suffixes, so at most as many a batch.
+        """
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
             self.levels.append((2 * size, self.store(self.spark.table(a).unionByName(self.spark.table(b)).distinct())))
             self.drop(a)
             self.drop(b)
-        counted = suffixes.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("twice"))
-        counted = materialise(counted, "suffix-batch")
+        counted = materialise(suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "suffix-batch")
+        total = counted.agg(F.sum("n")).first()[0] or 0
         batch = self.store(counted)
-        met = counted.where("twice").select("key")
+        met = counted.where("n > 1").select("key", (F.col("n") > total / HOT_SHARE).alias("hot"))
         for _, level in self.levels:
-            met = met.unionByName(self.spark.table(batch).join(self.spark.table(level).hint("merge"), "key", "left_semi"))
-        met = materialise(met.distinct(), "suffix-matches")
+            more = self.spark.table(batch).join(self.spark.table(level).hint("merge"), "key", "left_semi")
+            met = met.unionByName(more.select("key", F.lit(False).alias("hot")))
+        met = materialise(met.groupBy("key").agg(F.bool_or("hot").alias("hot")), "suffix-matches")
         self.levels.append((1, batch))
         discard(self.spark, counted)
         return met
@@ -192,6 +197,17 @@ def _align(length: int, regions_at: list[tuple], out: list) -> None:
         out += [(key, content, a, b) for a, b in runs]
 
 
+def matched(anchors: DataFrame, met: DataFrame) -> DataFrame:
+    """The ``anchors`` whose key is in ``met`` (key, hot).
+
+    Hot keys, of which there are at most ``HOT_SHARE`` a batch, are broadcast: their anchors don't meet in one task.
+    """
+    met = materialise(met.groupBy("key").agg(F.bool_or("hot").alias("hot")), "met-suffixes")
+    hot = F.broadcast(met.where("hot").select("key"))
+    rest = anchors.join(hot, "key", "left_anti").join(met.where("not hot").select("key"), "key")
+    return anchors.join(hot, "key").unionByName(rest)
+
+
 def duplicate_spans(store: DataFrame, length: int, gram: int, batches_of_docs: int, hot_regions: int = 2000) -> DataFrame:
     """ref, spans (array of first and end byte) of the texts that hold strings which occur elsewhere too."""
     spark = store.sparkSession
@@ -201,7 +217,7 @@ def duplicate_spans(store: DataFrame, length: int, gram: int, batches_of_docs: i
         for batch in range(batches_of_docs):
             own = family.add(anchors.where(F.col("batch") == batch).select("key"))
             met = own if met is None else met.unionByName(own)
-        found = materialise(anchors.drop("batch").join(met.distinct(), "key"), "matched-suffixes")
+        found = materialise(matched(anchors.drop("batch"), met), "matched-suffixes")
     finally:
         family.close()
     discard(spark, anchors)
