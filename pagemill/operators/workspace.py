@@ -17,6 +17,11 @@ def members(memberships: DataFrame, users: DataFrame) -> DataFrame:
     return memberships.join(users, "user_id").select("organization_id", "user_id", "name", "email", "role")
 
 
+def organisations_of(memberships: DataFrame, organisations: DataFrame) -> DataFrame:
+    """Organisations (organization_id, organization) of each user, with their role there."""
+    return memberships.join(organisations, "organization_id").select("user_id", "organization_id", "organization", "role")
+
+
 def visible_workspaces(workspaces: DataFrame, memberships: DataFrame) -> DataFrame:
     """(user_id, workspace_id) that a user owns or whose organisation they belong to: two branches, no OR in a join."""
     owned = workspaces.select(F.col("owner_id").alias("user_id"), "workspace_id")

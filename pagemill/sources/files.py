@@ -5,8 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pagemill.functions.text import title_of
+from pagemill.session import materialise
 
 
 def resolve_format(name: Column, mime: Column) -> Column:
@@ -76,6 +78,27 @@ def write_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
     bucketed.repartition("doc_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
 
 
+def replace_in(spark: SparkSession, chunks: DataFrame, documents: DataFrame, path: str, buckets: int = 64) -> None:
+    """Replace the chunks of ``documents`` (doc_id) in the table that :func:`write_chunks` keeps at ``path`` by ``chunks``.
+
+    Partitions that hold such documents are read once; their other rows are written back with the new ones. The rows are
+    written aside first, as a table can't be read while it is replaced. Without a table, one is made.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        write_chunks(chunks, path, buckets)
+        return
+    old = spark.read.schema(StructType([*chunks.schema.fields, StructField("doc_bucket", LongType())])).parquet(path)
+    touched = documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("doc_bucket")).distinct()
+    kept = old.join(F.broadcast(touched), "doc_bucket", "left_semi").join(documents, "doc_id", "left_anti").drop("doc_bucket")
+    new = materialise(kept.unionByName(chunks), "replaced-chunks")
+    write_chunks(new, path, buckets)
+    filled = new.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("doc_bucket"))
+    for (bucket,) in touched.join(filled, "doc_bucket", "left_anti").collect():  # at most ``buckets`` rows
+        empty = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/doc_bucket={bucket}")
+        empty.getFileSystem(spark._jsc.hadoopConfiguration()).delete(empty, True)
+
+
 def duplicate_files(docs: DataFrame) -> DataFrame:
     """Groups of two or more documents with equal content: sha256, copies, smallest id."""
     return docs.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
