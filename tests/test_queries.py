@@ -8,7 +8,7 @@ import pytest
 from pagemill.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["numeric_conflicts", "references", "requirement_matrix", "ambiguities", "clean_pages", "chunk_documents", "retrieve", "dedupe_facts", "merge_entities", "entity_conflicts", "access_scope", "rate_limit", "stream_window_counts"]
+QUICK = ["numeric_conflicts", "references", "requirement_matrix", "ambiguities", "clean_pages", "chunk_documents", "retrieve", "dedupe_facts", "merge_entities", "entity_conflicts", "access_scope", "rate_limit", "stream_window_counts", "context_head", "payload_defaults", "stream_sessions", "explained_conflicts"]
 
 
 def plain(v):
