@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pagemill.llm.sentencepiece_lattice import MARK, read_pieces
 from pagemill.llm.wordtokens import BYTE_CHARACTERS
 from pagemill.session import materialise, ship_code
 
-MAX_CHUNKS = 200_000
+MAX_CHUNKS = 300_000
 #: the pattern by which byte-level BPE tokenizers of this kind cut a text (fixed value)
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
@@ -51,10 +53,14 @@ def read_byte_level(path: str) -> dict[bytes, int]:
     return ranks
 
 
+#: white space at an end of a text or beside a space
+AT_EDGE = re.compile(r" \s|\s |^\s|\s$")
+
+
 def chunks_of(text: str) -> list[str]:
     """``text`` cut at the single spaces that stand between two characters that aren't white space."""
     parts = text.split(" ")
-    if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
+    if not AT_EDGE.search(text):
         return parts
     out = [parts[0]]
     for part in parts[1:]:
@@ -65,70 +71,154 @@ def chunks_of(text: str) -> list[str]:
     return out
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The places of all elements of ``rows`` of a ragged array, one row after the other."""
+    own = sizes[rows]
+    return np.repeat(starts[rows] - np.cumsum(own) + own, own) + np.arange(own.sum())
+
+
+class Ragged:
+    """Rows of different lengths in one array, to which rows are added."""
+
+    def __init__(self, kind: type):
+        self.values, self.sizes = np.zeros(0, kind), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.values, self.sizes = np.concatenate([self.values, values.astype(self.values.dtype)]), np.concatenate([self.sizes, sizes])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        return self.values[spread(self.starts, self.sizes, rows)]
+
+
 class Windows:
-    """The windows that a task has met: numbers of tokens, groups and links, the groups as text and the linked pairs of ids."""
+    """The windows that a worker has met, by their tuples of ids: numbers of tokens and groups, the linked pairs of ids, and the
+    groups as codes, 3 * id and what stands behind that id: a comma, a bar (the last of A in a group) or a semicolon (of B)."""
 
     def __init__(self, tokens_a: list[bytes], tokens_b: list[bytes]):
         self.size_a, self.size_b = (np.array([len(t) for t in tokens]) for tokens in (tokens_a, tokens_b))
         self.space_a, self.space_b = (np.array([t[:1] == b" " for t in tokens]) for tokens in (tokens_a, tokens_b))
+        self.spelled = [f"{i}{end}" for i in range(max(len(tokens_a), len(tokens_b))) for end in ",|;"]
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[tuple[bytes, bytes], int] = {}
-        self.text: list[str] = []
-        self.sizes = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, links
-        self.pairs: list[np.ndarray] = []
-
-    def add(self, found: list[tuple[np.ndarray, np.ndarray]]) -> list[list[int]]:
-        """For each pair of id sequences over the same bytes, the numbers of its windows; new windows are aligned all at once."""
-        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        self.number: dict[bytes, int] = {}
+        self.counts = np.zeros((0, 3), np.int64)  # tokens of A, of B, groups; links are the pairs
+        self.pairs, self.codes = Ragged(np.int64), Ragged(np.int32)
+
+    def add(self, a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts, given as the ids of A and of B one text after the other: the numbers of their windows, and how many each has.
+
+        Both sides of a text cover the same bytes. New windows are aligned all at once.
+        """
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        first_a, first_b = (np.cumsum([0, *(len(f[k]) for f in found)]) for k in (0, 1))
+        texts = ends_a[np.cumsum(sizes_a) - 1]
         shared, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        spaced = np.zeros(len(shared), bool)
-        spaced[:-1] = self.space_a[a[at_a[:-1] + 1]] & self.space_b[b[at_b[:-1] + 1]]
-        spaced |= np.isin(at_a + 1, first_a[1:])
-        cut_a, cut_b = np.append(0, at_a[spaced] + 1), np.append(0, at_b[spaced] + 1)
+        anchor = np.zeros(len(shared), bool)
+        anchor[:-1] = self.space_a[a[at_a[:-1] + 1]] & self.space_b[b[at_b[:-1] + 1]]
+        anchor[np.searchsorted(shared, texts)] = True
+        cut_a, cut_b = np.append(0, at_a[anchor] + 1), np.append(0, at_b[anchor] + 1)
         packed_a, packed_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        new, numbers = [], []
-        for k in range(len(cut_a) - 1):
-            key = packed_a[4 * cut_a[k] : 4 * cut_a[k + 1]], packed_b[4 * cut_b[k] : 4 * cut_b[k + 1]]
-            if key not in self.number:
-                self.number[key] = len(self.number)
+        bytes_a, bytes_b = (4 * cut_a).tolist(), (4 * cut_b).tolist()
+        numbers, new, known = [], [], self.number
+        for k in range(len(bytes_a) - 1):
+            key = packed_a[bytes_a[k] : bytes_a[k + 1]] + b"||||" + packed_b[bytes_b[k] : bytes_b[k + 1]]
+            found = known.get(key)
+            if found is None:
+                found = known[key] = len(known)
                 new.append(k)
-            numbers.append(self.number[key])
+            numbers.append(found)
         if new:
-            self.align([(a[cut_a[k] : cut_a[k + 1]], b[cut_b[k] : cut_b[k + 1]]) for k in new])
-        owner = np.searchsorted(first_a[1:], cut_a[:-1], "right")
-        out: list[list[int]] = [[] for _ in found]
-        for k, n in zip(owner.tolist(), numbers, strict=True):
-            out[k].append(n)
-        return out
-
-    def align(self, windows: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        a, b = (np.concatenate([w[k] for w in windows]) for k in (0, 1))
+            fresh = np.array(new)
+            own_a, own_b = np.diff(cut_a), np.diff(cut_b)
+            self.align(a[spread(cut_a[:-1], own_a, fresh)], own_a[fresh], b[spread(cut_b[:-1], own_b, fresh)], own_b[fresh])
+        return np.array(numbers), np.diff(np.searchsorted(shared[anchor], texts, "right"), prepend=0)
+
+    def align(self, a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray) -> None:
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        last_a = np.cumsum([len(w[0]) for w in windows])
+        windows = ends_a[np.cumsum(sizes_a) - 1]
         shared, every = np.intersect1d(ends_a, ends_b, assume_unique=True), np.union1d(ends_a, ends_b)
         # a stretch between neighbouring ends lies in one token of each side, and each overlapping pair has one such stretch
         pair = a[np.searchsorted(ends_a, every)] << 32 | b[np.searchsorted(ends_b, every)]
-        ends = ends_a[last_a - 1]
-        links, groups = np.searchsorted(every, ends, "right"), np.searchsorted(shared, ends, "right")
-        own = np.diff(np.stack([links, groups]), prepend=0)
-        sizes = np.array([[len(x), len(y), 0, 0] for x, y in windows], np.int64)
-        sizes[:, 2], sizes[:, 3] = own[1], own[0]
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.pairs += np.split(pair, links[:-1])
-        group_a, group_b = (np.diff(np.searchsorted(ends, shared, "right"), prepend=0) for ends in (ends_a, ends_b))
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        at_a = at_b = at = 0
-        for count in own[1].tolist():
-            said = []
-            for n_a, n_b in zip(group_a[at : at + count].tolist(), group_b[at : at + count].tolist(), strict=True):
-                said.append(f"{','.join(text_a[at_a : at_a + n_a])}|{','.join(text_b[at_b : at_b + n_b])}")
-                at_a, at_b = at_a + n_a, at_b + n_b
-            at += count
-            self.text.append(";".join(said))
+        links, groups = (np.diff(np.searchsorted(x, windows, "right"), prepend=0) for x in (every, shared))
+        self.pairs.add(pair, links)
+        self.counts = np.concatenate([self.counts, np.stack([sizes_a, sizes_b, groups], axis=1)])
+        # in a group the ids of A come first: tokens are ordered by group, then side
+        group = np.concatenate([np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)])
+        last = np.concatenate([np.isin(ends_a, shared), 2 * np.isin(ends_b, shared)])
+        self.codes.add((3 * np.concatenate([a, b]) + last)[np.argsort(group, kind="stable")], sizes_a + sizes_b)
+
+
+class Aligner:
+    """What a Python worker keeps from task to task: tokenizers, the chunks it has met, their windows."""
+
+    def __init__(self, ranks: dict[bytes, int], tokens_a: list[bytes], tokens_b: list[bytes], model: bytes, max_chunks: int):
+        import sentencepiece
+        import tiktoken
+
+        self.encoder = tiktoken.Encoding("byte level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.tokens_a, self.tokens_b, self.max_chunks = tokens_a, tokens_b, max_chunks
+        self.windows = Windows(tokens_a, tokens_b)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.chunks, self.changed = Ragged(np.int64), np.zeros(0, bool)
+        self.windows.clear()
+
+    def tokenise(self, new: list[str]) -> None:
+        """Adds chunks. Of one that a tokenizer changed no windows are kept."""
+        coded = [list(map(self.encoder.encode_ordinary, [" " + c for c in new])), self.pieces.encode(new, num_threads=1)]
+        changed = np.zeros(len(new), bool)
+        raw = (" " + " ".join(new)).encode()
+        if any(b"".join(map(tokens.__getitem__, chain.from_iterable(side))) != raw for tokens, side in zip((self.tokens_a, self.tokens_b), coded, strict=True)):
+            for tokens, side in zip((self.tokens_a, self.tokens_b), coded, strict=True):
+                changed |= np.array([b"".join(map(tokens.__getitem__, ids)) != (" " + c).encode() for ids, c in zip(side, new, strict=True)])
+            coded = [[ids for ids, odd in zip(side, changed, strict=True) if not odd] for side in coded]
+        flat = [np.fromiter(chain.from_iterable(side), np.int64) for side in coded]
+        sizes = [np.fromiter(map(len, side), np.int64, len(side)) for side in coded]
+        own = np.zeros(len(new), np.int64)
+        numbers = np.zeros(0, np.int64)
+        if len(flat[0]):
+            numbers, own[~changed] = self.windows.add(flat[0], sizes[0], flat[1], sizes[1])
+        self.chunks.add(numbers, own)
+        self.changed = np.append(self.changed, changed)
+
+    def aligned(self, rows: list, ids: list, texts: list[list[str]]) -> pa.RecordBatch:
+        """The rows of texts, given as their chunks."""
+        if len(self.number) > self.max_chunks:
+            self.clear()
+        flat = list(chain.from_iterable(texts))
+        new = [c for c in dict.fromkeys(flat) if c not in self.number]
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        for at in range(0, len(new), 50_000):
+            self.tokenise(new[at : at + 50_000])
+        chunk = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        odd = np.bincount(owner, self.changed[chunk], len(texts)) > 0 if len(flat) else np.zeros(len(texts), bool)
+        chunk, owner = chunk[~odd[owner]], owner[~odd[owner]]
+        numbers, digests, pairs, times = np.zeros((len(texts), 3), np.int64), [""] * len(texts), [np.zeros(0, np.int64)] * len(texts), [np.zeros(0, np.int64)] * len(texts)
+        links = np.zeros(len(texts), np.int64)
+        if len(chunk):
+            window = self.chunks.of(chunk)
+            owner = np.repeat(owner, self.chunks.sizes[chunk])
+            for k in range(3):
+                numbers[:, k] = np.bincount(owner, self.windows.counts[window, k], len(texts))
+            links = np.bincount(owner, self.windows.pairs.sizes[window], len(texts)).astype(np.int64)
+            every, codes, spelled = self.windows.pairs.of(window), self.windows.codes.of(window), self.windows.spelled
+            end_link, end_code = np.cumsum(links).tolist(), np.cumsum(numbers[:, 0] + numbers[:, 1]).tolist()
+            for k in np.flatnonzero(links).tolist():
+                said = "".join(map(spelled.__getitem__, codes[end_code[k - 1] if k else 0 : end_code[k]].tolist()))[:-1]
+                digests[k] = hashlib.sha256(said.encode()).hexdigest()
+                pairs[k], times[k] = np.unique(every[end_link[k - 1] if k else 0 : end_link[k]], return_counts=True)
+        ends = np.cumsum([0, *map(len, pairs)]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(kind))) for x, kind in ((pairs, np.int64), (times, np.int32))]
+        columns = [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(numbers[:, c]) for c in range(3)), pa.array(links), pa.array(digests, pa.string()), *lists]
+        return pa.RecordBatch.from_arrays(columns, [f.split(" ")[0] for f in ALIGNED.split(", ")])
+
+
+_aligners: dict[tuple, Aligner] = {}
 
 
 def aligned(docs: DataFrame, byte_level_path: str, piece_path: str, max_chunks: int = MAX_CHUNKS) -> DataFrame:
@@ -142,56 +232,15 @@ def aligned(docs: DataFrame, byte_level_path: str, piece_path: str, max_chunks:
         tokens_a[i] = token
     tokens_b = [bytes([int(p[1:-1], 16)]) if k == "byte" else p.replace(MARK, " ").encode() if k == "normal" else b"" for p, _, _, k in rows]
     with open(piece_path, "rb") as f:
-        shared = spark.sparkContext.broadcast((ranks, tokens_a, tokens_b, f.read()))
+        model = f.read()
+    key = (hashlib.sha256(model).hexdigest(), hashlib.sha256(b"".join(tokens_a)).hexdigest(), max_chunks)
+    shared = spark.sparkContext.broadcast((ranks, tokens_a, tokens_b, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-        import tiktoken
-
-        ranks, tokens_a, tokens_b, model = shared.value
-        encoder = tiktoken.Encoding("byte level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-        pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
-        windows = Windows(tokens_a, tokens_b)
-        table: dict[str, list[int] | None] = {}  # a chunk's windows; None if a tokenizer changed it
-
-        def tokenise(new: list[str]) -> None:
-            good = []
-            for chunk, a, b in zip(new, map(encoder.encode_ordinary, [" " + c for c in new]), pieces.encode(new, num_threads=1), strict=True):
-                raw = (" " + chunk).encode()
-                if b"".join(map(tokens_a.__getitem__, a)) == raw and b"".join(map(tokens_b.__getitem__, b)) == raw:
-                    good.append((chunk, np.array(a), np.array(b)))
-                else:
-                    table[chunk] = None
-            if good:
-                table.update(zip([g[0] for g in good], windows.add([g[1:] for g in good]), strict=True))
-
-        def finished(held: list[tuple]) -> pa.RecordBatch:
-            if len(table) > max_chunks:
-                table.clear()
-                windows.clear()
-            new = list(dict.fromkeys(c for _, _, chunks in held for c in chunks if c not in table))
-            for at in range(0, len(new), 20_000):
-                tokenise(new[at : at + 20_000])
-            numbers, digests, pairs, times = np.zeros((len(held), 4), np.int64), [""] * len(held), [], []
-            for k, (_, _, chunks) in enumerate(held):
-                parts = [table[c] for c in chunks]
-                if not parts or None in parts:
-                    pairs.append(np.zeros(0, np.int64))
-                    times.append(np.zeros(0, np.int32))
-                    continue
-                own = [n for p in parts for n in p]
-                digests[k] = hashlib.sha256(";".join(map(windows.text.__getitem__, own)).encode()).hexdigest()
-                met, often = np.unique(np.array(own), return_counts=True)
-                numbers[k] = often @ windows.sizes[met]
-                every = np.concatenate([windows.pairs[m] for m in met])
-                pair, place = np.unique(every, return_inverse=True)
-                pairs.append(pair)
-                times.append(np.bincount(place, np.repeat(often, windows.sizes[met, 3])).astype(np.int32))
-            ends = np.cumsum([0, *map(len, pairs)]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (pairs, times)]
-            columns = [pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), *(pa.array(numbers[:, c]) for c in range(4)), pa.array(digests, pa.string()), *lists]
-            return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
-
+        if key not in _aligners:
+            _aligners.clear()
+            _aligners[key] = Aligner(*shared.value, max_chunks)
+        own = _aligners[key]
         for batch in batches:
             held, size = [], 0
             for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -199,10 +248,10 @@ def aligned(docs: DataFrame, byte_level_path: str, piece_path: str, max_chunks:
                 held.append((row, doc_id, chunks_of(text) if text else []))
                 size += len(held[-1][2])
                 if size > 200_000:
-                    yield finished(held)
+                    yield own.aligned(*map(list, zip(*held, strict=True)))
                     held, size = [], 0
             if held:
-                yield finished(held)
+                yield own.aligned(*map(list, zip(*held, strict=True)))
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return numbered.mapInArrow(run, ALIGNED)
