@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from pagemill.session import ship_code
+from pagemill.session import discard, materialise, ship_code
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -145,15 +145,19 @@ def calibrate(model: LanguageModel, windows: list[list[str]], labels: np.ndarray
 def fit(docs: DataFrame, sample_rows: int = 600, row_windows: int = 4, max_langs: int = 500, precision: float = 0.99, **training) -> LanguageModel | None:
     """A model from ``docs`` (text, lang) or None if no row has a language and a letter.
 
-    The sample has at most ``sample_rows`` rows for each of at most ``max_langs`` languages (those with most rows).
+    The sample has at most ``sample_rows`` texts for each of at most ``max_langs`` languages (those with most texts).
     """
     ship_code(docs.sparkSession)
     labelled = docs.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", "text", F.xxhash64("text").alias("key"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    texts = materialise(labelled.select("lang", "key").distinct(), "labelled-texts")
+    counts = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return None
-    chosen = labelled.select("lang", "key").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("r") <= sample_rows)
+    # hashes are even, so the share below a bound is known: only twice the rows that are wanted meet in a language's window
+    bounds = [(r["lang"], min(2**64, 2**64 * (2 * sample_rows + 200) // r["count"]) - 2**63 - 1) for r in counts]
+    low = texts.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where("key <= bound")
+    chosen = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("r") <= sample_rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +171,8 @@ def fit(docs: DataFrame, sample_rows: int = 600, row_windows: int = 4, max_langs
                 yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(found), pa.string()), pa.array([key.as_py()] * len(found), pa.int64()), pa.array(found, pa.string())], ["lang", "key", "words"])
 
     sampled = labelled.join(F.broadcast(chosen.select("lang", "key")), ["lang", "key"]).select("lang", "key", "text").mapInArrow(cut, "lang string, key long, words string")
-    rows = sorted({(r["lang"], r["key"], r["words"]) for r in sampled.where(F.col("lang").isin(langs)).collect()})
+    rows = sorted({(r["lang"], r["key"], r["words"]) for r in sampled.collect()})
+    discard(docs.sparkSession, texts)
     number = {lang: k for k, lang in enumerate(langs)}
     windows, labels = [r[2].split(" ") for r in rows], np.array([number[r[0]] for r in rows], np.int64)
     held = np.array([r[1] % 5 == 0 for r in rows], bool)
