@@ -425,13 +425,23 @@ def test_pipeline_stages(spark, tmp_path):
     some = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
     passage, long = some(60), some(3000)
     given = [(1, None), (2, ""), (3, some(20)), (4, f"{some(10)} {passage}"), (5, f"{some(15)} {passage}"), (None, some(9)), (6, long), (7, long), (8, f"{long} {some(1)}"), (9, long), (9, long)]
-    docs = spark.createDataFrame([(i, t, len(t or ""), "k", i, "n") for i, t in given], "doc_id long, text string, n_chars long, node string, ref long, key string")
+    names = ["node", "ref", "key", "own_id", "span_id", "spans", "_pipeline_row", "rest", "score", "part", "n", "component_id", "kept", "label", "a.b"]
+    docs = spark.createDataFrame([(i, t, len(t or ""), *[7] * len(names)) for i, t in given], "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` long" for c in names))
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     ids = lambda df: Counter(r.doc_id for r in df.collect())
+
+    def written(df):
+        path = f"{tmp_path}/{rng.random()}"
+        df.write.parquet(path)
+        return path
+
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, str(tmp_path))
-        assert set(docs.columns) <= set(out.columns), name
+        assert out.columns[: len(docs.columns)] == docs.columns and len(out.columns) == len(docs.columns) + 1, name
+        assert all(r[c] == 7 for r in out.collect() for c in names), name
+        again = stage(spark, spark.read.parquet(written(out)), str(tmp_path))
+        assert again.columns == out.columns and (name == "substring dedup" or ids(again) == ids(out)), name
         kept[name] = ids(out)
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
     everything = Counter(i for i, _ in given)
