@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pagemill.functions import patterns as P
 from pagemill.functions.text import strip
 from pagemill.functions.vectors import hash_embedding
-from pagemill.operators import audit, chunking, entities
+from pagemill.operators import audit, chunking, entities, reports
 from pagemill.session import materialise
 from pagemill.sources import files
 
@@ -22,16 +23,18 @@ def ingest_corpus(docs: DataFrame, size: int = 500, overlap: int = 50, embed: Ca
     return chunks.withColumn("vector", embed(F.col("text")))
 
 
-def ingest_into(path: str, **options) -> Callable[[DataFrame, int], None]:
+def ingest_into(path: str, failures: str | None = None, **options) -> Callable[[DataFrame, int], None]:
     """What a stream of documents does with each micro-batch: their chunks replace those of the same documents in ``path``.
 
+    With ``failures``, each batch is read back, and buckets that lack what was written are appended to the table there.
+
     A batch that runs again after a failure writes the same rows, as only the partitions of its documents are replaced.
     """
 
     def each(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         chunks = ingest_corpus(batch.dropDuplicates(["doc_id"]), **options)
-        files.replace_in(spark, chunks, batch.select("doc_id").distinct(), path)
+        files.replace_in(spark, chunks, batch.select("doc_id").distinct(), path, failures=failures)
 
     return each
 
@@ -86,6 +89,27 @@ def with_defaults(payloads: DataFrame, schema: str, defaults: dict[str, object],
     return read.select(*payloads.columns, *(F.coalesce(value(name, kind), F.lit(defaults[name]).cast(kind)).alias(name) for name, kind in fields))
 
 
+def listed_with_defaults(payloads: DataFrame, path: str, schema: str, defaults: dict[str, object], column: str = "payload") -> DataFrame:
+    """A row for each element of the list at ``path`` in a JSON payload, its fields read leniently.
+
+    A field that is missing, null, an empty text or no value of its type gets its default; an element that is no object gets
+    all of them. Nested values of text fields come as JSON. A payload that is broken or has no such list gives no row. The
+    columns of ``payloads``, ``place`` (from 0), then the fields of ``schema``.
+    """
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    elements = F.try_variant_get(F.try_parse_json(column), path, "array<variant>")
+    rows = payloads.select("*", F.posexplode(elements).alias("place", "_element"))
+
+    def value(name: str, kind: str) -> Column:
+        raw = F.try_variant_get("_element", f"$.{name}", "variant")
+        nested = F.schema_of_variant(raw).rlike("^(OBJECT|ARRAY)")
+        text = F.nullif(F.when(nested, F.to_json(raw)).otherwise(F.try_variant_get("_element", f"$.{name}", "string")), F.lit(""))
+        read = text if kind == "string" else F.when(~nested, text).try_cast(kind)
+        return F.coalesce(read, F.lit(defaults[name]).cast(kind)).alias(name)
+
+    return rows.select(*payloads.columns, "place", *(value(name, kind) for name, kind in fields))
+
+
 def merged_metadata(base: Column, new: Column) -> Column:
     """Two maps as one: where both have a key, ``new`` wins; null maps count as empty, null values go."""
     none = F.create_map().cast("map<string,string>")
@@ -106,29 +130,54 @@ def explained(conflicts: DataFrame) -> DataFrame:
     return conflicts.withColumns({"explanation": said, "statements": F.array(side("a"), side("b"))})
 
 
-def analyze_corpus(documents: DataFrame, chunks: DataFrame, facts: DataFrame, found: DataFrame) -> DataFrame:
-    """A nested row for each of ``documents`` (doc_id): trust score, deductions and the lists of all findings.
+#: what an analysed document without chunks says. Fixed values
+PROCESSING = "Document is processing."
+
+
+def analyze_corpus(documents: DataFrame, chunks: DataFrame, facts: DataFrame, found: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """A nested row for each of ``documents`` (doc_id): trust score with breakdown and evidence, deductions, the lists of all
+    facts, entities and findings, ``summary`` and ``review``.
 
-    ``facts`` and ``found`` (entities) are what models replied. A document without chunks has score 100, confidence 1 and
-    empty lists. Lists are in the order of detection; a document's findings bound them. Findings are written once, as
-    lists, deductions and scores read them.
+    ``facts``, ``found`` (entities) and ``semantic`` (conflicts of facts, :func:`pagemill.operators.pairs.semantic_conflicts`)
+    are what models replied. A document without chunks has score 100, confidence 1, no breakdown and empty lists. Lists are in
+    the order of detection; a document's findings bound them. Findings are written once, as lists, deductions and scores read
+    them; they are dropped with the folder that holds them, as the result reads them too.
     """
-    conflicts, refs = materialise(audit.contradictions(chunks), "conflicts"), materialise(audit.references(chunks), "references")
+    conflicts, refs = materialise(audit.contradictions(chunks, semantic), "conflicts"), materialise(audit.references(chunks), "references")
     requirements, vague = materialise(audit.requirement_matrix(chunks), "requirements"), materialise(audit.ambiguities(chunks), "ambiguities")
-    clashes = materialise(entities.entity_conflicts(facts, entities.merge_entities(found)), "entity-conflicts")
+    own, named = materialise(entities.dedupe_facts(facts), "facts"), materialise(entities.merge_entities(found), "entities")
+    clashes = materialise(entities.entity_conflicts(facts, named), "entity-conflicts")
     lost = materialise(audit.deductions(chunks, conflicts, refs, requirements, clashes, vague), "deductions")
+    trust = materialise(audit.trust_scores(chunks, lost), "trust")
 
     def listed(frame: DataFrame, name: str, first: list[str]) -> DataFrame:
         rest = [c for c in frame.columns if c not in ("doc_id", *first)]
         return frame.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*first, *rest))).alias(name))
 
-    parts = {"contradictions": (conflicts, ["ord"]), "references": (refs, ["ord"]), "requirements": (requirements, ["requirement_id"]), "entity_conflicts": (clashes, ["ord"]), "ambiguities": (vague, ["ord"]), "deductions": (lost, ["component", "page", "evidence"])}
-    scores = audit.trust_scores(chunks, lost).select("doc_id", "score", "confidence", "n_chunks")
+    parts = {
+        "facts": (entities.shape_facts(own, keep=("ord",)), ["ord"]),
+        "entities": (named, ["ord"]),
+        "contradictions": (conflicts, ["ord"]),
+        "references": (refs, ["ord"]),
+        "requirements": (requirements, ["requirement_id"]),
+        "entity_conflicts": (clashes, ["ord"]),
+        "ambiguities": (vague, ["ord"]),
+        "deductions": (lost, ["component", "page", "evidence"]),
+    }
+    breakdown = F.create_map(*(x for _, k, _ in P.COMPONENTS for x in (F.lit(k), F.col(k))))
+    scores = trust.select("doc_id", "score", "confidence", "n_chunks", breakdown.alias("breakdown"), "evidence")
     rows = documents.select("doc_id").distinct().join(scores, "doc_id", "left")
     for name, (frame, first) in parts.items():
         one = listed(frame, name, first)
         rows = rows.join(one, "doc_id", "left").withColumn(name, F.coalesce(name, F.array().cast(one.schema[name].dataType)))
-    return rows.withColumns({"score": F.coalesce("score", F.lit(100.0)), "confidence": F.coalesce("confidence", F.lit(1.0)), "n_chunks": F.coalesce("n_chunks", F.lit(0))})
+    reported = {"summary": reports.executive_summary(trust, own, conflicts, refs, requirements, clashes, vague), "review": reports.review_report(trust, refs, clashes, vague)}
+    for name, frame in reported.items():
+        fields = [f for f in frame.schema.fields if f.name != "doc_id"]
+        empty = [F.array().cast("array<string>") if f.dataType.simpleString().startswith("array") else F.lit(PROCESSING if f.name == "executive_summary" else "") for f in fields]
+        rows = rows.join(frame.select("doc_id", F.struct(*(f.name for f in fields)).alias(name)), "doc_id", "left")
+        rows = rows.withColumn(name, F.coalesce(name, F.struct(*(e.alias(f.name) for e, f in zip(empty, fields, strict=True)))))
+    none = F.create_map().cast("map<string,double>")
+    return rows.withColumns({"score": F.coalesce("score", F.lit(100.0)), "confidence": F.coalesce("confidence", F.lit(1.0)), "n_chunks": F.coalesce("n_chunks", F.lit(0)), "breakdown": F.coalesce("breakdown", none), "evidence": F.coalesce("evidence", F.lit(""))})
 
 
 def expectations(analysis: DataFrame, rules: dict[str, str]) -> DataFrame:

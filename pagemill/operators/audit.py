@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagemill.functions import patterns as P
-from pagemill.functions.scan import java, matches, snippet
+from pagemill.functions.scan import found as without_offsets, java, matches, snippet
 from pagemill.functions.text import normal_value, strip, truncated
 
 
@@ -75,21 +75,83 @@ def polarity_conflicts(chunks: DataFrame) -> DataFrame:
     return pairs.select("doc_id", F.lit("requirement").alias("type"), F.lit("critical").alias("severity"), F.lit(0.93).alias("confidence"), F.concat_ws(" ", "verb", "object").alias("label"), F.col("statement_a").alias("value_a"), "page_a", F.col("statement_b").alias("value_b"), "page_b", "snippet_a", "snippet_b", summary.alias("summary"), "ord_a", "ord_b")
 
 
-DETECTORS = [numeric_conflicts, date_conflicts, money_conflicts, polarity_conflicts]
+#: kind, confidence, severity, least length of a label, whether generic labels go, pattern. Fixed values
+LABELLED = [("numerical", 0.92, "high", 3, True, P.NUMERIC), ("date", 0.90, "high", 4, False, P.DATE), ("monetary", 0.95, "high", 3, False, P.MONEY)]
+DUTIES = ("requirement", 0.93, "critical")
+KINDS = [kind for kind, *_ in LABELLED] + [DUTIES[0]]
 
 
-def contradictions(chunks: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
-    """Findings of all detectors, then ``semantic`` ones (doc_id, type, severity, confidence, summary), merged.
+def occurrences(chunks: DataFrame) -> DataFrame:
+    """Labelled values of all kinds, and duties stated and denied, in one pass over the chunks.
+
+    doc_id, kind, key (what conflicting ones share), label, value, spelled and same (what equal and agreeing values share),
+    page, chunk_index, match_index, side (``stated`` or ``denied`` for duties, else empty).
+    """
+
+    def array(kind: str, pattern: str, side: str) -> Column:
+        return F.transform(without_offsets(F.col("text"), java(pattern), 2), lambda m, k: F.struct(F.lit(kind).alias("kind"), F.lit(side).alias("side"), k.alias("match_index"), m["match"].alias("match"), m["g1"].alias("g1"), m["g2"].alias("g2")))
 
-    Of findings with the same first 120 characters of the summary, the first stays; blank ones go. ``ord``: the order of detection.
+    every = [array(kind, pattern, "") for kind, *_, pattern in LABELLED] + [array(DUTIES[0], P.POSITIVE, "stated"), array(DUTIES[0], P.NEGATIVE, "denied")]
+    rows = chunks.select("doc_id", "page", "chunk_index", F.explode(F.concat(*every)).alias("m")).select("doc_id", "page", "chunk_index", "m.*")
+    duty, name, value = F.col("side") != "", strip(F.col("g1")), strip(F.col("g2"))
+    rows = rows.withColumns({"label": F.when(duty, F.concat_ws(" ", F.lower("g1"), F.substring(F.lower(value), 1, 30))).otherwise(name), "value": F.when(duty, strip(F.col("match"))).otherwise(value)})
+    short = reduce(lambda w, k: w.when(F.col("kind") == k[0], F.length("label") < k[3]), LABELLED, F.when(duty, F.lit(False)))
+    generic = F.col("kind").isin([kind for kind, *_, drop, _ in LABELLED if drop]) & F.lower("label").isin(P.GENERIC_LABELS)
+    rows = rows.where(~short & ~generic)
+    compared = lambda c: F.when(duty, "").otherwise(c)
+    return rows.select("doc_id", "kind", F.lower("label").alias("key"), "label", "value", compared(F.lower("value")).alias("spelled"), compared(normal_value(F.col("value"))).alias("same"), "page", "chunk_index", "match_index", "side")
+
+
+def conflict_pairs(found: DataFrame) -> DataFrame:
+    """Pairs of :func:`occurrences` that conflict, of all kinds in one join: values that differ on different pages, duties stated and denied.
+
+    Of equal (label, value, page) the first in the text takes part, and of the statements of a duty the first.
+    """
+    place = F.struct("chunk_index", "match_index")
+    found = found.repartition("doc_id", "kind", "key").withColumn("ord", place)
+    alike = [F.when(F.col("side") == "", F.col("spelled")), F.when(F.col("side") == "", F.col("page")), "side", F.when(F.col("side") == "denied", F.col("ord"))]
+    found = first_rows(found, ["doc_id", "kind", "key", *alike], ["ord"])
+    side = lambda x: found.select("doc_id", "kind", "key", *(F.col(c).alias(f"{c}_{x}") for c in ("label", "value", "same", "side", "page", "chunk_index", "match_index", "ord")))
+    valued = "side_a = '' AND ord_a < ord_b AND same_a <> same_b"
+    pairs = side("a").join(side("b"), ["doc_id", "kind", "key"]).where(f"page_a <> page_b AND (({valued}) OR (side_a = 'stated' AND side_b = 'denied'))")
+    return pairs.select("doc_id", "kind", F.col("label_a").alias("label"), "value_a", "page_a", F.col("chunk_index_a").alias("chunk_a"), F.col("match_index_a").alias("match_a"), "value_b", "page_b", F.col("chunk_index_b").alias("chunk_b"), F.col("match_index_b").alias("match_b"))
+
+
+def as_findings(pairs: DataFrame) -> DataFrame:
+    """Pairs (:func:`conflict_pairs`) as findings: type, severity, confidence, summary, and where they stand in the order of detection."""
+    by_kind = lambda values: reduce(lambda w, kv: w.when(F.col("kind") == kv[0], kv[1]), values[1:], F.when(F.col("kind") == values[0][0], values[0][1]))
+    kinds = [k[:3] for k in LABELLED] + [DUTIES]
+    valued = F.format_string("%s conflict for '%s': '%s' (page %d) vs '%s' (page %d)", F.initcap("kind"), "label", "value_a", "page_a", "value_b", "page_b")
+    duty = F.concat(F.lit("Requirement polarity conflict: '"), F.substring("value_a", 1, 60), F.lit("' vs '"), F.substring("value_b", 1, 60), F.lit("'"))
+    at = lambda x: F.struct(F.col(f"chunk_{x}").alias("chunk_index"), F.col(f"match_{x}").alias("match_index"))
+    return pairs.select(
+        "doc_id", F.col("kind").alias("type"), by_kind([(k, s) for k, _, s in kinds]).alias("severity"), by_kind([(k, c) for k, c, _ in kinds]).alias("confidence"), F.when(F.col("kind") == DUTIES[0], duty).otherwise(valued).alias("summary"),
+        F.lit("").alias("explanation"), F.lit(1).alias("page"), by_kind([(k, i) for i, k in enumerate(KINDS)]).alias("source"), at("a").alias("ord_a"), at("b").alias("ord_b"),
+    )
+
+
+def merged(found: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """Findings of the detectors, then ``semantic`` ones (doc_id, ord, type, severity, confidence, explanation, page_a), merged.
+
+    Of findings with the same first 120 characters of the summary, or of the explanation where there is no summary, the first
+    stays: those of detectors in their order, then semantic ones in theirs; blank ones go. ``ord``: the order of detection;
+    ``finding_id`` depends on document and key alone; ``page`` is that which a deduction names: 1 for the detectors' findings.
     """
-    columns = ["doc_id", "type", "severity", "confidence", "summary"]
-    parts = [d(chunks).select(*columns, F.lit(i).alias("source"), "ord_a", "ord_b") for i, d in enumerate(DETECTORS)]
     if semantic is not None:
-        none = F.struct(F.lit(0).alias("chunk_index"), F.lit(0).alias("match_index"))
-        parts.append(semantic.select(*columns, F.lit(len(DETECTORS)).alias("source"), none.alias("ord_a"), none.alias("ord_b")))
-    found = reduce(DataFrame.unionByName, parts).withColumn("key", F.substring(F.lower(strip(F.col("summary"))), 1, 120)).where("key <> ''")
-    return first_rows(found, ["doc_id", "key"], ["source", "ord_a", "ord_b", "summary"]).select(*columns, F.struct("source", "ord_a", "ord_b", "summary").alias("ord"))
+        at = F.struct(F.col("ord").cast("int").alias("chunk_index"), F.lit(0).alias("match_index"))
+        none = F.lit(None).cast("string")
+        later = semantic.select("doc_id", "type", "severity", "confidence", none.alias("summary"), "explanation", F.coalesce(F.nullif("page_a", F.lit(0)), F.lit(1)).cast("int").alias("page"), F.lit(len(KINDS)).alias("source"), at.alias("ord_a"), at.alias("ord_b"))
+        found = found.unionByName(later)
+    said = F.coalesce(F.nullif("summary", F.lit("")), "explanation")
+    found = found.withColumn("key", F.substring(F.lower(strip(said)), 1, 120)).where("key <> ''")
+    first = first_rows(found, ["doc_id", "key"], ["source", "ord_a", "ord_b", "summary"])
+    name = F.concat(F.lit("contr-"), F.substring(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "key"), 256), 1, 12))
+    return first.select("doc_id", "type", "severity", "confidence", "summary", "explanation", "page", name.alias("finding_id"), F.struct("source", "ord_a", "ord_b", "summary").alias("ord"))
+
+
+def contradictions(chunks: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """The findings of all detectors over ``chunks`` and ``semantic`` ones, merged (:func:`merged`): one scan, one join."""
+    return merged(as_findings(conflict_pairs(occurrences(chunks))), semantic)
 
 
 def ambiguities(chunks: DataFrame, most: int = P.MOST_AMBIGUITIES) -> DataFrame:
@@ -99,7 +161,8 @@ def ambiguities(chunks: DataFrame, most: int = P.MOST_AMBIGUITIES) -> DataFrame:
     """
     any_phrase = "|".join(phrase for phrase, *_ in P.AMBIGUITY_RULES)
     rules = F.create_map(*(x for i, (phrase, *rest) in enumerate(P.AMBIGUITY_RULES) for x in (F.lit(phrase), F.struct(F.lit(i).alias("rule"), *(F.lit(v).alias(k) for k, v in zip(("category", "severity", "recommendation"), rest, strict=True))))))
-    found = scan(chunks, rf"\b(?:{any_phrase})\b", 0).select("doc_id", "page", "chunk_index", "match_index", F.col("match").alias("phrase"), F.element_at(rules, F.lower("match")).alias("r"))
+    every = F.posexplode(without_offsets(F.col("text"), java(rf"\b(?:{any_phrase})\b"))).alias("match_index", "m")
+    found = chunks.select("doc_id", "page", "chunk_index", every).select("doc_id", "page", "chunk_index", "match_index", F.col("m.match").alias("phrase"), F.element_at(rules, F.lower("m.match")).alias("r"))
     found = found.select("doc_id", "page", F.struct("chunk_index", "r.rule", "match_index").alias("ord"), "phrase", "r.category", "r.severity", "r.recommendation")
     found = first_rows(found, ["doc_id", F.lower("phrase"), "page"], ["ord"])
     return found.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).where(F.col("_n") <= most).drop("_n")
@@ -114,18 +177,18 @@ def scan_rules(chunks: DataFrame, rules: list[tuple[str, str, str]]) -> DataFram
     def row(rule: int, kind: str):
         return lambda m, k: F.struct(F.lit(rule).alias("rule"), k.alias("match_index"), F.lit(kind).alias("kind"), m["match"].alias("match"), F.upper(strip(m["g1"])).alias("value"))
 
-    none = F.array().cast("array<struct<match:string,g1:string>>")
-    found = lambda p: F.arrays_zip(*(F.regexp_extract_all("text", F.lit(p), F.lit(g)).alias(name) for g, name in ((0, "match"), (1, "g1"))))
-    parts = [F.transform(F.when(F.col("text").rlike(java(p, flags)), found(java(p, flags))).otherwise(none), row(i, kind)) for i, (kind, flags, p) in enumerate(rules)]
+    parts = [F.transform(without_offsets(F.col("text"), java(p, flags), 1), row(i, kind)) for i, (kind, flags, p) in enumerate(rules)]
     found = chunks.select("doc_id", "page", "chunk_index", F.explode(F.concat(*parts)).alias("m"))
     return found.select("doc_id", "page", F.struct("chunk_index", "m.rule", "m.match_index").alias("ord"), "m.kind", "m.match", "m.value")
 
 
 def references(chunks: DataFrame) -> DataFrame:
     """Distinct references with VALID or BROKEN_REFERENCE, as their target is defined in the document or not."""
-    defined = scan_rules(chunks, P.DEFINITIONS).select("doc_id", "kind", "value").distinct().withColumn("known", F.lit(True))
-    used = scan_rules(chunks, [(kind, "i", p) for kind, p in P.REFERENCES.items()]).withColumnRenamed("match", "reference")
-    used = first_rows(used, ["doc_id", F.lower("reference"), "kind", F.lower("value"), "page"], ["ord"])
+    uses = [(kind, "i", p) for kind, p in P.REFERENCES.items()]
+    found = scan_rules(chunks, [*uses, *P.DEFINITIONS]).repartition("doc_id", "kind", "value")
+    defined = found.where(F.col("ord.rule") >= len(uses)).select("doc_id", "kind", "value").distinct().withColumn("known", F.lit(True))
+    used = found.where(F.col("ord.rule") < len(uses)).withColumnRenamed("match", "reference")
+    used = first_rows(used, ["doc_id", F.lower("reference"), "kind", "value", "page"], ["ord"])
     joined = used.join(defined, ["doc_id", "kind", "value"], "left")
     return joined.select("doc_id", "reference", F.concat_ws(" ", F.initcap("kind"), "value").alias("target"), "page", F.when(F.col("known"), "VALID").otherwise("BROKEN_REFERENCE").alias("status"), "ord")
 
@@ -147,7 +210,8 @@ def requirement_matrix(chunks: DataFrame) -> DataFrame:
 
 def placeholders(chunks: DataFrame) -> DataFrame:
     """Distinct (placeholder, page)."""
-    found = scan(chunks, P.PLACEHOLDER, 0).select("doc_id", "page", "match", F.struct("chunk_index", "match_index").alias("ord"))
+    every = F.posexplode(without_offsets(F.col("text"), java(P.PLACEHOLDER))).alias("match_index", "m")
+    found = chunks.select("doc_id", "page", "chunk_index", every).select("doc_id", "page", "m.match", F.struct("chunk_index", "match_index").alias("ord"))
     return first_rows(found, ["doc_id", F.lower("match"), "page"], ["ord"]).select("doc_id", "page", F.col("match").alias("placeholder"))
 
 
@@ -158,22 +222,23 @@ def banded(column: str, points: dict[str, float], other: str) -> Column:
 
 
 def deductions(chunks: DataFrame, conflicts: DataFrame, refs: DataFrame, requirements: DataFrame, entity_conflicts: DataFrame, vague: DataFrame) -> DataFrame:
-    """doc_id, component, points, evidence, page: a row for each thing that lowers a score."""
+    """doc_id, component, points, evidence, page, finding_id: a row for each thing that lowers a score."""
     first_page = lambda c: F.coalesce(F.get(F.col(c), F.lit(0)), F.lit(1)).cast("int")
     name = [c for c, _, _ in P.COMPONENTS]
-    row = lambda frame, i, points, evidence, page: frame.select("doc_id", F.lit(name[i]).alias("component"), points.cast("double").alias("points"), evidence.alias("evidence"), page.cast("int").alias("page"))
     text = lambda *parts: F.concat(*(F.coalesce(p.cast("string"), F.lit("")) if isinstance(p, Column) else F.lit(p) for p in parts))
+    row = lambda frame, i, points, evidence, page, found: frame.select("doc_id", F.lit(name[i]).alias("component"), points.cast("double").alias("points"), evidence.alias("evidence"), page.cast("int").alias("page"), text(*found).alias("finding_id"))
     c = F.col
+    said = F.coalesce(F.nullif("summary", F.lit("")), "type")
     return reduce(
         DataFrame.unionByName,
         [
-            row(conflicts, 0, banded("severity", P.CONFLICT_POINTS, "medium"), text("Semantic conflict (", F.lower("severity"), "): '", c("summary"), "'"), F.lit(1)),
-            row(refs.where("status = 'BROKEN_REFERENCE'"), 1, F.lit(P.REFERENCE_POINTS), text("Broken reference: '", c("reference"), "' → target '", c("target"), "' not found"), c("page")),
-            row(requirements.where("status = 'MISSING'"), 2, F.lit(P.REQUIREMENT_POINTS["MISSING"]), text("Requirement '", c("requirement_id"), "' referenced but never defined"), first_page("reference_pages")),
-            row(requirements.where("status = 'ORPHANED'"), 2, F.lit(P.REQUIREMENT_POINTS["ORPHANED"]), text("Requirement '", c("requirement_id"), "' defined but never referenced (orphaned)"), first_page("definition_pages")),
-            row(entity_conflicts, 3, banded("severity", P.ENTITY_POINTS, "medium"), text("Conflicting values for entity '", c("entity"), "': '", c("value_a"), "' vs '", c("value_b"), "'"), first_page("pages")),
-            row(vague, 4, banded("severity", P.AMBIGUITY_POINTS, "low"), text("Ambiguous term '", c("phrase"), "' (", c("category"), ") — ", c("recommendation")), c("page")),
-            row(placeholders(chunks), 5, F.lit(P.PLACEHOLDER_POINTS), text("Unresolved placeholder: '", c("placeholder"), "' on page ", c("page")), c("page")),
+            row(conflicts, 0, banded("severity", P.CONFLICT_POINTS, "medium"), text("Semantic conflict (", F.lower("severity"), "): '", said, "'"), c("page"), [c("finding_id")]),
+            row(refs.where("status = 'BROKEN_REFERENCE'"), 1, F.lit(P.REFERENCE_POINTS), text("Broken reference: '", c("reference"), "' → target '", c("target"), "' not found"), c("page"), ["ref-", c("reference"), "-", c("page")]),
+            row(requirements.where("status = 'MISSING'"), 2, F.lit(P.REQUIREMENT_POINTS["MISSING"]), text("Requirement '", c("requirement_id"), "' referenced but never defined"), first_page("reference_pages"), ["req-missing-", c("requirement_id")]),
+            row(requirements.where("status = 'ORPHANED'"), 2, F.lit(P.REQUIREMENT_POINTS["ORPHANED"]), text("Requirement '", c("requirement_id"), "' defined but never referenced (orphaned)"), first_page("definition_pages"), ["req-orphaned-", c("requirement_id")]),
+            row(entity_conflicts, 3, banded("severity", P.ENTITY_POINTS, "medium"), text("Conflicting values for entity '", c("entity"), "': '", c("value_a"), "' vs '", c("value_b"), "'"), first_page("pages"), ["ent-conflict-", c("entity")]),
+            row(vague, 4, banded("severity", P.AMBIGUITY_POINTS, "low"), text("Ambiguous term '", c("phrase"), "' (", c("category"), ") — ", c("recommendation")), c("page"), ["amb-", c("phrase"), "-", c("page")]),
+            row(placeholders(chunks), 5, F.lit(P.PLACEHOLDER_POINTS), text("Unresolved placeholder: '", c("placeholder"), "' on page ", c("page")), c("page"), ["comp-", c("placeholder"), "-", c("page")]),
         ],
     )
 
@@ -188,4 +253,6 @@ def trust_scores(chunks: DataFrame, lost: DataFrame) -> DataFrame:
     hit = reduce(lambda a, b: a + b, (F.when(F.col(k) < 100, 1).otherwise(0) for _, k, _ in P.COMPONENTS))
     sure = F.least(F.lit(0.98), F.bround(0.70 + 0.20 * F.least(F.lit(1.0), F.greatest(F.lit(1), F.col("n_chunks")) / 20.0) + 0.10 * hit / 6.0, 3))
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(total, 2)))
-    return joined.select("doc_id", score.alias("score"), sure.alias("confidence"), *(F.bround(k, 2).alias(k) for _, k, _ in P.COMPONENTS), "n_deductions", "n_chunks")
+    whole = lambda i: F.bround(P.COMPONENTS[i][1], 0).cast("int")
+    evidence = F.format_string("Trust score computed from %d chunks across 6 dimensions. Breakdown — Contradictions: %d%%, References: %d%%, Requirements: %d%%, Entities: %d%%, Ambiguity: %d%%, Completeness: %d%%. Total deductions: %d.", "n_chunks", *(whole(i) for i in range(6)), "n_deductions")
+    return joined.select("doc_id", score.alias("score"), sure.alias("confidence"), *(F.bround(k, 2).alias(k) for _, k, _ in P.COMPONENTS), "n_deductions", "n_chunks", evidence.alias("evidence"))

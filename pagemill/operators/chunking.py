@@ -108,6 +108,45 @@ def chunk_documents(pages: DataFrame, size: int = 500, overlap: int = 50, tokens
     return made.withColumn("chunk_id", F.format_string("%s-chk-%d", F.col("doc_id").cast("string"), "chunk_index"))
 
 
+#: the pages of one document (page, text) in order -> its chunks (page, text, start_char, end_char)
+Chunker = Callable[[list[tuple[int, str]]], list[tuple[int, str, int, int]]]
+
+
+def windows(size: int, overlap: int) -> Chunker:
+    """A chunker that cuts each page into runs of ``size`` characters, each beginning ``overlap`` before the end of the last."""
+
+    def cut(pages: list[tuple[int, str]]) -> list[tuple[int, str, int, int]]:
+        out, offset = [], 0
+        for page, text in pages:
+            last = max(len(text) - overlap, 1) if text else 0
+            out += [(page, text[at : at + size], offset + at, offset + min(at + size, len(text))) for at in range(0, last, size - overlap)]
+            offset += len(text) + 2
+        return out
+
+    return cut
+
+
+def chunk_with(pages: DataFrame, chunker: Chunker, tokens: Callable[[Column], Column] = token_estimate) -> DataFrame:
+    """Chunks of ``pages`` (doc_id, page, text) by any ``chunker``: doc_id, chunk_index, page, token_count, text, start_char, end_char, chunk_id.
+
+    Characters count from the start of the document, pages parted by two. Null pages are left out; chunks of white space go.
+    """
+    ship_code(pages.sparkSession)
+    whole = pages.where("text is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "chunk_index", "page", "text", "start_char", "end_char"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+        for batch in batches:
+            for doc_id, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                made = [m for m in chunker([(p["page"], p["text"]) for p in own.as_py()]) if m[1].strip()]
+                columns = zip(*((doc_id, i, *m) for i, m in enumerate(made)), strict=True) if made else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    made = whole.select(F.col("doc_id").cast("long").alias("doc_id"), "pages").mapInArrow(cut, "doc_id long, chunk_index int, page int, text string, start_char long, end_char long")
+    return made.withColumn("token_count", tokens(F.col("text"))).withColumn("chunk_id", F.format_string("%s-chk-%d", F.col("doc_id").cast("string"), "chunk_index"))
+
+
 def chunk_statistics(chunks: DataFrame) -> DataFrame:
     """doc_id, n_chunks, mean_tokens (whole), total_tokens."""
     return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.expr("sum(token_count) div count(1)").alias("mean_tokens"), F.sum("token_count").alias("total_tokens"))

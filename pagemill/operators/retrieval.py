@@ -8,7 +8,7 @@ be bound to documents of their own (``scope``), as those of a session.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -119,11 +119,51 @@ def rerank(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return joined.withColumn("score", F.bround(F.round(score, PLACES), 4)).drop("wanted", "query_vector")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, candidates: int = 30, limit: int = 5, least: float = 0.05, allowed: dict[str, list] | None = None, scope: DataFrame | None = None) -> DataFrame:
-    """The best chunks of each query: dense candidates, hybrid order, then the rerank score decides."""
+#: texts of queries and of chunks, pair by pair -> a score each
+Scorer = Callable[[list[str], list[str]], list[float]]
+
+
+def scored_by(scorer: Callable[[], Scorer], batch_size: int = 32) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A reranker that takes scores from a model: it stands in for :func:`rerank`.
+
+    ``scorer`` makes the model, once in each task; the model then gets ``batch_size`` pairs of texts at a time. Where it
+    fails, gives another number of scores, or scores that aren't finite, the batch keeps the score of :func:`rerank`.
+    """
+
+    def run(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+        ship_code(queries.sparkSession)
+        fallback = rerank(queries, candidates).join(queries.select("query_id", F.coalesce("text", F.lit("")).alias("_asked")), "query_id")
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            try:
+                model = scorer()
+            except Exception:
+                model = None
+            for batch in batches:
+                for at in range(0, batch.num_rows, batch_size):
+                    part = batch.slice(at, batch_size)
+                    names = part.schema.names
+                    asked, texts = (part.column(names.index(c)).to_pylist() for c in ("_asked", "text"))
+                    try:
+                        own = np.array(model(asked, [t or "" for t in texts]), np.float64)
+                        fits = own.shape == (part.num_rows,) and bool(np.isfinite(own).all())
+                    except Exception:
+                        fits = False
+                    columns = [pa.array(own) if n == "score" and fits else part.column(k) for k, n in enumerate(names)]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+        return fallback.mapInArrow(score, fallback.schema).drop("_asked").withColumn("score", F.bround(F.round("score", PLACES), 4))
+
+    return run
+
+
+def retrieve(
+    queries: DataFrame, chunks: DataFrame, candidates: int = 30, limit: int = 5, least: float = 0.05, allowed: dict[str, list] | None = None, scope: DataFrame | None = None, reranker: Callable[[DataFrame, DataFrame], DataFrame] = rerank
+) -> DataFrame:
+    """The best chunks of each query: dense candidates, hybrid order, then the score of ``reranker`` decides."""
     found = hybrid_scores(queries, dense_search(queries, chunks, candidates, allowed, scope))
     found = found.withColumn("hybrid_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("hybrid").desc(), "rank")))
-    found = rerank(queries, found).where(F.col("score") >= least)
+    found = reranker(queries, found).where(F.col("score") >= least)
     return _ranked(found, "score", ["hybrid_rank"], limit, "final_rank").select("query_id", F.col("final_rank").alias("rank"), "chunk_id", "doc_id", "page", "text", "score", "similarity", "keyword", "hybrid")
 
 
@@ -155,3 +195,11 @@ def cite(packed: DataFrame, names: DataFrame) -> DataFrame:
     """Citations of packed hits in rank order: name and a snippet of at most 200 characters."""
     joined = packed.join(names, "doc_id", "left")
     return joined.select("query_id", "rank", "doc_id", "page", F.coalesce("name", F.lit("Source Document")).alias("document_name"), truncated(strip(F.col("text")), 200, 197).alias("snippet"), "score")
+
+
+def diagnostics(hits: DataFrame, names: DataFrame) -> DataFrame:
+    """What :func:`retrieve` found and why: names, pages, the three scores with their defaults, and the first 120 characters."""
+    joined = hits.join(names, "doc_id", "left")
+    score = lambda c, other: F.coalesce(c, other).alias(f"{c}_score")
+    named = F.coalesce("name", F.col("doc_id").cast("string")).alias("document_name")
+    return joined.select("query_id", "rank", "chunk_id", "doc_id", named, "page", score("hybrid", F.col("score")), score("similarity", F.col("score")), score("keyword", F.lit(0.0)), truncated(F.col("text"), 120).alias("preview"))

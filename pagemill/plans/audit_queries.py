@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pagemill.functions import patterns as P
 from pagemill.operators import audit, entities
 from pagemill.plans.corpora import CHUNKS, ENTITIES, FACTS, chunks, derived, duck_sql
+from pagemill.session import materialise
 
 CORPUS = f"corpus AS ({duck_sql(CHUNKS)})"
 CONFLICT_COLUMNS = ["doc_id", "type", "severity", "confidence", "label", "value_a", "page_a", "value_b", "page_b", "summary"]
@@ -91,8 +92,8 @@ FACT_CONFLICTS = f"""firsts AS (SELECT * FROM clean QUALIFY row_number() OVER (P
         fact_pairs AS (SELECT a.doc_id, a.s AS entity, a.v AS value_a, b.v AS value_b, list_sort(list_distinct([a.page, b.page])) AS pages, least(a.confidence, b.confidence) AS confidence, a.ord AS oa, b.ord AS ob, 0 AS source
           FROM firsts a JOIN firsts b ON a.doc_id = b.doc_id AND lower(a.s) = lower(b.s) AND lower(a.p) = lower(b.p) AND a.ord < b.ord AND {SAME("a.v")} <> {SAME("b.v")}),
         fact_conflicts AS (SELECT *, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END AS severity FROM fact_pairs)"""
-ENTITY_MERGE = """merged_ents AS (SELECT doc_id, type, arg_min(text, ord) AS entity, min(ord) AS ord, max(confidence) AS confidence, list_sort(list(DISTINCT {'page': page, 'snippet': snippet})) AS mentions,
-          list_sort(list(DISTINCT related) FILTER (lower(trim(related)) <> lower(trim(text)))) AS related FROM ents GROUP BY doc_id, lower(trim(text)), type)"""
+ENTITY_MERGE = """mention_rows AS (SELECT doc_id, lower(trim(text)) AS k, type, page, snippet, min(ord) AS o, min(row(ord, text)) AS named, max(confidence) AS confidence, list(DISTINCT related) FILTER (lower(trim(related)) <> lower(trim(text))) AS related FROM ents GROUP BY ALL),
+        merged_ents AS (SELECT doc_id, type, min(named)[2] AS entity, min(o) AS ord, max(confidence) AS confidence, list({'page': page, 'snippet': snippet} ORDER BY page, o) AS mentions, list_sort(list_distinct(flatten(list(related)))) AS related FROM mention_rows GROUP BY doc_id, k, type)"""
 _MENTION = lambda t, p: f"SELECT doc_id, entity, ord, mi, mp, unnest(generate_series(1, len(vs))) AS j, vs FROM (SELECT doc_id, entity, ord, mi, mentions[mi].page AS mp, regexp_extract_all(mentions[mi].snippet, {quoted(p)}) AS vs FROM (SELECT *, unnest(generate_series(1, len(mentions))) AS mi FROM merged_ents WHERE type = '{t}' AND len(mentions) >= 2))"
 ENTITY_CONFLICTS = f"""{ENTITY_MERGE}, seen AS ({_MENTION("MONEY", P.SNIPPET_MONEY)} UNION ALL {_MENTION("DATE", P.SNIPPET_DATE)}),
         vals AS (SELECT doc_id, entity, ord, vs[j] AS val, min(row(mi, j)) AS seen_at, list(mp) AS ps FROM seen GROUP BY doc_id, entity, ord, vs[j]),
@@ -102,23 +103,24 @@ ENTITY_CONFLICTS = f"""{ENTITY_MERGE}, seen AS ({_MENTION("MONEY", P.SNIPPET_MON
 _POINTS = lambda points, other: "CASE lower(severity) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in points.items()) + f" ELSE {points[other]} END"
 _NAMES = [c for c, _, _ in P.COMPONENTS]
 LOST = f"""{occurrences("todo_m", P.PLACEHOLDER, 0)}, todo AS (SELECT * FROM todo_m QUALIFY row_number() OVER (PARTITION BY doc_id, lower(g0), page ORDER BY chunk_index, i) = 1),
-        lost AS (SELECT doc_id, '{_NAMES[0]}' AS component, ({_POINTS(P.CONFLICT_POINTS, "medium")})::DOUBLE AS points, concat('Semantic conflict (', severity, '): ''', summary, '''') AS evidence, 1 AS page FROM merged
-          UNION ALL SELECT doc_id, '{_NAMES[1]}', {P.REFERENCE_POINTS}, concat('Broken reference: ''', reference, ''' → target ''', target, ''' not found'), page FROM refs WHERE status = 'BROKEN_REFERENCE'
-          UNION ALL SELECT doc_id, '{_NAMES[2]}', {P.REQUIREMENT_POINTS["MISSING"]}, concat('Requirement ''', requirement_id, ''' referenced but never defined'), coalesce(reference_pages[1], 1) FROM matrix WHERE status = 'MISSING'
-          UNION ALL SELECT doc_id, '{_NAMES[2]}', {P.REQUIREMENT_POINTS["ORPHANED"]}, concat('Requirement ''', requirement_id, ''' defined but never referenced (orphaned)'), coalesce(definition_pages[1], 1) FROM matrix WHERE status = 'ORPHANED'
-          UNION ALL SELECT doc_id, '{_NAMES[3]}', {_POINTS(P.ENTITY_POINTS, "medium")}, concat('Conflicting values for entity ''', entity, ''': ''', value_a, ''' vs ''', value_b, ''''), coalesce(pages[1], 1) FROM entity_conflicts
-          UNION ALL SELECT doc_id, '{_NAMES[4]}', {_POINTS(P.AMBIGUITY_POINTS, "low")}, concat('Ambiguous term ''', phrase, ''' (', category, ') — ', recommendation), page FROM vague
-          UNION ALL SELECT doc_id, '{_NAMES[5]}', {P.PLACEHOLDER_POINTS}, concat('Unresolved placeholder: ''', g0, ''' on page ', page), page FROM todo)"""
+        lost AS (SELECT doc_id, '{_NAMES[0]}' AS component, ({_POINTS(P.CONFLICT_POINTS, "medium")})::DOUBLE AS points, concat('Semantic conflict (', severity, '): ''', summary, '''') AS evidence, 1 AS page, concat('contr-', substr(sha256(concat_ws('|', doc_id, sk)), 1, 12)) AS finding_id FROM merged
+          UNION ALL SELECT doc_id, '{_NAMES[1]}', {P.REFERENCE_POINTS}, concat('Broken reference: ''', reference, ''' → target ''', target, ''' not found'), page, concat('ref-', reference, '-', page) FROM refs WHERE status = 'BROKEN_REFERENCE'
+          UNION ALL SELECT doc_id, '{_NAMES[2]}', {P.REQUIREMENT_POINTS["MISSING"]}, concat('Requirement ''', requirement_id, ''' referenced but never defined'), coalesce(reference_pages[1], 1), concat('req-missing-', requirement_id) FROM matrix WHERE status = 'MISSING'
+          UNION ALL SELECT doc_id, '{_NAMES[2]}', {P.REQUIREMENT_POINTS["ORPHANED"]}, concat('Requirement ''', requirement_id, ''' defined but never referenced (orphaned)'), coalesce(definition_pages[1], 1), concat('req-orphaned-', requirement_id) FROM matrix WHERE status = 'ORPHANED'
+          UNION ALL SELECT doc_id, '{_NAMES[3]}', {_POINTS(P.ENTITY_POINTS, "medium")}, concat('Conflicting values for entity ''', entity, ''': ''', value_a, ''' vs ''', value_b, ''''), coalesce(pages[1], 1), concat('ent-conflict-', entity) FROM entity_conflicts
+          UNION ALL SELECT doc_id, '{_NAMES[4]}', {_POINTS(P.AMBIGUITY_POINTS, "low")}, concat('Ambiguous term ''', phrase, ''' (', category, ') — ', recommendation), page, concat('amb-', phrase, '-', page) FROM vague
+          UNION ALL SELECT doc_id, '{_NAMES[5]}', {P.PLACEHOLDER_POINTS}, concat('Unresolved placeholder: ''', g0, ''' on page ', page), page, concat('comp-', g0, '-', page) FROM todo)"""
 EVERYTHING = f"WITH {CORPUS}, {FACT_ROWS}, {ENTITY_ROWS}, {MERGED}, {REFERENCE}, {MATRIX}, {CLEAN_FACTS}, {FACT_CONFLICTS}, {ENTITY_CONFLICTS}, {VAGUE}, {LOST}"
 _SUMS = ", ".join(f"greatest(0.0, 100.0 - coalesce(sum(points) FILTER (component = '{c}'), 0.0)) AS {k}" for c, k, _ in P.COMPONENTS)
 SCORES = f"""scored AS (SELECT s.doc_id, any_value(n_chunks) AS n_chunks, count(component) AS n_deductions, {_SUMS} FROM (SELECT doc_id, count(*) AS n_chunks FROM corpus GROUP BY doc_id) s LEFT JOIN lost l ON s.doc_id = l.doc_id GROUP BY s.doc_id),
         trust AS (SELECT doc_id, greatest(0.0, least(100.0, round_even({" + ".join(f"{w} * {k}" for _, k, w in P.COMPONENTS)}, 2))) AS score,
-          least(0.98, round_even(0.70::DOUBLE + 0.20::DOUBLE * least(1.0::DOUBLE, greatest(1, n_chunks) / 20.0::DOUBLE) + 0.10::DOUBLE * ({" + ".join(f"({k} < 100)::INT" for _, k, _ in P.COMPONENTS)}) / 6.0::DOUBLE, 3)) AS confidence, {", ".join(k for _, k, _ in P.COMPONENTS)}, n_deductions, n_chunks FROM scored)"""
+          least(0.98, round_even(0.70::DOUBLE + 0.20::DOUBLE * least(1.0::DOUBLE, greatest(1, n_chunks) / 20.0::DOUBLE) + 0.10::DOUBLE * ({" + ".join(f"({k} < 100)::INT" for _, k, _ in P.COMPONENTS)}) / 6.0::DOUBLE, 3)) AS confidence, {", ".join(k for _, k, _ in P.COMPONENTS)}, n_deductions, n_chunks,
+          printf('Trust score computed from %d chunks across 6 dimensions. Breakdown — Contradictions: %d%%, References: %d%%, Requirements: %d%%, Entities: %d%%, Ambiguity: %d%%, Completeness: %d%%. Total deductions: %d.', n_chunks, {", ".join(f"round_even({k}, 0)::INT" for _, k, _ in P.COMPONENTS)}, n_deductions) AS evidence FROM scored)"""
 
 
 def findings(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All findings over the specification corpus; the chunk table is kept for the detectors that share it."""
-    text = chunks(spark, sf_dir).persist()
+    """All findings over the specification corpus; the chunk table is written once for the detectors that share it."""
+    text = materialise(chunks(spark, sf_dir), "audited-chunks")
     facts, ents = derived(spark, sf_dir, FACTS), derived(spark, sf_dir, ENTITIES)
     found = {
         "chunks": text,
@@ -154,15 +156,15 @@ def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "numeric_conflicts": conflicts_of(audit.numeric_conflicts),
+    "placeholders": lambda s, d: audit.placeholders(chunks(s, d)),
     "date_conflicts": conflicts_of(audit.date_conflicts),
     "money_conflicts": conflicts_of(audit.money_conflicts),
+    "numeric_conflicts": conflicts_of(audit.numeric_conflicts),
     "polarity_conflicts": conflicts_of(audit.polarity_conflicts),
-    "merged_contradictions": lambda s, d: audit.contradictions(chunks(s, d)).drop("ord"),
+    "merged_contradictions": lambda s, d: audit.contradictions(chunks(s, d)).select("doc_id", "type", "severity", "confidence", "summary", "finding_id"),
     "ambiguities": lambda s, d: audit.ambiguities(chunks(s, d)).drop("ord"),
     "references": lambda s, d: audit.references(chunks(s, d)).drop("ord"),
     "requirement_matrix": lambda s, d: audit.requirement_matrix(chunks(s, d)),
-    "placeholders": lambda s, d: audit.placeholders(chunks(s, d)),
     "trust_score": trust_score,
     "trust_deductions": trust_deductions,
     "severity_counts": severity_counts,
@@ -173,7 +175,7 @@ ORACLE_SQL = {
     "date_conflicts": f"WITH {CORPUS}, {DATE} SELECT {_C} FROM date_c",
     "money_conflicts": f"WITH {CORPUS}, {MONEY} SELECT {_C} FROM monetary_c",
     "polarity_conflicts": f"WITH {CORPUS}, {POLARITY} SELECT {_C} FROM requirement_c",
-    "merged_contradictions": f"WITH {CORPUS}, {MERGED} SELECT doc_id, type, severity, confidence, summary FROM merged",
+    "merged_contradictions": f"WITH {CORPUS}, {MERGED} SELECT doc_id, type, severity, confidence, summary, concat('contr-', substr(sha256(concat_ws('|', doc_id, sk)), 1, 12)) AS finding_id FROM merged",
     "ambiguities": f"WITH {CORPUS}, {VAGUE} SELECT doc_id, page, phrase, category, severity, recommendation FROM vague",
     "references": f"WITH {CORPUS}, {REFERENCE} SELECT doc_id, reference, target, page, status FROM refs",
     "requirement_matrix": f"WITH {CORPUS}, {MATRIX} SELECT * FROM matrix",

@@ -175,7 +175,7 @@ def repeated_questions(spark, sf_dir):
 
 def rate_limit(spark, sf_dir):
     asked = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", "event_id")
-    return workspace.rate_limit(asked, 3, 86_400).select("event_id", "key", "before", "admitted", "remaining")
+    return workspace.rate_limit(asked, 3, 86_400).select("event_id", "key", "before", "admitted", "remaining", "reset")
 
 
 def statuses(spark, sf_dir):
@@ -228,12 +228,6 @@ def stream_window_counts(spark, sf_dir):
     return streams.drained(counted, "complete").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-def stream_admitted(spark, sf_dir):
-    asked = event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    done = streams.drained(streams.admitted_only_limit(asked, 3, 86_400))
-    return done.groupBy("key").agg(F.count_if("admitted").alias("admitted"), F.count(F.lit(1)).alias("asked"))
-
-
 QUERIES = {
     "clean_pages": clean_pages,
     "chunk_documents": chunk_documents,
@@ -257,7 +251,7 @@ QUERIES = {
     "prompt_batches": prompts,
     "dedupe_facts": lambda s, d: entities.dedupe_facts(derived(s, d, FACTS)),
     "shape_facts": lambda s, d: entities.shape_facts(entities.dedupe_facts(derived(s, d, FACTS))),
-    "merge_entities": lambda s, d: merged(s, d).select("doc_id", "type", "entity", "confidence", "frequency", "related"),
+    "merge_entities": lambda s, d: merged(s, d).select("doc_id", "type", "entity", "confidence", "frequency", "related", F.array_join(F.transform("mentions", lambda m: F.concat_ws(":", m["page"].cast("string"), m["snippet"])), ";").alias("mentions")),
     "entity_graph": lambda s, d: entities.entity_graph(merged(s, d)),
     "top_entities": lambda s, d: entities.top_entities(merged(s, d)),
     "top_graph": lambda s, d: entities.top_graph(merged(s, d)),
@@ -280,7 +274,6 @@ QUERIES = {
     "upserted_chunks": upserted,
     "first_page": first_page,
     "stream_window_counts": stream_window_counts,
-    "stream_admitted": stream_admitted,
 }
 
 _BYTES = "list_transform(range(0, 32), lambda i: ('0x' || substr(sha256(text), (2 * i + 1)::INT, 2))::INT / 127.5::DOUBLE - 1.0::DOUBLE)"
@@ -352,7 +345,7 @@ _REPLIES = rf"""WITH rep AS ({duck_sql(REPLIES)}), js AS (SELECT *, nullif(regex
 _BAND = lambda a, b, c: f"CASE WHEN score >= {a} THEN 'critical' WHEN score >= {b} THEN 'high' WHEN score >= {c} THEN 'medium' ELSE 'low' END AS severity"
 _F = f"WITH {audit.FACT_ROWS}, {audit.CLEAN_FACTS}"
 _E = f"WITH {audit.ENTITY_ROWS}, {audit.ENTITY_MERGE}, m AS (SELECT *, len(mentions) AS frequency FROM merged_ents)"
-_DEDUPED = f"{_F}, dd AS (SELECT doc_id, arg_max(row(ord, s, p, v, page), row(confidence, -ord)) AS best, max(confidence) AS confidence, list(evidence ORDER BY ord) AS evidence FROM clean GROUP BY doc_id, lower(s), lower(p), lower(v)), dx AS (SELECT doc_id, best[1] AS ord, best[2] AS subject, best[3] AS predicate, best[4] AS value, best[5] AS page, confidence, evidence FROM dd)"
+_DEDUPED = f"{_F}, dd AS (SELECT doc_id, arg_max(row(ord, s, p, v, page, fact_type), row(confidence, -ord)) AS best, max(confidence) AS confidence, list(evidence ORDER BY ord) AS evidence, list(chunk_index ORDER BY ord) AS chunks FROM clean GROUP BY doc_id, lower(s), lower(p), lower(v)), dx AS (SELECT doc_id, best[1] AS ord, best[2] AS subject, best[3] AS predicate, best[4] AS value, best[5] AS page, best[6] AS fact_type, confidence, evidence, chunks FROM dd)"
 _GRAPH = f"{_E}, edges AS (SELECT DISTINCT e.doc_id, least(e.a, e.b) AS src, greatest(e.a, e.b) AS dst FROM (SELECT doc_id, lower(entity) AS a, lower(trim(unnest(related))) AS b FROM m) e WHERE e.b <> '' AND e.a <> e.b), top AS (SELECT doc_id, rank, entity, type, frequency FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, ord) AS rank FROM m) WHERE rank <= 12)"
 _STATUS = "st AS (SELECT user_id AS document_id, (['" + "', '".join(workspace.PROGRESS) + f"'])[(event_id % {len(workspace.PROGRESS)} + 1)::INT] AS status, ts, event_id FROM events)"
 
@@ -374,14 +367,14 @@ ORACLE_SQL = {
     "context_text": f"{_PACK}, {_NAMES}, pt AS (SELECT query_id, tokens_so_far, concat(CASE WHEN position = min(position) OVER (PARTITION BY query_id, p.doc_id) THEN concat(CASE WHEN position > 1 THEN chr(10) ELSE '' END, '=== SOURCE DOCUMENT: ', coalesce(name, 'Unknown Source'), ' ===', chr(10)) ELSE '' END, printf('[Page %d | Relevance: %.2f]:', page, score), chr(10), text, chr(10), '---') AS part FROM packed p LEFT JOIN names USING (doc_id)) SELECT query_id, max(tokens_so_far) AS tokens, sum(length(part)) + count(*) - 1 AS n_chars FROM pt GROUP BY query_id",
     "chunk_pair_candidates": f"WITH {_pairs_sql(0.45, 0.95, 0.70, 'greatest(8, least(15, n))')} SELECT * FROM kept UNION ALL SELECT doc_id, 1, min(ord), min(ord), 1.0 FROM vs GROUP BY doc_id HAVING count(*) = 1",
     "fact_pair_candidates": f"WITH {_pairs_sql(0.20, 0.85, 0.55, '40')} SELECT * FROM kept",
-    "fact_pair_heuristic": f"WITH {audit.FACT_ROWS}, o AS (SELECT doc_id, ord, lower(trim(subject)) AS s, lower(trim(value)) AS v FROM facts WHERE trim(subject) <> '' AND trim(value) <> '') SELECT x.doc_id, x.ord AS a, y.ord AS b, 0.55::DOUBLE AS similarity FROM o x JOIN o y ON x.doc_id = y.doc_id AND x.s = y.s AND x.ord < y.ord AND x.v <> y.v",
+    "fact_pair_heuristic": f"WITH {audit.FACT_ROWS}, o AS (SELECT doc_id, ord, lower({audit.strip('subject')}) AS s, lower({audit.strip('value')}) AS v FROM facts) SELECT x.doc_id, row_number() OVER (PARTITION BY x.doc_id ORDER BY x.ord, y.ord) AS rank, x.ord AS a, y.ord AS b, 0.55::DOUBLE AS similarity FROM o x JOIN o y ON x.doc_id = y.doc_id AND x.s = y.s AND x.ord < y.ord AND x.v <> y.v QUALIFY rank <= 40",
     "parse_replies": f"{_REPLIES} SELECT doc_id, reply_id, ok, type, summary, confidence, strength, is_contradiction FROM parsed",
     "score_contradictions": f"{_REPLIES}, sc AS (SELECT doc_id, reply_id, coalesce(summary, 'Contradiction detected') AS summary, round(0.4::DOUBLE * coalesce(confidence, 0.8) + 0.4::DOUBLE * coalesce(strength, 0.8) + 0.2::DOUBLE * coalesce(similarity, 0.5), 6) AS score FROM parsed WHERE ok) SELECT *, {_BAND(0.85, 0.65, 0.45)} FROM sc",
     "score_semantic_conflicts": f"{_REPLIES}, sc AS (SELECT doc_id, reply_id, summary, round(0.5::DOUBLE * coalesce(confidence, 0.75) + 0.3::DOUBLE * (1 - coalesce(similarity, 0.5)) + 0.2::DOUBLE * coalesce(confidence, 0.75), 6) AS score FROM parsed WHERE ok AND is_contradiction) SELECT *, {_BAND(0.80, 0.60, 0.40)} FROM sc",
     "resolve_quotes": f"WITH {audit.CORPUS}, qs AS (SELECT doc_id, chunk_index AS quote_id, CASE WHEN chunk_index % 2 = 0 THEN upper(substr(text, 20, 40)) ELSE 'nothing of the kind' END AS quote FROM corpus), hit AS (SELECT q.doc_id, q.quote_id, arg_min(c.page, c.chunk_index) AS page, arg_min(c.text, c.chunk_index) AS text FROM qs q JOIN corpus c ON q.doc_id = c.doc_id AND contains(lower(c.text), lower(trim(q.quote))) GROUP BY ALL) SELECT q.doc_id, q.quote_id, coalesce(h.page, 99) AS page, substr(coalesce(h.text, quote), 1, 400) AS snippet, CASE WHEN h.page IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS score FROM qs q LEFT JOIN hit h ON q.doc_id = h.doc_id AND q.quote_id = h.quote_id",
     "dedupe_facts": f"{_DEDUPED} SELECT * FROM dx",
-    "shape_facts": f"{_DEDUPED} SELECT doc_id, concat('fact-', substr(sha256(concat_ws('|', doc_id, subject, predicate, value)), 1, 12)) AS id, 'definitional' AS type, subject, predicate, value, confidence, page, evidence[1] AS evidence FROM dx",
-    "merge_entities": f"{_E} SELECT doc_id, type, entity, confidence, frequency, coalesce(related, []) AS related FROM m",
+    "shape_facts": f"{_DEDUPED} SELECT doc_id, concat('fact-', substr(sha256(concat_ws('|', doc_id, subject, predicate, value)), 1, 12)) AS id, coalesce(nullif(fact_type, ''), 'definitional') AS type, subject, predicate, value, confidence, page, concat('chunk-', chunks[1]) AS chunk_id, evidence[1] AS evidence FROM dx",
+    "merge_entities": f"{_E} SELECT doc_id, type, entity, confidence, frequency, coalesce(related, []) AS related, list_aggregate(list_transform(mentions, lambda x: concat(x.page, ':', x.snippet)), 'string_agg', ';') AS mentions FROM m",
     "entity_graph": f"{_GRAPH} SELECT * FROM edges",
     "top_entities": f"{_GRAPH} SELECT * FROM top",
     "top_graph": f"{_GRAPH}, tr AS (SELECT doc_id, lower(entity) AS name, min(rank) AS r FROM top GROUP BY ALL) SELECT e.doc_id, CASE WHEN x.r < y.r THEN e.src ELSE e.dst END AS source, CASE WHEN x.r < y.r THEN e.dst ELSE e.src END AS target FROM edges e JOIN tr x ON e.doc_id = x.doc_id AND e.src = x.name JOIN tr y ON e.doc_id = y.doc_id AND e.dst = y.name",
@@ -393,7 +386,7 @@ ORACLE_SQL = {
     "audit_counts": "SELECT user_id % 20 AS workspace_id, event_type AS action, count(*) AS n, max(ts) AS last_ts FROM events GROUP BY ALL",
     "recent_messages": "WITH k AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant', 'system') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5) SELECT conv_id AS session_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM k",
     "repeated_questions": "WITH l AS (SELECT user_id, floor(epoch(ts)) - lag(floor(epoch(ts))) OVER (PARTITION BY user_id, event_type ORDER BY floor(epoch(ts))) AS gap FROM events) SELECT user_id AS session_id, count(*) FILTER (gap <= 1800) AS reused, count(*) AS asked FROM l GROUP BY ALL",
-    "rate_limit": "WITH n AS (SELECT event_id, user_id AS key, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND 1 PRECEDING) AS before FROM events) SELECT event_id, key, before, before < 3 AS admitted, greatest(0, 3 - before - 1)::INT AS remaining FROM n",
+    "rate_limit": "WITH n AS (SELECT event_id, user_id AS key, epoch_us(ts) AS t, count(*) OVER w AS before, min(epoch_us(ts)) OVER w AS oldest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND 1 PRECEDING)) SELECT event_id, key, before, before < 3 AS admitted, greatest(0, 3 - before - 1)::INT AS remaining, CASE WHEN before < 3 THEN 86400 ELSE greatest(1, floor(86400 - (t - oldest) / 1e6::DOUBLE)::INT) END AS reset FROM n",
     "latest_status": f"WITH {_STATUS}, g AS (SELECT document_id, arg_max(status, ts) AS status, floor(epoch(max(ts)))::BIGINT AS b, floor(epoch(min(ts)))::BIGINT AS a FROM (SELECT document_id, status, date_trunc('microsecond', ts) AS ts FROM st) GROUP BY ALL) SELECT document_id, status, CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in workspace.PROGRESS.items()) + " END AS progress, b - a AS seconds FROM g",
     "stage_seconds": f"WITH {_STATUS}, l AS (SELECT status, floor(epoch(lead(ts) OVER (PARTITION BY document_id ORDER BY ts)))::BIGINT - floor(epoch(ts))::BIGINT AS s FROM st) SELECT status, count(s) AS n, sum(s)::BIGINT AS seconds FROM l GROUP BY status",
     "usage_totals": "WITH u AS (SELECT conv_id AS session_id, role AS model, greatest(1, length(coalesce(text, '')) // 4) AS p, length(coalesce(text, '')) AS c FROM conversations) SELECT session_id, model, sum(p) AS prompt_tokens, sum(c) AS completion_tokens, sum(p + c) AS total_tokens FROM u GROUP BY ALL",

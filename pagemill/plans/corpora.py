@@ -28,7 +28,8 @@ FACTS = """SELECT l_orderkey AS doc_id, cast(row_number() OVER (PARTITION BY l_o
   CASE WHEN l_linenumber % 2 = 0 THEN concat('Part ', cast(l_partkey % 4 AS {STRING})) ELSE concat(' part ', cast(l_partkey % 4 AS {STRING}), ' ') END AS subject,
   CASE WHEN l_suppkey % 3 = 0 THEN 'price' WHEN l_suppkey % 3 = 1 THEN 'status' ELSE '' END AS predicate,
   CASE WHEN l_suppkey % 3 = 0 THEN concat('$', cast(cast(l_quantity AS int) % 5 AS {STRING}), ',000') ELSE l_returnflag END AS value,
-  l_linenumber AS page, round(0.55 + l_discount * 4, 2) AS confidence, concat('line ', cast(l_linenumber AS {STRING})) AS evidence
+  l_linenumber AS page, round(0.55 + l_discount * 4, 2) AS confidence, concat('line ', cast(l_linenumber AS {STRING})) AS evidence,
+  CASE WHEN l_partkey % 4 = 0 THEN '' WHEN l_partkey % 4 = 1 THEN 'numerical' ELSE 'relational' END AS fact_type, l_linenumber % 6 AS chunk_index
 FROM lineitem"""
 
 #: entities that a model would have found, one mention each

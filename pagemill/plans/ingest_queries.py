@@ -9,6 +9,7 @@ from pagemill.operators import analysis, audit, chunking, pairs, retrieval, work
 from pagemill.plans import audit_queries as own_audit, core_queries as core
 from pagemill.plans.corpora import ENTITIES, FACTS, chunks, derived, duck_sql
 from pagemill.session import materialise, table, workspace as fresh_path
+from pagemill.sources import files
 from pagemill.streaming import streams
 
 
@@ -38,11 +39,11 @@ def analysed(spark, sf_dir):
     return materialise(analysis.analyze_corpus(ids, text, derived(spark, sf_dir, FACTS), derived(spark, sf_dir, ENTITIES)), "analysis")
 
 
-LISTS = ["contradictions", "references", "requirements", "entity_conflicts", "ambiguities", "deductions"]
+LISTS = ["facts", "entities", "contradictions", "references", "requirements", "entity_conflicts", "ambiguities", "deductions"]
 
 
 def analyze_corpus(spark, sf_dir):
-    return analysed(spark, sf_dir).select("doc_id", "score", "confidence", F.col("n_chunks").cast("long").alias("n_chunks"), *(F.size(c).cast("long").alias(c) for c in LISTS), F.get("contradictions", F.lit(0))["summary"].alias("first_summary"))
+    return analysed(spark, sf_dir).select("doc_id", "score", "confidence", F.col("n_chunks").cast("long").alias("n_chunks"), *(F.size(c).cast("long").alias(c) for c in LISTS), F.get("contradictions", F.lit(0))["summary"].alias("first_summary"), "evidence", F.round(F.col("breakdown")["contradiction_health"], 2).alias("health"), F.col("summary.executive_summary").alias("said"), F.size("review.risk_items").cast("long").alias("risks"), F.array_join(F.transform("facts", lambda f: f["id"]), ",").alias("fact_ids"))
 
 
 #: expectations of an analysed document; the same text in both engines
@@ -110,6 +111,38 @@ def payload_defaults(spark, sf_dir):
     return analysis.with_defaults(rows, "score double, label string, page int", {"score": 1.0, "label": "ENTITY", "page": 1}).drop("payload")
 
 
+#: a list of findings with missing, null, empty, mistyped and nested fields, and elements that are no objects
+LISTED = """CASE WHEN o_orderkey % 11 = 0 THEN '{{"findings": "none"}}' WHEN o_orderkey % 13 = 0 THEN 'broken' ELSE concat('{{"findings": [{{"label": "', CASE WHEN o_custkey % 3 = 0 THEN '' ELSE o_orderstatus END, '", "score": ', CASE o_custkey % 5 WHEN 0 THEN '"high"' WHEN 1 THEN 'null' WHEN 2 THEN '"0.25"' WHEN 3 THEN '[1]' ELSE '0.5' END, ', "page": ', cast(o_orderkey % 9 AS {STRING}),
+    '}}, 7, {{"label": [1, "x"], "page": true}}]}}') END"""
+
+
+def listed_payloads(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(LISTED.format(STRING="string")).alias("payload"))
+    return analysis.listed_with_defaults(rows, "$.findings", "label string, score double, page int", {"label": "ENTITY", "score": 1.0, "page": 1}).drop("payload")
+
+
+def json_metadata(spark, sf_dir):
+    """Metadata of parts given as JSON objects."""
+    body = F.format_string('{"size": %d, "brand": "%s", "gone": null, "price": %s, "tags": ["a", %d], "nested": {"x": %d}, "odd": %s}', "p_size", "p_brand", (F.col("p_size") / 4).cast("string"), "p_size", "p_size", F.when(F.col("p_size") % 2 == 0, "true").otherwise("false"))
+    made = table(spark, sf_dir, "part").select("p_partkey", files.sanitised_json(F.when(F.col("p_partkey") % 7 == 0, "[1]").otherwise(body)).alias("m"))
+    return made.select("p_partkey", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("metadata"))
+
+
+def verified_ingest(spark, sf_dir):
+    """The buckets of an ingested table that hold what was written, after a bucket is lost and a document is written again."""
+    path, failures = fresh_path(spark, "verified-chunks"), fresh_path(spark, "failed-buckets")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    files.replace_in(spark, docs, docs.select("doc_id").distinct(), path, failures=failures)
+    files.replace_in(spark, docs.where("doc_id % 10 = 0"), docs.where("doc_id % 10 = 0").select("doc_id").distinct(), path, failures=failures)
+    written = docs.withColumn("text", F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit("lost"))).otherwise(F.col("text")))
+    bad = files.read_back(written, path).select("doc_bucket", F.lit(True).alias("differs"))
+    own = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("doc_bucket"))
+    told = spark.read.schema("doc_bucket long").parquet(failures).select("doc_bucket", F.lit(True).alias("failed")).distinct()
+    rows = own.join(bad, "doc_bucket", "left").join(told, "doc_bucket", "left")
+    # of a document whose text was changed, the bucket differs; no write failed
+    return rows.where("doc_id % 97 = 0").select("doc_id", F.coalesce("differs", F.lit(False)).alias("differs"), F.coalesce("failed", F.lit(False)).alias("failed"))
+
+
 def document_metadata(spark, sf_dir):
     """Metadata of parts, merged with changes that win, without nulls."""
     base = F.create_map(F.lit("brand"), "p_brand", F.lit("size"), F.col("p_size").cast("string"), F.lit("type"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")))
@@ -174,6 +207,9 @@ QUERIES = {
     "source_segments": source_segments,
     "run_telemetry": run_telemetry,
     "payload_defaults": payload_defaults,
+    "listed_payloads": listed_payloads,
+    "json_metadata": json_metadata,
+    "verified_ingest": verified_ingest,
     "document_metadata": document_metadata,
     "user_organisations": user_organisations,
     "activity_log": activity_log,
@@ -184,9 +220,9 @@ QUERIES = {
     "stream_status": stream_status,
 }
 
-_COUNTED = {"contradictions": "merged", "references": "refs", "requirements": "matrix", "entity_conflicts": "entity_conflicts", "ambiguities": "vague", "deductions": "lost"}
+_COUNTED = {"facts": "dx", "entities": "merged_ents", "contradictions": "merged", "references": "refs", "requirements": "matrix", "entity_conflicts": "entity_conflicts", "ambiguities": "vague", "deductions": "lost"}
 _COUNTS = " ".join(f'LEFT JOIN (SELECT doc_id, count(*) AS "{k}" FROM {v} GROUP BY doc_id) USING (doc_id)' for k, v in _COUNTED.items())
-_ANALYSED = f"""{own_audit.EVERYTHING}, {own_audit.SCORES}, ids AS (SELECT DISTINCT o_orderkey::BIGINT AS doc_id FROM orders UNION SELECT -c_custkey::BIGINT FROM customer),
+_ANALYSED = f"""{own_audit.EVERYTHING}, {own_audit.SCORES}, {core._DEDUPED.removeprefix(core._F + ", ")}, ids AS (SELECT DISTINCT o_orderkey::BIGINT AS doc_id FROM orders UNION SELECT -c_custkey::BIGINT FROM customer),
     analysed AS (SELECT doc_id, coalesce(score, 100.0) AS score, coalesce(confidence, 1.0) AS confidence, coalesce(n_chunks, 0)::BIGINT AS n_chunks, {", ".join(f'coalesce("{k}", 0)::BIGINT AS "{k}"' for k in _COUNTED)} FROM ids LEFT JOIN (SELECT doc_id, score, confidence, n_chunks FROM trust) USING (doc_id) {_COUNTS})"""
 _SECTION = "string_agg(concat('[Segment ', chunk_index + 1, ']', chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY chunk_index)"
 _CORPUS = f"WITH {own_audit.CORPUS}"
@@ -201,6 +237,9 @@ ORACLE_SQL = {
     "source_segments": f"{_CORPUS}, s AS (SELECT *, chunk_index // 3 AS batch FROM corpus), f AS (SELECT doc_id, batch, chunk_index AS fact, CASE WHEN page % 3 = 0 THEN 99 ELSE page END AS page FROM s) SELECT doc_id, fact, page, coalesce((SELECT min(chunk_index) FROM s WHERE s.doc_id = f.doc_id AND s.batch = f.batch AND s.page = f.page), (SELECT min(chunk_index) FROM s WHERE s.doc_id = f.doc_id AND s.batch = f.batch)) AS chunk_index FROM f",
     "run_telemetry": f"{_CORPUS}, facts AS ({duck_sql(FACTS)}), a AS (SELECT doc_id, count(*) AS retrieved FROM corpus GROUP BY 1), b AS (SELECT doc_id, count(DISTINCT lower(trim(concat_ws(' ', predicate, value)))) AS contradictions FROM facts GROUP BY 1), c AS (SELECT o_orderkey::BIGINT AS doc_id, round(sum(o_custkey % 100 / 8.0::DOUBLE), 3) AS latency FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) SELECT doc_id, coalesce(retrieved, 0) AS retrieved, coalesce(contradictions, 0) AS contradictions, coalesce(latency, 0.0) AS latency FROM a FULL JOIN b USING (doc_id) FULL JOIN c USING (doc_id)",
     "payload_defaults": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR o_custkey % 3 = 0 THEN 1.0 ELSE o_custkey::DOUBLE END AS score, CASE WHEN o_orderkey % 7 = 0 OR o_custkey % 5 = 0 THEN 'ENTITY' ELSE o_orderstatus END AS label, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 4 = 0 THEN 1 ELSE (o_orderkey % 9)::INT END AS page FROM orders",
+    "listed_payloads": """SELECT o_orderkey, unnest([0, 1, 2])::INT AS place, unnest([CASE WHEN o_custkey % 3 = 0 THEN 'ENTITY' ELSE o_orderstatus END, 'ENTITY', '[1,"x"]']) AS label, unnest([CASE o_custkey % 5 WHEN 2 THEN 0.25 WHEN 4 THEN 0.5 ELSE 1.0 END, 1.0, 1.0])::DOUBLE AS score, unnest([(o_orderkey % 9)::INT, 1, 1]) AS page FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0""",
+    "json_metadata": """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat('brand=', p_brand, ';nested={"x":', p_size, '};odd=', p_size % 2 = 0, ';price=', regexp_replace((p_size / 4.0)::DECIMAL(9, 2)::VARCHAR, '[.]?0+$', ''), ';size=', p_size, ';tags=["a",', p_size, ']') END AS metadata FROM part""",
+    "verified_ingest": "SELECT doc_id, true AS differs, false AS failed FROM documents WHERE doc_id % 97 = 0",
     "document_metadata": "SELECT p_partkey, concat('brand=', p_brand, CASE WHEN p_partkey % 3 = 0 THEN ';size=changed;state=COMPLETED' ELSE concat(';size=', p_size) END, CASE WHEN p_size % 2 = 0 THEN concat(';type=', p_type) ELSE '' END) AS metadata FROM part",
     "user_organisations": f"WITH {core._TENANTS} SELECT user_id, organization_id, n_name AS organization, role FROM members JOIN nation ON n_nationkey = organization_id",
     "activity_log": "SELECT user_id % 20 AS workspace_id, event_type AS action, event_id FROM events",
@@ -211,4 +250,7 @@ ORACLE_SQL = {
     "stream_findings": "SELECT DISTINCT user_id AS doc_id, lower(trim(event_type)) AS summary_key FROM events",
     "stream_status": "SELECT user_id AS document_id, arg_max(event_id, row(ts, event_id))::VARCHAR AS status FROM events GROUP BY user_id",
 }
-ORACLE_SQL["analyze_corpus"] = f"{_ANALYSED} SELECT a.*, f.summary AS first_summary FROM analysed a LEFT JOIN (SELECT doc_id, summary FROM merged QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY source, ca, ia, cb, ib, summary) = 1) f USING (doc_id)"
+_RISKS = "SELECT t.doc_id, greatest(1, least(8, count(*) FILTER (kind = 0)) + least(8, count(*) FILTER (kind = 1))) AS risks FROM trust t LEFT JOIN (SELECT doc_id, 0 AS kind FROM refs WHERE status = 'BROKEN_REFERENCE' UNION ALL SELECT doc_id, 1 FROM entity_conflicts) USING (doc_id) GROUP BY t.doc_id"
+ORACLE_SQL["analyze_corpus"] = f"""{_ANALYSED} SELECT a.*, f.summary AS first_summary, coalesce(t.evidence, '') AS evidence, t.contradiction_health AS health, CASE WHEN t.doc_id IS NULL THEN 'Document is processing.' ELSE concat('Executive summary of document ', t.doc_id, '. The document has a trust score of ', {core._NUMBER("t.score")}, '% based on automated intelligence checks.') END AS said, coalesce(risks, 0)::BIGINT AS risks, coalesce(fact_ids, '') AS fact_ids
+    FROM analysed a LEFT JOIN (SELECT doc_id, summary FROM merged QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY source, ca, ia, cb, ib, summary) = 1) f USING (doc_id) LEFT JOIN trust t USING (doc_id) LEFT JOIN ({_RISKS}) USING (doc_id)
+    LEFT JOIN (SELECT doc_id, string_agg(concat('fact-', substr(sha256(concat_ws('|', doc_id, subject, predicate, value)), 1, 12)), ',' ORDER BY ord) AS fact_ids FROM dx GROUP BY doc_id) USING (doc_id)"""

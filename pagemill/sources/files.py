@@ -17,8 +17,8 @@ def resolve_format(name: Column, mime: Column) -> Column:
     kind = F.lower(F.coalesce(mime, F.lit("")))
     return (
         F.when(kind == "application/pdf", "pdf")
-        .when(kind == "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "docx")
-        .when(kind == "text/markdown", "md")
+        .when(kind.isin("application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/msword"), "docx")
+        .when(kind.isin("text/markdown", "text/x-markdown"), "md")
         .when(kind == "text/plain", F.when(end(".md", ".markdown"), "md").otherwise("txt"))
         .when(end(".pdf"), "pdf")
         .when(end(".docx"), "docx")
@@ -52,6 +52,14 @@ def sanitised(metadata: Column) -> Column:
     return F.map_filter(metadata, lambda _, v: v.isNotNull())
 
 
+def sanitised_json(text: Column) -> Column:
+    """The fields of a JSON object as a map of strings: nulls go, lists and objects are kept as JSON; no object gives an empty map."""
+    value = lambda e: F.when(F.schema_of_variant(e["value"]).rlike("^(OBJECT|ARRAY)"), F.to_json(e["value"])).otherwise(e["value"].cast("string"))
+    entries = F.map_entries(F.try_variant_get(F.try_parse_json(text), "$", "map<string, variant>"))
+    kept = F.filter(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), value(e).alias("value"))), lambda e: e["value"].isNotNull())
+    return F.coalesce(F.map_from_entries(kept), F.create_map().cast("map<string,string>"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """``old`` with the rows of ``new``, which win."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)
@@ -78,15 +86,44 @@ def write_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
     bucketed.repartition("doc_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
 
 
-def replace_in(spark: SparkSession, chunks: DataFrame, documents: DataFrame, path: str, buckets: int = 64) -> None:
+def _fingerprint(rows: DataFrame) -> DataFrame:
+    """doc_bucket, rows, content (a sum over hashes of whole rows, which no order changes) of a bucketed table."""
+    columns = [F.col(c) for c in sorted(rows.columns) if c != "doc_bucket"]
+    return rows.groupBy("doc_bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).alias("content"))
+
+
+def read_back(written: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+    """The buckets at ``path`` that don't hold what was ``written`` to them: doc_bucket, expected, found (rows).
+
+    Only the buckets of ``written`` are read. An equal number of rows with other contents is told too.
+    """
+    spark = written.sparkSession
+    bucketed = written.withColumn("doc_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    want = _fingerprint(bucketed).withColumnsRenamed({"rows": "expected", "content": "expected_content"})
+    stored = spark.read.schema(StructType([*written.schema.fields, StructField("doc_bucket", LongType())])).parquet(path)
+    have = _fingerprint(stored.join(F.broadcast(want.select("doc_bucket")), "doc_bucket", "left_semi")).withColumnRenamed("rows", "found")
+    joined = want.join(have, "doc_bucket", "left").where(~F.col("expected_content").eqNullSafe(F.col("content")) | ~F.col("expected").eqNullSafe(F.col("found")))
+    return joined.select("doc_bucket", "expected", F.coalesce("found", F.lit(0)).alias("found"))
+
+
+def replace_in(spark: SparkSession, chunks: DataFrame, documents: DataFrame, path: str, buckets: int = 64, failures: str | None = None) -> None:
     """Replace the chunks of ``documents`` (doc_id) in the table that :func:`write_chunks` keeps at ``path`` by ``chunks``.
 
     Partitions that hold such documents are read once; their other rows are written back with the new ones. The rows are
-    written aside first, as a table can't be read while it is replaced. Without a table, one is made.
+    written aside first, as a table can't be read while it is replaced. Without a table, one is made. With ``failures``, what
+    was written is read back, and buckets that lack it are appended to the table there (:func:`read_back`).
     """
+
+    def verified(written: DataFrame) -> None:
+        if failures:
+            lost = read_back(written, path, buckets)
+            lost.withColumn("path", F.lit(path)).write.mode("append").parquet(failures)
+
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        chunks = materialise(chunks, "new-chunks") if failures else chunks
         write_chunks(chunks, path, buckets)
+        verified(chunks)
         return
     old = spark.read.schema(StructType([*chunks.schema.fields, StructField("doc_bucket", LongType())])).parquet(path)
     touched = documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("doc_bucket")).distinct()
@@ -97,6 +134,7 @@ def replace_in(spark: SparkSession, chunks: DataFrame, documents: DataFrame, pat
     for (bucket,) in touched.join(filled, "doc_bucket", "left_anti").collect():  # at most ``buckets`` rows
         empty = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/doc_bucket={bucket}")
         empty.getFileSystem(spark._jsc.hadoopConfiguration()).delete(empty, True)
+    verified(new)
 
 
 def duplicate_files(docs: DataFrame) -> DataFrame:

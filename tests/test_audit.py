@@ -38,7 +38,7 @@ def test_entity_conflict(spark):
 def test_trust_score(frame, spark):
     chunks = frame([(1, "TODO soon Section 9.")])
     # one finding of each kind: high conflict, broken reference, missing requirement, medium clash, medium vague word, a placeholder
-    conflicts = spark.createDataFrame([(1, "numerical", "high", 0.9, "s")], "doc_id long, type string, severity string, confidence double, summary string")
+    conflicts = spark.createDataFrame([(1, "numerical", "high", 0.9, "s", 4, "contr-1")], "doc_id long, type string, severity string, confidence double, summary string, page int, finding_id string")
     refs = audit.references(chunks)
     requirements = spark.createDataFrame([(1, "REQ 3", "MISSING", [], [3])], "doc_id long, requirement_id string, status string, definition_pages array<int>, reference_pages array<int>")
     clash = spark.createDataFrame([(1, "Budget", "a", "b", [1, 3], "medium")], "doc_id long, entity string, value_a string, value_b string, pages array<int>, severity string")
