@@ -24,6 +24,10 @@ def test_analyze_corpus(spark):
     assert [c["type"] for c in out[1]["contradictions"]] == ["numerical"]
     assert [r["status"] for r in out[1]["references"]] == ["BROKEN_REFERENCE"]
     assert out[1]["score"] < 100 and len(out[1]["deductions"]) == 3
+    assert out[1]["evidence"].startswith("Trust score computed from 2 chunks across 6 dimensions. Breakdown — Contradictions: 88%") and out[1]["breakdown"]["contradiction_health"] == 88
+    assert out[1]["summary"]["major_contradictions"] == [out[1]["contradictions"][0]["summary"]] and out[1]["review"]["risk_items"] == ["Broken internal reference: Section 9.9 -> Section 9.9 (Page 1)"]
+    assert (out[2]["evidence"], out[2]["breakdown"], out[2]["facts"], out[2]["entities"]) == ("", {}, [], [])
+    assert out[2]["summary"]["executive_summary"] == "Document is processing." and out[2]["review"]["open_questions"] == []
 
 
 def test_explained_and_ids(spark):
@@ -55,6 +59,38 @@ def test_metadata_and_payloads(spark):
     assert [(r["confidence"], r["text"]) for r in out] == [(1.0, "entity"), (0.5, "x"), (1.0, "entity"), (1.0, "entity")]
 
 
+def test_listed_payloads(spark):
+    """Fields that are missing, null, empty, mistyped or nested; elements that are no objects; payloads without a list."""
+    rows = ['{"f": [{"t": "a", "c": 0.5, "p": 2}, {"t": "", "c": "high", "p": null}, {"c": "0.25", "p": "7"}, 3, {"t": {"x": [1]}, "c": [1], "p": 2.9}]}', '{"f": {"t": "a"}}', '{"g": []}', '{"f": []}', "broken", None]
+    given = spark.createDataFrame(list(enumerate(rows)), "k int, payload string")
+    out = [tuple(r) for r in analysis.listed_with_defaults(given, "$.f", "t string, c double, p int", {"t": "none", "c": 1.0, "p": 1}).drop("payload").orderBy("k", "place").collect()]
+    assert out[:4] == [(0, 0, "a", 0.5, 2), (0, 1, "none", 1.0, 1), (0, 2, "none", 0.25, 7), (0, 3, "none", 1.0, 1)]
+    assert out[4][:4] == (0, 4, '{"x":[1]}', 1.0) and len(out) == 5
+    texts = spark.createDataFrame([('{"a": 1, "b": null, "c": [1, "x"], "d": {"e": true}, "f": "t", "g": 1.5, "h": false}',), ("[1]",), ("no",), (None,)], "t string")
+    assert [r[0] for r in texts.select(files.sanitised_json(F.col("t"))).collect()] == [{"a": "1", "c": '[1,"x"]', "d": '{"e":true}', "f": "t", "g": "1.5", "h": "false"}, {}, {}, {}]
+
+
+def test_lost_buckets_are_reported(spark):
+    """What was written is read back: a bucket that is lost, cut or changed is told with the rows expected and found."""
+    import os
+    import shutil
+
+    base = tempfile.mkdtemp(prefix="spark-")
+    path, failures = f"{base}/chunks", f"{base}/failures"
+    rows = spark.createDataFrame([(i, f"text {i}", None if i % 3 else i) for i in range(200)], "doc_id long, text string, page int")
+    files.replace_in(spark, rows, rows.select("doc_id"), path, failures=failures)
+    again = rows.where("doc_id < 50")
+    files.replace_in(spark, again, again.select("doc_id"), path, failures=failures)
+    assert spark.read.schema("doc_bucket long").parquet(failures).count() == 0 and files.read_back(rows, path).count() == 0
+    buckets = sorted(int(d.split("=")[1]) for d in os.listdir(path) if d.startswith("doc_bucket="))
+    shutil.rmtree(f"{path}/doc_bucket={buckets[0]}")
+    own = {b: rows.where(f"pmod(xxhash64(doc_id), 64) = {b}") for b in buckets[:3]}
+    own[buckets[1]].limit(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/doc_bucket={buckets[1]}")
+    own[buckets[2]].withColumn("text", F.upper("text")).coalesce(1).write.mode("overwrite").parquet(f"{path}/doc_bucket={buckets[2]}")
+    told = {r["doc_bucket"]: (r["expected"], r["found"]) for r in files.read_back(rows, path).collect()}
+    assert told == {buckets[0]: (own[buckets[0]].count(), 0), buckets[1]: (own[buckets[1]].count(), 1), buckets[2]: (own[buckets[2]].count(),) * 2} or own[buckets[1]].count() == 1
+
+
 def test_contexts_and_segments(spark):
     text = spark.createDataFrame([(1, 1, 1, "b" * 20), (1, 1, 0, "a")], CHUNKS)
     assert analysis.context_head(text).first()["context"] == "[Segment 1]\na\n\n---\n\n[Segment 2]\n" + "b" * 20
