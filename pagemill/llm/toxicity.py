@@ -2,8 +2,8 @@
 
 A word is the mean of the vectors of its hashed character n-grams (with boundary marks, and the word itself); a text is
 the mean of its words; a linear softmax on that gives the score. Vectors and softmax are trained jointly in numpy on a
-bounded, balanced sample of the labelled rows (``sample_rows`` in all, of at most ``sample_bytes`` each), drawn by the
-smallest hash of their id. A misspelling that training never saw shares most of its n-grams with what it did see.
+bounded, balanced sample of the labelled rows: ``sample_rows`` in all, drawn by the smallest hash of their id, and of these as
+many as hold ``sample_bytes`` together. Texts of any length train, each whole. A misspelling that training never saw shares most of its n-grams with what it did see.
 
 The softmax has two classes, so what a trained n-gram adds to a text's margin is one number. Those numbers, of fixed
 count, are all that is sent to the tasks that score.
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.session import ship_code
+from pagemill.session import discard, materialise, ship_code
 
 WORD = re.compile(r"\w+")
 MAX_WORDS = 400_000
@@ -51,12 +51,14 @@ class SubwordModel:
         return float(self.margins[ngram_buckets(word, len(self.margins))].mean())
 
 
-def train(texts: list[str], toxic: np.ndarray, prior: float, buckets: int = 1 << 17, dim: int = 4, epochs: int = 60, rate: float = 0.3, scale: float = 60.0, decay: float = 1e-3, damping: float = 1.0, least_texts: int = 15, seed: int = 7) -> SubwordModel:
-    """Joint training by Adam over the whole sample; the bias is moved from the sample's balance to ``prior``.
+def train(texts: list[str], toxic: np.ndarray, prior: float, buckets: int = 1 << 17, dim: int = 4, epochs: int = 60, rate: float = 0.3, scale: float = 60.0, decay: float = 1e-3, damping: float = 1.0, least_share: float = 0.005, prior_weight: float = 0.7, seed: int = 7) -> SubwordModel:
+    """Joint training by Adam over the whole sample; the bias is moved from the sample's balance towards ``prior``.
+
+    It goes ``prior_weight`` of the way, in log odds: a toxic text that is missed counts more than a false alarm.
 
     ``damping`` adds the gradients' size over all of a parameter to that of each number: what rarely occurs moves less.
 
-    Only buckets met in ``least_texts`` texts have a vector; those of the others are zero. ``scale`` multiplies the mean
+    Only buckets met in a ``least_share`` of the texts, and in two at least, have a vector; those of the others are zero. ``scale`` multiplies the mean
     of a text's words, which is small where few of them matter.
     """
     vocabulary: dict[str, int] = {}
@@ -85,7 +87,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, buckets: int = 1 <<
     # texts that a bucket occurs in, counted by way of the words that hold it
     texts_of_word = np.bincount(word, minlength=n_words)
     met = np.bincount(gram, texts_of_word[owner], buckets)
-    keep = met[gram] >= least_texts
+    keep = met[gram] >= max(2, round(least_share * len(texts)))
     gram, owner = gram[keep], owner[keep]
     used, gram = np.unique(gram, return_inverse=True)
     gram = gram.astype(np.int32)
@@ -127,25 +129,41 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, buckets: int = 1 <<
     margins = np.zeros(buckets, np.float32)
     margins[used] = scale * vectors @ (head[:, 1] - head[:, 0])
     sampled = toxic.mean()
-    moved = np.log(prior / (1 - prior)) - np.log(sampled / (1 - sampled))
+    moved = prior_weight * (np.log(prior / (1 - prior)) - np.log(sampled / (1 - sampled)))
     return SubwordModel(margins, float(bias[1] - bias[0] + moved))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_bytes: int = 8192) -> SubwordModel | float:
-    """A model, or the constant score where one label is missing. ``labels``: doc_id, toxic."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_bytes: int = 24 << 20) -> SubwordModel | float:
+    """A model, or the constant score where one label is missing. ``labels``: doc_id, toxic.
+
+    The sample is ``sample_rows // 2`` rows of each label. Where these hold more than half of ``sample_bytes``, the last ones in
+    the order of their hashes stay out, whatever their own lengths, but for the first of a label.
+    """
     fair = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
     fair = fair.where("toxic = most").select("doc_id", "toxic")
     counts = {r["toxic"]: r["count"] for r in fair.groupBy("toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return float(counts.get(1, 0) > 0) if counts else 0.5
-    short = docs.where(F.octet_length("text") <= sample_bytes).select("doc_id", "text")
+    texts = docs.where("text is not null").select("doc_id", "text")
     order = F.xxhash64("doc_id")
     chosen = None
-    for label in (0, 1):  # twice as many as needed: some have no text, or too long a one
+    for label in (0, 1):  # twice as many as needed: some have no text
         own = fair.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(sample_rows)
         chosen = own if chosen is None else chosen.unionByName(own)
-    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = [row for label in (0, 1) for row in rows.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(sample_rows // 2).collect()]
+    # sizes first, then only the texts that fit together
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = materialise(found.withColumn("size", F.octet_length("text")), "labelled-texts")
+    rows = []
+    for label in (0, 1):
+        own = found.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(sample_rows // 2)
+        total, fits = 0, []
+        for row in own.select("doc_id", "size").collect():
+            total += row["size"]
+            if fits and total > sample_bytes // 2:
+                break
+            fits.append(row["doc_id"])
+        rows += own.limit(len(fits)).collect()
+    discard(docs.sparkSession, found)
     toxic = np.array([r["toxic"] for r in rows], float)
     if len(set(toxic)) < 2:
         return 0.5

@@ -102,3 +102,50 @@ def test_toxicity_misspellings(spark):
     both = [*docs, (1, docs[1][1]), (7, "other text"), (9, "w " * 40_000)]
     again = fit(frame(both).repartition(5), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int"))
     assert np.array_equal(again.margins, fit(frame(both[::-1]), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")).margins)
+
+
+def test_toxicity_forward_by_force(spark):
+    """Scores against a plain computation from the model's margins, for texts of all kinds."""
+    import math
+    import re
+    from zlib import crc32
+
+    from pagemill.llm.toxicity import SubwordModel, scores
+
+    margins = np.random.default_rng(6).standard_normal(512).astype(np.float32)
+    texts = ["one two", "Één  tWo_three 4x4", "", None, "!!", "日本 語", "word " * 3000, "x" * 5000, "a", "A-b\nc"]
+    rows = [(i, t, "toxic", 1) for i, t in enumerate(texts)] + [(None, "one two", None, 0), (0, "one two", "x", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label string, score int").repartition(3)
+
+    def score(text):
+        found = []
+        for word in re.findall(r"\w+", (text or "").lower()):
+            marked = f"<{word}>"
+            grams = {marked} | {marked[i:j] for i in range(len(marked)) for j in range(i + 3, min(i + 5, len(marked)) + 1)}
+            found.append(sum(float(margins[crc32(g.encode()) % 512]) for g in grams) / len(grams))
+        return 1 / (1 + math.exp(-(sum(found) / max(len(found), 1) + 0.25)))
+
+    out = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in scores(frame, SubwordModel(margins, 0.25)).collect())
+    want = sorted((i is None, i or 0, score(t)) for i, t, *_ in rows)
+    assert [o[:2] for o in out] == [w[:2] for w in want] and np.allclose([o[2] for o in out], [w[2] for w in want], atol=1e-5)
+
+
+def test_toxicity_long_texts_train(spark):
+    """Texts of any length train: where only long ones are toxic, that is learnt; beyond the bound rows stay out by their hash."""
+    import random
+
+    from pagemill.llm.toxicity import fit, scores
+
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(6))
+    common = [word() for _ in range(300)]
+    some = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    docs = [(i, " ".join(f"{some(30)} zorkblat" for _ in range(50)) if i % 2 else some(1500)) for i in range(160)]
+    assert min(len(t) for _, t in docs) > 8192
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    tests = [(1000 + i, f"{some(40)} zorkblat {some(9)} zorkblat" if i % 2 else some(50)) for i in range(100)]
+    for size in (24 << 20, 1 << 20):
+        out = {r.doc_id: r.score for r in scores(frame(tests), fit(frame(docs), labels, sample_bytes=size)).collect()}
+        assert np.mean([(out[1000 + i] >= 0.5) == (i % 2 == 1) for i in range(100)]) > 0.9
+    assert not isinstance(fit(frame(docs), labels, sample_bytes=1), float)
