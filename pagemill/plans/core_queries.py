@@ -87,7 +87,7 @@ def citations(spark, sf_dir):
 
 def contexts(spark, sf_dir):
     names = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("name"))
-    return retrieval.context_text(packed(spark, sf_dir), names).select("query_id", "tokens", F.length("context").alias("n_chars"))
+    return retrieval.context_text(packed(spark, sf_dir), names).select("query_id", "tokens", F.length("context").alias("n_chars"), F.sha2("context", 256).alias("context_sha256"))
 
 
 def vectors(spark, sf_dir):
@@ -109,9 +109,9 @@ def quotes(spark, sf_dir):
 
 
 def prompts(spark, sf_dir):
-    text = chunks(spark, sf_dir)
+    text = chunking.chunk_documents(chunking.clean_pages(pages(spark, sf_dir)))
     made = pairs.prompt_batches(text.select("doc_id", F.col("chunk_index").alias("ord"), "page", "text"))
-    return made.select("doc_id", "batch", "n_segments", "chars", F.length("prompt").alias("n_chars"))
+    return made.select("doc_id", "batch", "n_segments", "chars", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 def summaries(spark, sf_dir):
@@ -364,7 +364,7 @@ ORACLE_SQL = {
     "retrieve": f"{_RETRIEVE} SELECT query_id, fr AS rank, chunk_id, score FROM hits",
     "pack_context": f"{_PACK} SELECT query_id, fr AS rank, chunk_id, tokens_so_far, position FROM packed",
     "citations": f"{_PACK}, {_NAMES}, sn AS (SELECT *, {audit.strip('text')} AS x FROM packed) SELECT query_id, fr AS rank, sn.doc_id, page, coalesce(name, 'Source Document') AS document_name, CASE WHEN length(x) > 200 THEN concat(substr(x, 1, 197), '...') ELSE x END AS snippet FROM sn LEFT JOIN names USING (doc_id)",
-    "context_text": f"{_PACK}, {_NAMES}, pt AS (SELECT query_id, tokens_so_far, concat(CASE WHEN position = min(position) OVER (PARTITION BY query_id, p.doc_id) THEN concat(CASE WHEN position > 1 THEN chr(10) ELSE '' END, '=== SOURCE DOCUMENT: ', coalesce(name, 'Unknown Source'), ' ===', chr(10)) ELSE '' END, printf('[Page %d | Relevance: %.2f]:', page, score), chr(10), text, chr(10), '---') AS part FROM packed p LEFT JOIN names USING (doc_id)) SELECT query_id, max(tokens_so_far) AS tokens, sum(length(part)) + count(*) - 1 AS n_chars FROM pt GROUP BY query_id",
+    "context_text": f"{_PACK}, {_NAMES}, pt AS (SELECT query_id, position, tokens_so_far, concat(CASE WHEN position = min(position) OVER (PARTITION BY query_id, p.doc_id) THEN concat(CASE WHEN position > 1 THEN chr(10) ELSE '' END, '=== SOURCE DOCUMENT: ', coalesce(name, 'Unknown Source'), ' ===', chr(10)) ELSE '' END, printf('[Page %d | Relevance: %.2f]:', page, score), chr(10), text, chr(10), '---') AS part FROM packed p LEFT JOIN names USING (doc_id)) SELECT query_id, max(tokens_so_far) AS tokens, sum(length(part)) + count(*) - 1 AS n_chars, sha256(string_agg(part, chr(10) ORDER BY position)) AS context_sha256 FROM pt GROUP BY query_id",
     "chunk_pair_candidates": f"WITH {_pairs_sql(0.45, 0.95, 0.70, 'greatest(8, least(15, n))')} SELECT * FROM kept UNION ALL SELECT doc_id, 1, min(ord), min(ord), 1.0 FROM vs GROUP BY doc_id HAVING count(*) = 1",
     "fact_pair_candidates": f"WITH {_pairs_sql(0.20, 0.85, 0.55, '40')} SELECT * FROM kept",
     "fact_pair_heuristic": f"WITH {audit.FACT_ROWS}, o AS (SELECT doc_id, ord, lower({audit.strip('subject')}) AS s, lower({audit.strip('value')}) AS v FROM facts) SELECT x.doc_id, row_number() OVER (PARTITION BY x.doc_id ORDER BY x.ord, y.ord) AS rank, x.ord AS a, y.ord AS b, 0.55::DOUBLE AS similarity FROM o x JOIN o y ON x.doc_id = y.doc_id AND x.s = y.s AND x.ord < y.ord AND x.v <> y.v QUALIFY rank <= 40",
@@ -372,6 +372,10 @@ ORACLE_SQL = {
     "score_contradictions": f"{_REPLIES}, sc AS (SELECT doc_id, reply_id, coalesce(summary, 'Contradiction detected') AS summary, round(0.4::DOUBLE * coalesce(confidence, 0.8) + 0.4::DOUBLE * coalesce(strength, 0.8) + 0.2::DOUBLE * coalesce(similarity, 0.5), 6) AS score FROM parsed WHERE ok) SELECT *, {_BAND(0.85, 0.65, 0.45)} FROM sc",
     "score_semantic_conflicts": f"{_REPLIES}, sc AS (SELECT doc_id, reply_id, summary, round(0.5::DOUBLE * coalesce(confidence, 0.75) + 0.3::DOUBLE * (1 - coalesce(similarity, 0.5)) + 0.2::DOUBLE * coalesce(confidence, 0.75), 6) AS score FROM parsed WHERE ok AND is_contradiction) SELECT *, {_BAND(0.80, 0.60, 0.40)} FROM sc",
     "resolve_quotes": f"WITH {audit.CORPUS}, qs AS (SELECT doc_id, chunk_index AS quote_id, CASE WHEN chunk_index % 2 = 0 THEN upper(substr(text, 20, 40)) ELSE 'nothing of the kind' END AS quote FROM corpus), hit AS (SELECT q.doc_id, q.quote_id, arg_min(c.page, c.chunk_index) AS page, arg_min(c.text, c.chunk_index) AS text FROM qs q JOIN corpus c ON q.doc_id = c.doc_id AND contains(lower(c.text), lower(trim(q.quote))) GROUP BY ALL) SELECT q.doc_id, q.quote_id, coalesce(h.page, 99) AS page, substr(coalesce(h.text, quote), 1, 400) AS snippet, CASE WHEN h.page IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS score FROM qs q LEFT JOIN hit h ON q.doc_id = h.doc_id AND q.quote_id = h.quote_id",
+    "prompt_batches": f"""{_CHUNKS}, sg AS (SELECT doc_id, chunk_index AS ord, page, text, length(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS k FROM ck),
+        ba AS (SELECT doc_id, k, 0 AS batch, 1 AS held, n AS chars FROM sg WHERE k = 1
+          UNION ALL SELECT s.doc_id, s.k, CASE WHEN r.chars + s.n > 12000 OR r.held >= 25 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.chars + s.n > 12000 OR r.held >= 25 THEN 1 ELSE r.held + 1 END, CASE WHEN r.chars + s.n > 12000 OR r.held >= 25 THEN s.n ELSE r.chars + s.n END FROM ba r JOIN sg s ON s.doc_id = r.doc_id AND s.k = r.k + 1)
+        SELECT doc_id, batch, count(*)::INT AS n_segments, sum(n)::INT AS chars, sha256(string_agg(concat('[Segment - Page ', page, ' / Chunk ', ord, ']', chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY k)) AS prompt_sha256 FROM ba JOIN sg USING (doc_id, k) GROUP BY doc_id, batch""",
     "dedupe_facts": f"{_DEDUPED} SELECT * FROM dx",
     "shape_facts": f"{_DEDUPED} SELECT doc_id, concat('fact-', substr(sha256(concat_ws('|', doc_id, subject, predicate, value)), 1, 12)) AS id, coalesce(nullif(fact_type, ''), 'definitional') AS type, subject, predicate, value, confidence, page, concat('chunk-', chunks[1]) AS chunk_id, evidence[1] AS evidence FROM dx",
     "merge_entities": f"{_E} SELECT doc_id, type, entity, confidence, frequency, coalesce(related, []) AS related, list_aggregate(list_transform(mentions, lambda x: concat(x.page, ':', x.snippet)), 'string_agg', ';') AS mentions FROM m",

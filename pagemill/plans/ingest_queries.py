@@ -81,7 +81,7 @@ def context_head(spark, sf_dir):
 
 
 def merged_context(spark, sf_dir):
-    return analysis.merged_context(retrieval.retrieve(*core.corpus(spark, sf_dir))).select("query_id", F.length("context").alias("n_chars"))
+    return analysis.merged_context(retrieval.retrieve(*core.corpus(spark, sf_dir))).select("query_id", F.length("context").alias("n_chars"), F.sha2("context", 256).alias("context_sha256"))
 
 
 def session_retrieval(spark, sf_dir):
@@ -232,7 +232,7 @@ ORACLE_SQL = {
         SELECT CASE WHEN n_chunks <= 1 THEN 'easy' WHEN n_chunks <= 3 THEN 'medium' WHEN n_chunks <= 5 THEN 'hard' ELSE 'nightmare' END AS pack, count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'FAIL' END AS status FROM checks GROUP BY 1""",
     "chunk_scan": f"{_CORPUS} SELECT doc_id, chunk_index, page, sha256(text) AS text_sha256 FROM corpus WHERE doc_id IN (1, 2, 3, 5, 7)",
     "context_head": f"{core._CHUNKS}, whole AS (SELECT doc_id, {_SECTION} AS w FROM ck WHERE chunk_index < 30 GROUP BY doc_id), cut AS (SELECT doc_id, CASE WHEN length(w) > 15000 THEN concat(substr(w, 1, 15000), chr(10), chr(10), '[...truncated for entity analysis...]') ELSE w END AS c FROM whole) SELECT doc_id, length(c) AS n_chars, sha256(c) AS context_sha256 FROM cut",
-    "merged_context": f"{core._RETRIEVE} SELECT query_id, length(string_agg(concat('[Source: Doc ID ', doc_id, ', Page ', page, '] ', text), concat(chr(10), chr(10)) ORDER BY fr)) AS n_chars FROM hits GROUP BY query_id",
+    "merged_context": f"{core._RETRIEVE}, mc AS (SELECT query_id, string_agg(concat('[Source: Doc ID ', doc_id, ', Page ', page, '] ', text), concat(chr(10), chr(10)) ORDER BY fr) AS c FROM hits GROUP BY query_id) SELECT query_id, length(c) AS n_chars, sha256(c) AS context_sha256 FROM mc",
     "session_retrieval": f"{core._SEARCH} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank, chunk_id, round(similarity, 6) AS similarity FROM dense WHERE query_id % 2 <> 0 OR doc_id % 5 = query_id % 5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) <= 30",
     "source_segments": f"{_CORPUS}, s AS (SELECT *, chunk_index // 3 AS batch FROM corpus), f AS (SELECT doc_id, batch, chunk_index AS fact, CASE WHEN page % 3 = 0 THEN 99 ELSE page END AS page FROM s) SELECT doc_id, fact, page, coalesce((SELECT min(chunk_index) FROM s WHERE s.doc_id = f.doc_id AND s.batch = f.batch AND s.page = f.page), (SELECT min(chunk_index) FROM s WHERE s.doc_id = f.doc_id AND s.batch = f.batch)) AS chunk_index FROM f",
     "run_telemetry": f"{_CORPUS}, facts AS ({duck_sql(FACTS)}), a AS (SELECT doc_id, count(*) AS retrieved FROM corpus GROUP BY 1), b AS (SELECT doc_id, count(DISTINCT lower(trim(concat_ws(' ', predicate, value)))) AS contradictions FROM facts GROUP BY 1), c AS (SELECT o_orderkey::BIGINT AS doc_id, round(sum(o_custkey % 100 / 8.0::DOUBLE), 3) AS latency FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) SELECT doc_id, coalesce(retrieved, 0) AS retrieved, coalesce(contradictions, 0) AS contradictions, coalesce(latency, 0.0) AS latency FROM a FULL JOIN b USING (doc_id) FULL JOIN c USING (doc_id)",
