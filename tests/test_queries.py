@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from pagemill.plans.queries import ORACLE_SQL, QUERIES
@@ -16,7 +17,7 @@ def plain(v):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
         return [plain(x) for x in v]
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     return float(f"{float(v):.9g}") if isinstance(v, (int, float)) else str(v)
 
