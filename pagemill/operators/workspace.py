@@ -51,8 +51,10 @@ def audit_report(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return log.orderBy(F.col("ts").desc()), log.groupBy("workspace_id", "action").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
 
 
-def recent_messages(messages: DataFrame, n: int = 5) -> DataFrame:
-    """The last ``n`` messages (session_id, turn, role, text) of each session, oldest first."""
+def recent_messages(messages: DataFrame, n: int = 5, current: DataFrame | None = None) -> DataFrame:
+    """The last ``n`` messages (session_id, turn, role, text) of each session, oldest first, without the ``current`` ones (session_id, turn)."""
+    if current is not None:
+        messages = messages.join(current.select("session_id", "turn"), ["session_id", "turn"], "left_anti")
     order = Window.partitionBy("session_id").orderBy(F.col("turn").desc())
     kept = messages.where(F.col("role").isin("user", "assistant", "system")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
     return kept.withColumn("position", F.row_number().over(Window.partitionBy("session_id").orderBy("turn"))).drop("_n")

@@ -168,6 +168,13 @@ def recent_messages(spark, sf_dir):
     return workspace.recent_messages(said).select("session_id", "turn", "role", "position")
 
 
+def chat_history(spark, sf_dir):
+    """What a model gets before each session's last message."""
+    said = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session_id")
+    asked = said.groupBy("session_id").agg(F.max("turn").alias("turn"))
+    return workspace.recent_messages(said, current=asked).select("session_id", "turn", "role", "position", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def repeated_questions(spark, sf_dir):
     said = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.lit("user").alias("role"), F.col("event_type").alias("text"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), "event_id")
     return workspace.repeated_questions(said).groupBy("session_id").agg(F.count_if("reused").alias("reused"), F.count(F.lit(1)).alias("asked"))
@@ -264,6 +271,7 @@ QUERIES = {
     "notifications": notifications,
     "audit_counts": audit_counts,
     "recent_messages": recent_messages,
+    "chat_history": chat_history,
     "repeated_questions": repeated_questions,
     "rate_limit": rate_limit,
     "latest_status": latest_status,
@@ -389,6 +397,7 @@ ORACLE_SQL = {
     "notifications": f"WITH {_TENANTS} SELECT document_id, user_id, email FROM docs JOIN users USING (user_id) WHERE status = 'COMPLETED'",
     "audit_counts": "SELECT user_id % 20 AS workspace_id, event_type AS action, count(*) AS n, max(ts) AS last_ts FROM events GROUP BY ALL",
     "recent_messages": "WITH k AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant', 'system') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5) SELECT conv_id AS session_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM k",
+    "chat_history": "WITH m AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS latest FROM conversations), k AS (SELECT * FROM m WHERE turn <> latest AND role IN ('user', 'assistant', 'system') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5) SELECT conv_id AS session_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, sha256(coalesce(text, '')) AS text_sha256 FROM k",
     "repeated_questions": "WITH l AS (SELECT user_id, floor(epoch(ts)) - lag(floor(epoch(ts))) OVER (PARTITION BY user_id, event_type ORDER BY floor(epoch(ts))) AS gap FROM events) SELECT user_id AS session_id, count(*) FILTER (gap <= 1800) AS reused, count(*) AS asked FROM l GROUP BY ALL",
     "rate_limit": "WITH n AS (SELECT event_id, user_id AS key, epoch_us(ts) AS t, count(*) OVER w AS before, min(epoch_us(ts)) OVER w AS oldest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND 1 PRECEDING)) SELECT event_id, key, before, before < 3 AS admitted, greatest(0, 3 - before - 1)::INT AS remaining, CASE WHEN before < 3 THEN 86400 ELSE greatest(1, floor(86400 - (t - oldest) / 1e6::DOUBLE)::INT) END AS reset FROM n",
     "latest_status": f"WITH {_STATUS}, g AS (SELECT document_id, arg_max(status, ts) AS status, floor(epoch(max(ts)))::BIGINT AS b, floor(epoch(min(ts)))::BIGINT AS a FROM (SELECT document_id, status, date_trunc('microsecond', ts) AS ts FROM st) GROUP BY ALL) SELECT document_id, status, CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in workspace.PROGRESS.items()) + " END AS progress, b - a AS seconds FROM g",
