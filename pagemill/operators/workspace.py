@@ -85,10 +85,15 @@ def rate_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
 
 
 def latest_status(changes: DataFrame) -> DataFrame:
-    """Of ``changes`` (document_id, status, ts): the latest status, its progress, and the seconds since the first."""
+    """Of ``changes`` (document_id, status, ts): the latest status, the progress it has reached, and the seconds since the first.
+
+    A status without progress of its own, as FAILED, keeps that of the last one with some.
+    """
     steps = F.create_map(*(F.lit(x) for kv in PROGRESS.items() for x in kv))
-    grouped = changes.groupBy("document_id").agg(F.max_by("status", "ts").alias("status"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    return grouped.select("document_id", "status", F.element_at(steps, F.col("status")).alias("progress"), (F.col("last_ts").cast("timestamp").cast("long") - F.col("first_ts").cast("timestamp").cast("long")).alias("seconds"))
+    known = changes.withColumn("step", F.element_at(steps, F.col("status")))
+    reached = F.max_by("step", F.when(F.col("step").isNotNull(), F.col("ts"))).alias("progress")
+    grouped = known.groupBy("document_id").agg(F.max_by("status", "ts").alias("status"), reached, F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return grouped.select("document_id", "status", "progress", (F.col("last_ts").cast("timestamp").cast("long") - F.col("first_ts").cast("timestamp").cast("long")).alias("seconds"))
 
 
 def stage_seconds(changes: DataFrame) -> DataFrame:

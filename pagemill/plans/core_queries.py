@@ -186,7 +186,7 @@ def rate_limit(spark, sf_dir):
 
 
 def statuses(spark, sf_dir):
-    names = list(workspace.PROGRESS)
+    names = [*workspace.PROGRESS, "FAILED"]
     status = F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("event_id") % len(names) + 1).cast("int"))
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), status.alias("status"), "ts", "event_id")
 
@@ -355,7 +355,7 @@ _F = f"WITH {audit.FACT_ROWS}, {audit.CLEAN_FACTS}"
 _E = f"WITH {audit.ENTITY_ROWS}, {audit.ENTITY_MERGE}, m AS (SELECT *, len(mentions) AS frequency FROM merged_ents)"
 _DEDUPED = f"{_F}, dd AS (SELECT doc_id, arg_max(row(ord, s, p, v, page, fact_type), row(confidence, -ord)) AS best, max(confidence) AS confidence, list(evidence ORDER BY ord) AS evidence, list(chunk_index ORDER BY ord) AS chunks FROM clean GROUP BY doc_id, lower(s), lower(p), lower(v)), dx AS (SELECT doc_id, best[1] AS ord, best[2] AS subject, best[3] AS predicate, best[4] AS value, best[5] AS page, best[6] AS fact_type, confidence, evidence, chunks FROM dd)"
 _GRAPH = f"{_E}, edges AS (SELECT DISTINCT e.doc_id, least(e.a, e.b) AS src, greatest(e.a, e.b) AS dst FROM (SELECT doc_id, lower(entity) AS a, lower(trim(unnest(related))) AS b FROM m) e WHERE e.b <> '' AND e.a <> e.b), top AS (SELECT doc_id, rank, entity, type, frequency FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY frequency DESC, ord) AS rank FROM m) WHERE rank <= 12)"
-_STATUS = "st AS (SELECT user_id AS document_id, (['" + "', '".join(workspace.PROGRESS) + f"'])[(event_id % {len(workspace.PROGRESS)} + 1)::INT] AS status, ts, event_id FROM events)"
+_STATUS = "st AS (SELECT user_id AS document_id, (['" + "', '".join([*workspace.PROGRESS, "FAILED"]) + f"'])[(event_id % {len(workspace.PROGRESS) + 1} + 1)::INT] AS status, ts, event_id FROM events)"
 
 _NUMBER = lambda x: f"CASE WHEN abs({x} * 10 - round({x} * 10)) < 1e-9 THEN printf('%.1f', {x}) ELSE printf('%.2f', {x}) END"
 
@@ -400,7 +400,7 @@ ORACLE_SQL = {
     "chat_history": "WITH m AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS latest FROM conversations), k AS (SELECT * FROM m WHERE turn <> latest AND role IN ('user', 'assistant', 'system') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5) SELECT conv_id AS session_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, sha256(coalesce(text, '')) AS text_sha256 FROM k",
     "repeated_questions": "WITH l AS (SELECT user_id, floor(epoch(ts)) - lag(floor(epoch(ts))) OVER (PARTITION BY user_id, event_type ORDER BY floor(epoch(ts))) AS gap FROM events) SELECT user_id AS session_id, count(*) FILTER (gap <= 1800) AS reused, count(*) AS asked FROM l GROUP BY ALL",
     "rate_limit": "WITH n AS (SELECT event_id, user_id AS key, epoch_us(ts) AS t, count(*) OVER w AS before, min(epoch_us(ts)) OVER w AS oldest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND 1 PRECEDING)) SELECT event_id, key, before, before < 3 AS admitted, greatest(0, 3 - before - 1)::INT AS remaining, CASE WHEN before < 3 THEN 86400 ELSE greatest(1, floor(86400 - (t - oldest) / 1e6::DOUBLE)::INT) END AS reset FROM n",
-    "latest_status": f"WITH {_STATUS}, g AS (SELECT document_id, arg_max(status, ts) AS status, floor(epoch(max(ts)))::BIGINT AS b, floor(epoch(min(ts)))::BIGINT AS a FROM (SELECT document_id, status, date_trunc('microsecond', ts) AS ts FROM st) GROUP BY ALL) SELECT document_id, status, CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in workspace.PROGRESS.items()) + " END AS progress, b - a AS seconds FROM g",
+    "latest_status": f"WITH {_STATUS}, p AS (SELECT document_id, status, date_trunc('microsecond', ts) AS ts, CASE status " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in workspace.PROGRESS.items()) + " END AS step FROM st) SELECT document_id, arg_max(status, ts) AS status, arg_max(step, ts) FILTER (step IS NOT NULL) AS progress, floor(epoch(max(ts)))::BIGINT - floor(epoch(min(ts)))::BIGINT AS seconds FROM p GROUP BY document_id",
     "stage_seconds": f"WITH {_STATUS}, l AS (SELECT status, floor(epoch(lead(ts) OVER (PARTITION BY document_id ORDER BY ts)))::BIGINT - floor(epoch(ts))::BIGINT AS s FROM st) SELECT status, count(s) AS n, sum(s)::BIGINT AS seconds FROM l GROUP BY status",
     "usage_totals": "WITH u AS (SELECT conv_id AS session_id, role AS model, greatest(1, length(coalesce(text, '')) // 4) AS p, length(coalesce(text, '')) AS c FROM conversations) SELECT session_id, model, sum(p) AS prompt_tokens, sum(c) AS completion_tokens, sum(p + c) AS total_tokens FROM u GROUP BY ALL",
     "quality_report": f"{audit.EVERYTHING}, {audit.SCORES}, ch AS (SELECT concat('pack ', doc_id % 10) AS pack, score >= 20 AS passed FROM trust) SELECT pack, count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'FAIL' END AS status FROM ch GROUP BY pack",

@@ -67,6 +67,15 @@ def test_detection_order_and_graph(spark):
     assert (row.value_a, row.value_b, row.pages, row.confidence, row.severity) == ("$9 m", "$2 m", [1, 2], 0.8, "medium")
 
 
+def test_failed_keeps_its_progress(spark):
+    rows = [(1, "QUEUED", 1), (1, "CHUNKING", 2), (1, "FAILED", 3), (2, "FAILED", 1), (3, "COMPLETED", 5), (3, "QUEUED", 4)]
+    changes = spark.createDataFrame(rows, "document_id long, status string, s long").select("document_id", "status", F.timestamp_seconds("s").alias("ts"))
+    assert sorted(tuple(r) for r in workspace.latest_status(changes).collect()) == [(1, "FAILED", 45, 2), (2, "FAILED", None, 0), (3, "COMPLETED", 100, 1)]
+    said = spark.createDataFrame([(1, k, "user" if k % 2 else "tool", "t") for k in range(14)], "session_id long, turn int, role string, text string")
+    out = workspace.recent_messages(said, current=said.where("turn = 13").select("session_id", "turn")).orderBy("position").collect()
+    assert [(r.turn, r.position) for r in out] == [(3, 1), (5, 2), (7, 3), (9, 4), (11, 5)]
+
+
 def test_limits():
     assert [workspace.limits(t) for t in ("heavy", "upload", "chat", "analysis", "standard", "other")] == [(10, 60), (50, 86400), (1000, 86400), (20, 3600), (100, 60), (100, 60)]
 
