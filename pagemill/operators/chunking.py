@@ -2,7 +2,8 @@
 
 The chunker is a function of the sentence it starts at: a chunk takes sentences while their tokens fit ``size``; the next
 one starts at the first sentence from which at most ``overlap`` tokens are left in the chunk. It is folded over a
-document's sentences by two pointers in Arrow batches; the pages of one document are all that a row holds.
+document's sentences by two pointers in Arrow batches; the pages of one document are all that a row holds. Documents larger
+than that go through :func:`chunk_long_documents`, where a row holds a page and no task a document.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagemill.functions.text import clean, sentences, token_estimate
-from pagemill.session import ship_code
+from pagemill.operators.chains import greedy_links, members, numbered
+from pagemill.session import materialise, ship_code
 
 CHUNKS = "doc_id long, chunk_index int, page int, token_count int, first_sentence int, n_sentences int, text string, start_char int, end_char int"
 
@@ -108,6 +110,49 @@ def chunk_documents(pages: DataFrame, size: int = 500, overlap: int = 50, tokens
     return made.withColumn("chunk_id", F.format_string("%s-chk-%d", F.col("doc_id").cast("string"), "chunk_index"))
 
 
+def _placed_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, page, text, parts, tokens, number of the first sentence, first character) -> a row a sentence."""
+    for batch in batches:
+        _, pages, texts, parts, tokens, numbers, offsets = (c.to_pylist() for c in batch.columns)
+        source, rows = [], []
+        for row in range(batch.num_rows):
+            source += [row] * len(parts[row])
+            places = sentence_places(texts[row], parts[row], offsets[row])
+            rows += [(numbers[row] + i, pages[row], parts[row][i], tokens[row][i], *place) for i, place in enumerate(places)]
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n", "page", "text", "tokens", "start_char", "end_char"])
+
+
+def chunk_long_documents(pages: DataFrame, size: int = 500, overlap: int = 50, tokens: Callable[[Column], Column] = token_estimate, block_items: int = 4096) -> DataFrame:
+    """What :func:`chunk_documents` gives, for documents of any number of pages; places are long.
+
+    Sentences are numbered across tasks, runs of them are found block by block (:func:`greedy_links`), and each chunk
+    gathers its own. A sentence needs one token at least (an error otherwise); rows without document are left out.
+    """
+    ship_code(pages.sparkSession)
+    parts = pages.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), "text", sentences(F.col("text")).alias("parts"))
+    own = numbered(parts, ["page", "text"])
+    earlier = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.select("doc_id", "n", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast("long").alias(k) for c, k in ((F.size("parts"), "number"), (F.length("text") + 2, "offset"))))
+    least = F.transform(F.transform("parts", tokens), lambda t: F.when(t >= 1, t.cast("int")).otherwise(F.raise_error(F.lit("a sentence without tokens")).cast("int")))
+    placed = own.join(sums, ["doc_id", "n"]).select("doc_id", "page", "text", "parts", least.alias("tokens"), "number", "offset")
+    rows = materialise(placed.mapInArrow(_placed_sentences, "doc_id long, n long, page int, text string, tokens int, start_char long, end_char long"), "sentences")
+    links = greedy_links(rows.select("doc_id", "n", F.col("tokens").alias("weight")), size, size, overlap, block_items)
+    held = members(links, rows).groupBy("doc_id", "link", "page").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("held"), F.min("n").alias("n"), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), F.collect_list(F.struct("n", "text")).alias("parts"))
+    whole = held.groupBy("doc_id", "link").agg(
+        F.max_by("page", F.struct("tokens", -F.col("n"))).alias("page"),
+        F.sum("tokens").cast("int").alias("token_count"),
+        F.min("n").alias("first_sentence"),
+        F.sum("held").cast("int").alias("n_sentences"),
+        F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("parts"))), lambda x: x["text"]), "\n\n").alias("text"),
+        F.min("start_char").alias("start_char"),
+        F.max("end_char").alias("end_char"),
+    )
+    made = whole.withColumn("chunk_index", F.col("link").cast("int")).select("doc_id", "chunk_index", "page", "token_count", "first_sentence", "n_sentences", "text", "start_char", "end_char")
+    return made.withColumn("chunk_id", F.format_string("%s-chk-%d", F.col("doc_id").cast("string"), "chunk_index"))
+
+
 #: the pages of one document (page, text) in order -> its chunks (page, text, start_char, end_char)
 Chunker = Callable[[list[tuple[int, str]]], list[tuple[int, str, int, int]]]
 

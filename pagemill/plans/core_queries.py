@@ -30,6 +30,11 @@ def chunk_documents(spark, sf_dir):
     return made.select("doc_id", "chunk_index", "page", "token_count", "first_sentence", "n_sentences", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def chunk_long_documents(spark, sf_dir):
+    made = chunking.chunk_long_documents(chunking.clean_pages(pages(spark, sf_dir)))
+    return made.select("doc_id", "chunk_index", "page", "token_count", "first_sentence", "n_sentences", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def chunk_statistics(spark, sf_dir):
     return chunking.chunk_statistics(chunking.chunk_documents(chunking.clean_pages(pages(spark, sf_dir))))
 
@@ -114,6 +119,17 @@ def prompts(spark, sf_dir):
     return made.select("doc_id", "batch", "n_segments", "chars", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
+def source_prompts(spark, sf_dir):
+    """Prompts over one long text a source: the chunks of all its documents in order, under the least of their ids."""
+    text = materialise(chunking.chunk_documents(chunking.clean_pages(pages(spark, sf_dir))).select("doc_id", "chunk_index", "page", "text"), "segments")
+    sources = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    heads = sources.groupBy("source").agg(F.min("doc_id").alias("head"))
+    joined = text.join(sources, "doc_id").join(heads, "source")
+    segments = joined.select(F.col("head").alias("doc_id"), (F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("ord"), "page", "text")
+    made = pairs.prompt_batches_long(segments, block_items=64)
+    return made.select("doc_id", "batch", "n_segments", "chars", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
 def summaries(spark, sf_dir):
     f = audit.findings(spark, sf_dir)
     return reports.executive_summary(f["trust"], entities.dedupe_facts(derived(spark, sf_dir, FACTS)), f["contradictions"], f["references"], f["requirements"], f["entity_conflicts"], f["ambiguities"])
@@ -238,6 +254,7 @@ def stream_window_counts(spark, sf_dir):
 QUERIES = {
     "clean_pages": clean_pages,
     "chunk_documents": chunk_documents,
+    "chunk_long_documents": chunk_long_documents,
     "chunk_statistics": chunk_statistics,
     "readable_documents": readable_documents,
     "document_files": document_files,
@@ -256,6 +273,7 @@ QUERIES = {
     "score_semantic_conflicts": lambda s, d: pairs.score_semantic_conflicts(replies(s, d)),
     "resolve_quotes": quotes,
     "prompt_batches": prompts,
+    "source_prompts": source_prompts,
     "dedupe_facts": lambda s, d: entities.dedupe_facts(derived(s, d, FACTS)),
     "shape_facts": lambda s, d: entities.shape_facts(entities.dedupe_facts(derived(s, d, FACTS))),
     "merge_entities": lambda s, d: merged(s, d).select("doc_id", "type", "entity", "confidence", "frequency", "related", F.array_join(F.transform("mentions", lambda m: F.concat_ws(":", m["page"].cast("string"), m["snippet"])), ";").alias("mentions")),
@@ -358,10 +376,18 @@ _GRAPH = f"{_E}, edges AS (SELECT DISTINCT e.doc_id, least(e.a, e.b) AS src, gre
 _STATUS = "st AS (SELECT user_id AS document_id, (['" + "', '".join([*workspace.PROGRESS, "FAILED"]) + f"'])[(event_id % {len(workspace.PROGRESS) + 1} + 1)::INT] AS status, ts, event_id FROM events)"
 
 _NUMBER = lambda x: f"CASE WHEN abs({x} * 10 - round({x} * 10)) < 1e-9 THEN printf('%.1f', {x}) ELSE printf('%.2f', {x}) END"
+def _prompts_sql(segments: str) -> str:
+    full = "r.chars + s.n > 12000 OR r.held >= 25"
+    return f"""{_CHUNKS}, sg AS MATERIALIZED (SELECT *, length(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM ({segments})),
+        ba AS (SELECT doc_id, k, 0 AS batch, 1 AS held, n AS chars FROM sg WHERE k = 1
+          UNION ALL SELECT s.doc_id, s.k, CASE WHEN {full} THEN r.batch + 1 ELSE r.batch END, CASE WHEN {full} THEN 1 ELSE r.held + 1 END, CASE WHEN {full} THEN s.n ELSE r.chars + s.n END FROM ba r JOIN sg s ON s.doc_id = r.doc_id AND s.k = r.k + 1)
+        SELECT doc_id, batch, count(*)::INT AS n_segments, sum(n)::INT AS chars, sha256(string_agg(concat('[Segment - Page ', page, ' / Chunk ', ord, ']', chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY k)) AS prompt_sha256 FROM ba JOIN sg USING (doc_id, k) GROUP BY doc_id, batch"""
+
 
 ORACLE_SQL = {
     "clean_pages": f"{_CLEAN} SELECT * FROM cl",
     "chunk_documents": f"{_CHUNKS} SELECT doc_id, chunk_index, page, token_count, first_sentence, n_sentences, length(text) AS n_chars, sha256(text) AS text_sha256 FROM ck",
+    "chunk_long_documents": f"{_CHUNKS} SELECT doc_id, chunk_index, page, token_count, first_sentence, n_sentences, length(text) AS n_chars, sha256(text) AS text_sha256 FROM ck",
     "chunk_statistics": f"{_CHUNKS} SELECT doc_id, count(*) AS n_chunks, sum(token_count) // count(*) AS mean_tokens, sum(token_count) AS total_tokens FROM ck GROUP BY doc_id",
     "readable_documents": r"SELECT doc_id, coalesce(bool_or(length(regexp_replace(text, '\s+', '', 'g')) > 0), false) AS readable FROM documents WHERE text IS NOT NULL GROUP BY doc_id",
     "document_files": r"""WITH d AS (SELECT doc_id, concat('file', doc_id, CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.TXT' WHEN 2 THEN '.pdf' ELSE '.bin' END) AS name, coalesce(text, '') AS t FROM documents)
@@ -380,10 +406,8 @@ ORACLE_SQL = {
     "score_contradictions": f"{_REPLIES}, sc AS (SELECT doc_id, reply_id, coalesce(summary, 'Contradiction detected') AS summary, round(0.4::DOUBLE * coalesce(confidence, 0.8) + 0.4::DOUBLE * coalesce(strength, 0.8) + 0.2::DOUBLE * coalesce(similarity, 0.5), 6) AS score FROM parsed WHERE ok) SELECT *, {_BAND(0.85, 0.65, 0.45)} FROM sc",
     "score_semantic_conflicts": f"{_REPLIES}, sc AS (SELECT doc_id, reply_id, summary, round(0.5::DOUBLE * coalesce(confidence, 0.75) + 0.3::DOUBLE * (1 - coalesce(similarity, 0.5)) + 0.2::DOUBLE * coalesce(confidence, 0.75), 6) AS score FROM parsed WHERE ok AND is_contradiction) SELECT *, {_BAND(0.80, 0.60, 0.40)} FROM sc",
     "resolve_quotes": f"WITH {audit.CORPUS}, qs AS (SELECT doc_id, chunk_index AS quote_id, CASE WHEN chunk_index % 2 = 0 THEN upper(substr(text, 20, 40)) ELSE 'nothing of the kind' END AS quote FROM corpus), hit AS (SELECT q.doc_id, q.quote_id, arg_min(c.page, c.chunk_index) AS page, arg_min(c.text, c.chunk_index) AS text FROM qs q JOIN corpus c ON q.doc_id = c.doc_id AND contains(lower(c.text), lower(trim(q.quote))) GROUP BY ALL) SELECT q.doc_id, q.quote_id, coalesce(h.page, 99) AS page, substr(coalesce(h.text, quote), 1, 400) AS snippet, CASE WHEN h.page IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS score FROM qs q LEFT JOIN hit h ON q.doc_id = h.doc_id AND q.quote_id = h.quote_id",
-    "prompt_batches": f"""{_CHUNKS}, sg AS (SELECT doc_id, chunk_index AS ord, page, text, length(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS k FROM ck),
-        ba AS (SELECT doc_id, k, 0 AS batch, 1 AS held, n AS chars FROM sg WHERE k = 1
-          UNION ALL SELECT s.doc_id, s.k, CASE WHEN r.chars + s.n > 12000 OR r.held >= 25 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.chars + s.n > 12000 OR r.held >= 25 THEN 1 ELSE r.held + 1 END, CASE WHEN r.chars + s.n > 12000 OR r.held >= 25 THEN s.n ELSE r.chars + s.n END FROM ba r JOIN sg s ON s.doc_id = r.doc_id AND s.k = r.k + 1)
-        SELECT doc_id, batch, count(*)::INT AS n_segments, sum(n)::INT AS chars, sha256(string_agg(concat('[Segment - Page ', page, ' / Chunk ', ord, ']', chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY k)) AS prompt_sha256 FROM ba JOIN sg USING (doc_id, k) GROUP BY doc_id, batch""",
+    "prompt_batches": _prompts_sql("SELECT doc_id, chunk_index AS ord, page, text FROM ck"),
+    "source_prompts": _prompts_sql("SELECT head AS doc_id, c.doc_id * 1000000 + chunk_index AS ord, page, c.text FROM ck c JOIN (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(source, '')) AS head FROM documents) h ON c.doc_id = h.doc_id"),
     "dedupe_facts": f"{_DEDUPED} SELECT * FROM dx",
     "shape_facts": f"{_DEDUPED} SELECT doc_id, concat('fact-', substr(sha256(concat_ws('|', doc_id, subject, predicate, value)), 1, 12)) AS id, coalesce(nullif(fact_type, ''), 'definitional') AS type, subject, predicate, value, confidence, page, concat('chunk-', chunks[1]) AS chunk_id, evidence[1] AS evidence FROM dx",
     "merge_entities": f"{_E} SELECT doc_id, type, entity, confidence, frequency, coalesce(related, []) AS related, list_aggregate(list_transform(mentions, lambda x: concat(x.page, ':', x.snippet)), 'string_agg', ';') AS mentions FROM m",

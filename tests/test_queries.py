@@ -9,7 +9,7 @@ import pytest
 from pagemill.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["numeric_conflicts", "references", "requirement_matrix", "ambiguities", "clean_pages", "chunk_documents", "retrieve", "dedupe_facts", "merge_entities", "entity_conflicts", "access_scope", "rate_limit", "stream_window_counts", "context_head", "payload_defaults", "stream_sessions", "explained_conflicts", "merged_contradictions", "parsed_blobs", "parsed_files", "semantic_conflicts", "contradiction_findings", "chunk_windows", "prompt_batches", "listed_payloads", "stream_stages", "chunk_pair_candidates"]
+QUICK = ["numeric_conflicts", "references", "requirement_matrix", "ambiguities", "clean_pages", "chunk_documents", "retrieve", "dedupe_facts", "merge_entities", "entity_conflicts", "access_scope", "rate_limit", "stream_window_counts", "context_head", "payload_defaults", "stream_sessions", "explained_conflicts", "merged_contradictions", "parsed_blobs", "parsed_files", "semantic_conflicts", "contradiction_findings", "chunk_windows", "prompt_batches", "chunk_long_documents", "source_prompts", "listed_payloads", "stream_stages", "chunk_pair_candidates"]
 
 
 def plain(v):
