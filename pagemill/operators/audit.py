@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pagemill.functions import patterns as P
 from pagemill.functions.scan import found as without_offsets, java, matches, snippet
 from pagemill.functions.text import normal_value, strip, truncated
+from pagemill.session import materialise
 
 
 def scan(chunks: DataFrame, pattern: str, groups: int, flags: str = "i") -> DataFrame:
@@ -36,7 +37,7 @@ def label_conflicts(chunks: DataFrame, kind: str, pattern: str, confidence: floa
         occ = occ.where(~F.col("key").isin(P.GENERIC_LABELS))
     occ = occ.withColumn("snippet", snippet(F.col("text"), F.col("start"), F.length("match"), 60, 80))
     occ = occ.select("doc_id", "key", "label", "value", "page", "snippet", F.struct("chunk_index", "match_index").alias("ord"))
-    occ = first_rows(occ, ["doc_id", "key", F.lower("value"), "page"], ["ord"])
+    occ = materialise(first_rows(occ, ["doc_id", "key", F.lower("value"), "page"], ["ord"]), "labelled")  # read twice below, scanned once
     a = occ.select("doc_id", "key", "label", *(F.col(c).alias(f"{c}_a") for c in ("value", "page", "snippet", "ord")))
     b = occ.select("doc_id", "key", *(F.col(c).alias(f"{c}_b") for c in ("value", "page", "snippet", "ord")))
     pairs = a.join(b, ["doc_id", "key"]).where((F.col("ord_a") < F.col("ord_b")) & (F.col("page_a") != F.col("page_b")) & (normal_value(F.col("value_a")) != normal_value(F.col("value_b"))))
@@ -110,7 +111,7 @@ def conflict_pairs(found: DataFrame) -> DataFrame:
     place = F.struct("chunk_index", "match_index")
     found = found.repartition("doc_id", "kind", "key").withColumn("ord", place)
     alike = [F.when(F.col("side") == "", F.col("spelled")), F.when(F.col("side") == "", F.col("page")), "side", F.when(F.col("side") == "denied", F.col("ord"))]
-    found = first_rows(found, ["doc_id", "kind", "key", *alike], ["ord"])
+    found = materialise(first_rows(found, ["doc_id", "kind", "key", *alike], ["ord"]), "occurrences")  # read twice below, scanned once
     side = lambda x: found.select("doc_id", "kind", "key", *(F.col(c).alias(f"{c}_{x}") for c in ("label", "value", "same", "side", "page", "chunk_index", "match_index", "ord")))
     valued = "side_a = '' AND ord_a < ord_b AND same_a <> same_b"
     pairs = side("a").join(side("b"), ["doc_id", "kind", "key"]).where(f"page_a <> page_b AND (({valued}) OR (side_a = 'stated' AND side_b = 'denied'))")
@@ -168,29 +169,40 @@ def ambiguities(chunks: DataFrame, most: int = P.MOST_AMBIGUITIES) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).where(F.col("_n") <= most).drop("_n")
 
 
+#: what every match of a kind's patterns holds in lower case
+HELD = {"section": "sec", "clause": "clause", "appendix": "appendix", "figure": "fig", "table": "table", "requirement": "req"}
+
+
 def scan_rules(chunks: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """Matches of several patterns (kind, flags, pattern; one group) in one pass over the table.
 
-    doc_id, page, ord (chunk_index, rule, match_index), kind, match, value (the group, upper case).
+    doc_id, page, ord (chunk_index, rule, match_index), kind, match, value (the group, upper case). A pattern that names its
+    kind is spared the texts that don't; these are folded as patterns fold letters, so that long s and dotless i count.
     """
 
+    def asked(kind: str, pattern: str) -> Column:
+        held = HELD.get(kind, "")
+        return F.when(F.col("folded").contains(held), F.col("text")).otherwise("") if held and held in pattern.lower() else F.col("text")
+
     def row(rule: int, kind: str):
         return lambda m, k: F.struct(F.lit(rule).alias("rule"), k.alias("match_index"), F.lit(kind).alias("kind"), m["match"].alias("match"), F.upper(strip(m["g1"])).alias("value"))
 
-    parts = [F.transform(without_offsets(F.col("text"), java(p, flags), 1), row(i, kind)) for i, (kind, flags, p) in enumerate(rules)]
-    found = chunks.select("doc_id", "page", "chunk_index", F.explode(F.concat(*parts)).alias("m"))
+    parts = [F.transform(without_offsets(asked(kind, p), java(p, flags), 1), row(i, kind)) for i, (kind, flags, p) in enumerate(rules)]
+    folded = chunks.select("doc_id", "page", "chunk_index", "text", F.lower(F.translate("text", "\u017f\u0131\u0130\u212a", "siik")).alias("folded"))
+    found = folded.select("doc_id", "page", "chunk_index", F.explode(F.concat(*parts)).alias("m"))
     return found.select("doc_id", "page", F.struct("chunk_index", "m.rule", "m.match_index").alias("ord"), "m.kind", "m.match", "m.value")
 
 
 def references(chunks: DataFrame) -> DataFrame:
     """Distinct references with VALID or BROKEN_REFERENCE, as their target is defined in the document or not."""
     uses = [(kind, "i", p) for kind, p in P.REFERENCES.items()]
-    found = scan_rules(chunks, [*uses, *P.DEFINITIONS]).repartition("doc_id", "kind", "value")
-    defined = found.where(F.col("ord.rule") >= len(uses)).select("doc_id", "kind", "value").distinct().withColumn("known", F.lit(True))
-    used = found.where(F.col("ord.rule") < len(uses)).withColumnRenamed("match", "reference")
-    used = first_rows(used, ["doc_id", F.lower("reference"), "kind", "value", "page"], ["ord"])
-    joined = used.join(defined, ["doc_id", "kind", "value"], "left")
-    return joined.select("doc_id", "reference", F.concat_ws(" ", F.initcap("kind"), "value").alias("target"), "page", F.when(F.col("known"), "VALID").otherwise("BROKEN_REFERENCE").alias("status"), "ord")
+    target = ["doc_id", "kind", "value"]
+    found = scan_rules(chunks, [*uses, *P.DEFINITIONS]).repartition(*target).withColumn("use", F.col("ord.rule") < len(uses))
+    # of a target's definitions one is enough; both steps keep the partitioning, and the text is scanned once
+    found = first_rows(found, [*target, "use", F.when(F.col("use"), F.lower("match")), F.when(F.col("use"), F.col("page"))], ["ord"])
+    known = F.bool_or(~F.col("use")).over(Window.partitionBy(*target))
+    used = found.withColumn("known", known).where("use").withColumnRenamed("match", "reference")
+    return used.select("doc_id", "reference", F.concat_ws(" ", F.initcap("kind"), "value").alias("target"), "page", F.when(F.col("known"), "VALID").otherwise("BROKEN_REFERENCE").alias("status"), "ord")
 
 
 def requirement_matrix(chunks: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import pytest
 
+from pagemill.functions import patterns
 from pagemill.operators import audit, entities
 
 SCHEMA = "doc_id long, page int, chunk_index int, text string"
@@ -52,3 +53,14 @@ def test_trust_score(frame, spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert audit.contradictions(empty).count() == 0 and audit.references(empty).count() == 0
+
+
+def test_patterns_are_spared_no_text_that_they_match(spark):
+    """With the words of all kinds behind it, no text is spared a pattern; its matches stay the same."""
+    texts = ["\u017fection 3.1", "See SEC. 4 and \u017fec. 5.", "f\u0131gure 2: f\u0130g. 3", "Clau\u017fe 4.1", "append\u0131x B", "\u212a Table 7 - tables", "REQ-12: re\u0071 3", "1.2 Scope\n 2.3 Next", "none of it", "", None]
+    frame = lambda more: spark.createDataFrame([(1, 1, i, None if x is None else x + more) for i, x in enumerate(texts)], "doc_id long, page int, chunk_index int, text string")
+    rules = [*((kind, "i", p) for kind, p in patterns.REFERENCES.items()), *patterns.DEFINITIONS]
+    rows = lambda more: sorted((tuple(r.ord), r.kind, r.match, r.value) for r in audit.scan_rules(frame(more), rules).collect())
+    found = rows("")
+    assert found == rows("\n. table req section figure clause appendix.")
+    assert {m for _, _, m, _ in found} >= {"\u017fection 3.1", "\u017fec. 5", "f\u0131gure 2", "f\u0130g. 3", "Clau\u017fe 4.1", "Table 7", "1.2 S"}
