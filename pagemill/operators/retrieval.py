@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pagemill.functions.text import query_tokens, space_tokens, strip, token_estimate, truncated, word_tokens
+from pagemill.functions.text import query_tokens, space_tokens, strip, token_estimate, truncated, two_places, word_tokens
 from pagemill.functions.vectors import dot
 from pagemill.session import materialise, ship_code
 
@@ -183,10 +183,11 @@ def pack_context(hits: DataFrame, budget: int = 4000, header: int = 30) -> DataF
 
 def context_text(packed: DataFrame, names: DataFrame) -> DataFrame:
     """query_id, context, tokens: the packed chunks under the names of their documents (doc_id, name)."""
+    ship_code(packed.sparkSession)
     named = packed.join(names, "doc_id", "left").withColumn("name", F.coalesce("name", F.lit("Unknown Source")))
     new = F.col("position") == F.min("position").over(Window.partitionBy("query_id", "doc_id"))
     head = F.when(new, F.concat(F.when(F.col("position") > 1, "\n").otherwise(""), F.lit("=== SOURCE DOCUMENT: "), "name", F.lit(" ===\n"))).otherwise("")
-    part = F.concat(head, F.format_string("[Page %d | Relevance: %.2f]:\n%s\n---", "page", "score", "text"))
+    part = F.concat(head, F.format_string("[Page %d | Relevance: %s]:\n%s\n---", "page", two_places(F.col("score")), "text"))
     rows = named.select("query_id", F.struct("position", part.alias("part")).alias("p"), "tokens_so_far")
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["part"]), "\n").alias("context"), F.max("tokens_so_far").alias("tokens"))
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as T
 from pagemill.functions.scan import matches
 from pagemill.functions.vectors import hash_embedding, unit
+from pagemill.operators.retrieval import context_text
 
 
 def one(spark, value, column):
@@ -37,3 +38,12 @@ def test_vectors(spark):
     row = spark.range(1).select(unit(F.array(F.lit(3.0), F.lit(4.0))).alias("a"), unit(F.array(F.lit(0.0), F.lit(0.0))).alias("b"), hash_embedding(F.lit("x"), 48).alias("c")).first()
     assert row.a == [0.6, 0.8] and row.b == [0.0, 0.0]
     assert len(row.c) == 48 and abs(sum(x * x for x in row.c) - 1) < 1e-12 and row.c[:10] == row.c[32:42]
+
+
+def test_two_places_round_by_the_exact_value(spark):
+    values = [0.595, 0.125, 0.375, 0.585, 0.5949, 1.0, 0.0, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").select("i", T.two_places(F.col("x")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in rows] == [None if v is None else f"{v:.2f}" for v in values]
+    packed = spark.createDataFrame([(1, 1, 7, 1, "text", 0.595, 1, 31)], "query_id long, rank int, doc_id long, page int, text string, score double, position int, tokens_so_far int")
+    names = spark.createDataFrame([(7, "Doc 7")], "doc_id long, name string")
+    assert context_text(packed, names).first().context == "=== SOURCE DOCUMENT: Doc 7 ===\n[Page 1 | Relevance: 0.59]:\ntext\n---"
