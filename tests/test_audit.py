@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.functions import patterns
+from pagemill.functions.scan import found, java, matches
 from pagemill.operators import audit, entities
 
 SCHEMA = "doc_id long, page int, chunk_index int, text string"
@@ -64,3 +66,17 @@ def test_patterns_are_spared_no_text_that_they_match(spark):
     found = rows("")
     assert found == rows("\n. table req section figure clause appendix.")
     assert {m for _, _, m, _ in found} >= {"\u017fection 3.1", "\u017fec. 5", "f\u0131gure 2", "f\u0130g. 3", "Clau\u017fe 4.1", "Table 7", "1.2 S"}
+
+
+def test_scans_skip_no_match(spark):
+    """Labels at the ends of what a search skips: the same matches as without skipping, and a run without one is left at once."""
+    run = "x" * 39
+    texts = ["The rate is 5 s. Plain words go on and on for long and hold no number at all. The rate is 6", f"a{run} is 7", f"b a{run} is 7", f"{run} {run} {run} is 8, so", "1 rate\nis 5", "rate - _ -is 5 is 6", "ſize of Kits is 9 GB", "rate is 5 rate is 6\nis 7"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for pattern in (patterns.NUMERIC, patterns.DATE, patterns.MONEY):
+        for scan in (found, matches):
+            plain, skipping = (scan(F.col("text"), java(pattern), 2, *skip) for skip in ((), (patterns.NO_LABEL,)))
+            for row in frame.select("text", plain.alias("plain"), skipping.alias("skipping")).collect():
+                assert row.plain == row.skipping, row.text
+    gaps = F.split(F.regexp_replace(F.lit('Plain words without numbers. More'), java(patterns.NO_LABEL), '#'), ' ')
+    assert spark.range(1).select(gaps.alias('g')).first().g == ['#.', '#']
