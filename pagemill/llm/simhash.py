@@ -10,8 +10,9 @@ flipped; two differ in at most 2 bits if and only if they share such a point, an
 
 :func:`similar_groups` is for whole texts of some similarity, where many bits differ: buckets come from blocks of a long
 fingerprint over word pairs and from min-hash bands of the shingles asked for. A loose Hamming limit on a long fingerprint
-over the distinct shingles sorts out what is far apart; it makes candidate groups, never a link. Pairs of large buckets are
-compared in slices, and only a spanning forest of the candidates leaves a task. The texts of a candidate group, one of
+over the distinct shingles sorts out what is far apart; it makes candidate groups, never a link. A bucket is compared in one
+place, in pairs of slices if it is large, and only a spanning forest of its candidates leaves the task: rows grow with the
+entries of buckets, never with their pairs. The texts of a candidate group, one of
 each class, are then read again, and all its pairs within the limit are verified by the exact Jaccard similarity of their
 shingles, unless verified links already connect them.
 
@@ -25,10 +26,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -241,35 +241,44 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tab
     keyed = materialise(keyed.join(sizes, ["t", "key"]), "long-buckets")
     bits = classes.select("node", "bits")
 
-    cold = keyed.where(F.col("n") <= pair_limit).select("t", "key", "node")
-    pairs = cold.withColumnRenamed("node", "src").join(cold.withColumnRenamed("node", "dst"), ["t", "key"]).where("src < dst").select("src", "dst").distinct()
-    pairs = pairs.join(bits.withColumnsRenamed({"node": "src", "bits": "a"}), "src").join(bits.withColumnsRenamed({"node": "dst", "bits": "b"}), "dst")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, lanes) for k in (2, 3))
-            near = pa.array(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= limit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(near)
-
-    links = pairs.select("src", "dst", "a", "b").mapInArrow(verify, "src long, dst long")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "node"]).reset_index(drop=True)
-        first = int((pdf["side"] == 0).sum())
-        rows = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(-1, lanes)
-        edges = _forest(rows, limit, first if first < len(pdf) else None)
-        node = pdf["node"].to_numpy()
-        return pd.DataFrame({"src": [node[i] for i, _ in edges], "dst": [node[j] for _, j in edges]}, dtype="int64")
-
-    # a large bucket is cut into slices; each pair of slices is a group of its own
-    hot = keyed.where(F.col("n") > pair_limit).withColumn("slices", F.ceil(F.col("n") / slice_rows))
-    hot = hot.withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None  # the rows of a group that may go on in the next batch
+        for table in chain(batches, [None]):
+            if table is None and left is None:
+                return
+            last = table is None
+            table = left if last else table if left is None else pa.Table.from_batches([left, table]).combine_chunks().to_batches()[0]
+            if not table.num_rows:
+                continue
+            key = np.stack([table.column(k).to_numpy() for k in range(4)])
+            starts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1])
+            ends = np.append(starts[1:], table.num_rows)
+            left = None
+            if not last:
+                left, starts, ends = table.slice(int(starts[-1])), starts[:-1], ends[:-1]
+            if not len(starts):
+                continue
+            node, side = table.column(4).to_numpy(), table.column(5).to_numpy()
+            bits = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint64).reshape(-1, lanes)
+            two = starts[ends - starts == 2]
+            two = two[np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1, dtype=np.int64) <= limit]
+            edges = [(two, two + 1)]
+            for begin, end in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+                first = int((side[begin:end] == 0).sum())
+                if found := _forest(bits[begin:end], limit, first if first < end - begin else None):
+                    edges.append(tuple(np.array(found).T + begin))
+            yield pa.RecordBatch.from_arrays([pa.array(node[np.concatenate([e[k] for e in edges])]) for k in (0, 1)], ["src", "dst"])
+
+    # a bucket leaves the edges of a forest, never its pairs; a large one is cut into slices, each two of which are a group
+    cut = F.when(F.col("n") <= pair_limit, F.lit(1).cast("long")).otherwise(F.ceil(F.col("n") / slice_rows))
+    met = keyed.withColumn("slices", cut).withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")))
     mates = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("lo"), F.greatest(k, F.col("own")).alias("hi")))
-    hot = hot.select("t", "key", "node", "own", F.explode(mates).alias("m")).select("t", "key", "m.lo", "m.hi", "node", F.when(F.col("own") == F.col("m.lo"), 0).otherwise(1).alias("side"))
-    forest = hot.join(bits, "node").groupBy("t", "key", "lo", "hi").applyInPandas(compare, "src long, dst long")
+    met = met.select("t", "key", "node", "own", F.explode(mates).alias("m")).select("t", "key", "m.lo", "m.hi", "node", F.when(F.col("own") == F.col("m.lo"), 0).otherwise(1).alias("side"))
+    met = met.join(bits, "node").select("t", "key", "lo", "hi", "node", "side", "bits").repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi", "side", "node")
+    links = met.mapInArrow(compare, "src long, dst long")
 
     # all of a candidate group is compared, in slices of bounded rows and shingles
-    groups = connected_components(links.unionByName(forest)).withColumnRenamed("component", "part")
+    groups = connected_components(links).withColumnRenamed("component", "part")
     members = classes.select("node", "sign", "n_shingles").join(groups, "node")
     slices = members.groupBy("part").agg(F.ceil(F.greatest(F.count(F.lit(1)) / slice_rows, F.sum("n_shingles") / slice_shingles)).alias("slices"))
     members = members.join(slices, "part").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")))

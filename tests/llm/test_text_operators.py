@@ -156,6 +156,20 @@ def test_similar_groups(docs):
         assert out == {i: i // 10 * 10 for i, _ in given}
 
 
+def test_similar_groups_links_grow_with_rows(docs, monkeypatch):
+    """A bucket of near copies leaves a forest, not its pairs: 30 texts have 435 of these."""
+    from pagemill.llm import simhash
+
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    given = [(i, " ".join([*base[: 10 * i], "other", *base[10 * i + 1 :]])) for i in range(30)]
+    counts, whole = [], simhash.connected_components
+    monkeypatch.setattr(simhash, "connected_components", lambda links: (counts.append(links.distinct().count()), whole(links))[1])
+    out = {r.component_id for r in simhash.similar_groups(docs(given)).collect()}
+    assert out == {0}
+    assert 29 <= counts[0] <= 300
+
+
 def test_similar_groups_block_edits(docs):
     """Appended, truncated and replaced blocks at 0.8 to 0.9 are linked, those just under 0.8 aren't."""
     from pagemill.llm.simhash import similar_groups
