@@ -80,3 +80,11 @@ def test_scans_skip_no_match(spark):
                 assert row.plain == row.skipping, row.text
     gaps = F.split(F.regexp_replace(F.lit('Plain words without numbers. More'), java(patterns.NO_LABEL), '#'), ' ')
     assert spark.range(1).select(gaps.alias('g')).first().g == ['#.', '#']
+
+
+def test_findings_read_twice_are_written_once(spark):
+    from pagemill.plans.audit_queries import findings
+
+    found = findings(spark, "/root/testdata/sf0.001", reread=True)
+    for name in ("contradictions", "references", "requirements", "entity_conflicts", "ambiguities"):
+        assert all(f"/{name.replace('_', '-')}-" in f for f in found[name].inputFiles()), name
