@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import patterns
-from pagemill.functions.scan import found, java, matches
+from pagemill.functions.scan import found, java, matches, re2
 from pagemill.operators import audit, entities
 
 SCHEMA = "doc_id long, page int, chunk_index int, text string"
@@ -82,6 +82,26 @@ def test_scans_skip_no_match(spark):
     assert spark.range(1).select(gaps.alias('g')).first().g == ['#.', '#']
 
 
+def test_ascii_texts_are_searched_by_re2(spark):
+    """Both engines find the same: each text is searched as it is, by RE2, and with a letter behind it that sends it to Java's."""
+    texts = ["Section 3.1 Terms\nThe discount is 5%. The unit budget is $1,204. The ship\x0bdate is 1994-02-03. The system shall not encrypt class A data. REQ-1: holds. See Section 4.1. It may change soon. TODO", "SEC. 4\r\n\tfigure 2: a\x1cReq 3\x1f REQ 4 -\n\n 2.3 Next", "The rate\x1cis 5 s, due Q1 2024; as needed [insert name] __ TBD", "a\x01b\x02 is 7 GB", "", "the service must log  in-out and will not log out"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    patterns_ = [(p, "i", 2) for p in (patterns.NUMERIC, patterns.DATE, patterns.MONEY, patterns.POSITIVE, patterns.NEGATIVE)] + [(p, flags, 1) for _, flags, p in patterns.DEFINITIONS] + [(p, "i", 1) for p in (*patterns.REFERENCES.values(), patterns.REQUIREMENT)] + [(patterns.PLACEHOLDER, "i", 0)]
+    some = 0
+    for pattern, flags, groups in patterns_:
+        assert re2(java(pattern, flags)) is not None, pattern
+        for scan in (found, matches):
+            by = lambda text: scan(text, java(pattern, flags), groups)  # noqa: B023, E731
+            for row in frame.select("text", by(F.col("text")).alias("ascii"), by(F.concat("text", F.lit("#\u00e9"))).alias("other")).collect():
+                assert row.ascii == row.other, (pattern, row.text)
+                some += len(row.ascii)
+        plan = frame.select(found(F.col("text"), java(pattern, flags), groups))._jdf.queryExecution().toString()
+        assert "ArrowEvalPython" in plan
+    assert some > 50
+    for other in (r"a$", r"(?=a)b", r"a++", r"[a&&b]", r"\p{L}", r"\S", r"[a[b]]", "\u00e9", r"(a)\1"):
+        assert re2(java(other)) is None, other
+
+
 def test_findings_read_twice_are_written_once(spark):
     from pagemill.plans.audit_queries import findings
 
