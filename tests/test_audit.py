@@ -102,6 +102,20 @@ def test_ascii_texts_are_searched_by_re2(spark):
         assert re2(java(other)) is None, other
 
 
+def test_findings_that_differ_are_merged_without_meeting(frame):
+    """Values so long that summaries are alike in their first characters are merged, as are duties; others aren't shuffled by summary."""
+    long = "1" * 60
+    chunks = frame([(1, f"The rate is {long}1. The size is 5 GB."), (2, f"The rate is {long}2. The size is 6 GB."), (3, f"The rate is {long}3. The SIZE is 5 gb."), (4, "The size is 7 GB.")])
+    found = audit.contradictions(chunks)
+    whole = audit.merged(audit.as_findings(audit.conflict_pairs(audit.occurrences(chunks))))
+    rows = lambda f: sorted(map(tuple, f.collect()))
+    assert rows(found) == rows(whole)
+    assert [r.summary[:30] for r in found.orderBy("ord").collect()].count("Numerical conflict for 'The ra") == 2
+    assert audit.conflict_pairs(audit.occurrences(chunks)).count() == 3 + 5
+    taking = audit.taking_part(audit.occurrences(chunks)).where("kind = 'numerical'").groupBy("key").agg(F.bool_or("wide").alias("wide"), F.bool_and("wide").alias("all"))
+    assert {r.key: (r.wide, r.all) for r in taking.collect()} == {"the rate": (True, True), "the size": (False, False)}
+
+
 def test_findings_read_twice_are_written_once(spark):
     from pagemill.plans.audit_queries import findings
 
