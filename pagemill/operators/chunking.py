@@ -74,6 +74,13 @@ def sentence_places(text: str, parts: list[str], offset: int) -> list[tuple[int,
     return out
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches as slices of some rows, so that what is made of a slice is held in Python at once, not that of a whole batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunk_documents(pages: DataFrame, size: int = 500, overlap: int = 50, tokens: Callable[[Column], Column] = token_estimate) -> DataFrame:
     """Chunks of ``pages`` (doc_id, page, text): the fields of ``CHUNKS`` and chunk_id.
 
@@ -88,7 +95,7 @@ def chunk_documents(pages: DataFrame, size: int = 500, overlap: int = 50, tokens
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split(" ")[0] for f in CHUNKS.split(", ")]
         kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[f.split(" ")[1]] for f in CHUNKS.split(", ")]
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
             for doc_id, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 texts, counts, pages_at, places, offset = [], [], [], [], 0
@@ -112,7 +119,7 @@ def chunk_documents(pages: DataFrame, size: int = 500, overlap: int = 50, tokens
 
 def _placed_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, page, text, parts, tokens, number of the first sentence, first character) -> a row a sentence."""
-    for batch in batches:
+    for batch in in_slices(batches):
         _, pages, texts, parts, tokens, numbers, offsets = (c.to_pylist() for c in batch.columns)
         source, rows = [], []
         for row in range(batch.num_rows):

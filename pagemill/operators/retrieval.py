@@ -27,10 +27,13 @@ def _ranked(frame: DataFrame, score: str, ties: list[str], k: int, name: str) ->
     return frame.withColumn(name, F.row_number().over(order)).where(F.col(name) <= k)
 
 
-def _nearest(asked: list[tuple], k: int, scoped: bool):
-    """A map over batches of (chunk_id, vector, doc_id): query number, chunk_id, similarity of the best ``k`` a query in each."""
+def _nearest(asked: list[tuple], k: int, at_once: int = 64):
+    """A map over batches of (chunk_id, vector, numbers): query number, chunk_id, similarity of the best ``k`` a query in each.
+
+    ``asked``: (query_id, vector, bound). ``numbers``: the bound queries that may search the chunk. Some queries at a time meet a batch.
+    """
     wanted = np.array([vector for _, vector, _ in asked], np.float64)
-    scopes = [None if documents is None else frozenset(documents) for _, _, documents in asked]
+    bound = np.array([bool(b) for _, _, b in asked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -39,18 +42,22 @@ def _nearest(asked: list[tuple], k: int, scoped: bool):
                 continue
             vectors = batch.column(1).drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
             ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
-            scores = np.round(np.clip(wanted @ vectors.T, 0.0, 1.0), PLACES)
-            if scoped:
-                documents = [batch.column(2)[int(i)].as_py() for i in at]
-                for row, scope in zip(scores, scopes, strict=True):
-                    if scope is not None:
-                        row[[d not in scope for d in documents]] = -1.0
             ties = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-            order = np.lexsort((np.broadcast_to(ties, scores.shape), -scores), axis=1)[:, :k] if len(ids) > k else np.broadcast_to(np.arange(len(ids)), scores.shape)
-            number = np.repeat(np.arange(len(scores), dtype=np.int32), order.shape[1])
-            best = np.take_along_axis(scores, order, axis=1).ravel()
-            fits = best >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(number[fits]), pa.array(ids[order].ravel()[fits]), pa.array(best[fits])], ["number", "chunk_id", "similarity"])
+            lists = batch.column(2).take(pa.array(at))
+            numbers = lists.flatten().to_numpy(zero_copy_only=False)
+            places = np.repeat(np.arange(len(at)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            for first in range(0, len(wanted), at_once):
+                scores = np.round(np.clip(wanted[first : first + at_once] @ vectors.T, 0.0, 1.0), PLACES)
+                if bound[first : first + at_once].any():
+                    barred = np.repeat(bound[first : first + at_once, None], len(at), axis=1)
+                    own = (numbers >= first) & (numbers < first + at_once)
+                    barred[numbers[own] - first, places[own]] = False
+                    scores[barred] = -1.0
+                order = np.lexsort((np.broadcast_to(ties, scores.shape), -scores), axis=1)[:, :k] if len(ids) > k else np.broadcast_to(np.arange(len(ids)), scores.shape)
+                number = np.repeat(np.arange(first, first + len(scores), dtype=np.int32), order.shape[1])
+                best = np.take_along_axis(scores, order, axis=1).ravel()
+                fits = best >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(number[fits]), pa.array(ids[order].ravel()[fits]), pa.array(best[fits])], ["number", "chunk_id", "similarity"])
 
     return run
 
@@ -67,15 +74,20 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int = 30, allowed: di
         chunks = chunks.where(F.col(column).isin(values))
     asked = queries.where("vector is not null").select("query_id", "vector")
     if scope is not None:
-        asked = asked.join(scope.groupBy("query_id").agg(F.collect_set("doc_id").alias("documents")), "query_id", "left")
+        asked = asked.join(scope.select("query_id", F.lit(True).alias("bound")).distinct(), "query_id", "left")
     else:
-        asked = asked.withColumn("documents", F.lit(None).cast("array<long>"))
+        asked = asked.withColumn("bound", F.lit(False))
     kept = chunks.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), "doc_id")
     found = []
 
     def search(rows: list[tuple]) -> None:
-        hits = kept.mapInArrow(_nearest(rows, k, scope is not None), f"number int, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, similarity double")
         numbers = spark.createDataFrame([(n, row[0]) for n, row in enumerate(rows)], f"number int, query_id {queries.schema['query_id'].dataType.simpleString()}")
+        if scope is not None:  # a document holds the numbers of its queries, a block of them at most; no task holds a query's documents
+            own = scope.join(F.broadcast(numbers), "query_id").groupBy("doc_id").agg(F.collect_set("number").alias("numbers"))
+            met = kept.join(own, "doc_id", "left").select("chunk_id", "vector", "numbers")
+        else:
+            met = kept.select("chunk_id", "vector", F.lit(None).cast("array<int>").alias("numbers"))
+        hits = met.mapInArrow(_nearest(rows, k), f"number int, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, similarity double")
         hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("number").orderBy(F.col("similarity").desc(), "chunk_id"))).where(F.col("rank") <= k)
         found.append(hits.join(F.broadcast(numbers), "number").select("query_id", "chunk_id", "similarity", "rank"))
 

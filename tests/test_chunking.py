@@ -65,3 +65,24 @@ def test_scoped_search(spark):
     assert rows(scope=scope, block=1) == [(7, 1, "c0", 1.0), (7, 2, "c1", 1.0), (8, 1, "c2", 0.6)]
     assert rows(allowed={"doc_id": [2]}) == [(7, 1, "c2", 0.6), (8, 1, "c2", 0.6)]
     assert dense_search(queries.limit(0), chunks).count() == 0 and dense_search(queries, chunks.limit(0)).count() == 0
+
+
+def test_scope_of_many_documents_goes_with_the_chunks(spark):
+    """Scopes reach a task with its chunks, block by block of queries: what is sent with the code doesn't grow with them."""
+    from pagemill.operators import retrieval
+
+    chunks = spark.createDataFrame([(f"c{i}", i % 50 if i % 7 else None, 1, "t", [1.0, float(i % 9)] if i % 11 else None) for i in range(400)], "chunk_id string, doc_id long, page int, text string, vector array<double>")
+    queries = spark.createDataFrame([(q, [1.0, q / 70]) for q in range(130)], "query_id int, vector array<double>")
+    scope = spark.createDataFrame([(q, d) for q in range(0, 130, 2) for d in range(q % 4, 50, 4)] + [(4, None), (5, None)], "query_id int, doc_id long")
+    allowed = {}
+    for q, d in map(tuple, scope.collect()):
+        allowed.setdefault(q, set()).add(d)
+    want = []
+    for q, vector in map(tuple, queries.collect()):
+        scored = [(-round(min(max(c.vector[0] * vector[0] + c.vector[1] * vector[1], 0.0), 1.0), 9), c.chunk_id) for c in chunks.where("vector is not null").collect() if q not in allowed or c.doc_id is not None and c.doc_id in allowed[q]] if q < 12 else None
+        want += [] if scored is None else [(q, rank + 1, chunk) for rank, (_, chunk) in enumerate(sorted(scored)[:3])]
+    for block in (2048, 100):
+        found = retrieval.dense_search(queries, chunks, k=3, scope=scope, block=block).where("query_id < 12")
+        assert sorted((r.query_id, r.rank, r.chunk_id) for r in found.collect()) == want
+    found = retrieval.dense_search(queries.where("query_id < 2"), chunks, k=3, scope=scope)
+    assert found.count() == 6
