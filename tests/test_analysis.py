@@ -30,6 +30,17 @@ def test_analyze_corpus(spark):
     assert out[2]["summary"]["executive_summary"] == "Document is processing." and out[2]["review"]["open_questions"] == []
 
 
+def test_analysis_meets_once(spark):
+    """Lists, scores and reports of a document meet in one shuffle, not in a join each; rows without document join nothing."""
+    text = spark.createDataFrame([(1, 1, 0, "The retention period is 30%."), (None, 1, 0, "See Section 9.9.")], CHUNKS)
+    ids = spark.createDataFrame([(1,), (None,)], "doc_id long")
+    out = analysis.analyze_corpus(ids, text, spark.createDataFrame([], FACTS), spark.createDataFrame([], ENTITIES))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 1 and plan.count("Window ") == 0
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert set(rows) == {1, None} and rows[None]["references"] == [] and rows[None]["summary"]["executive_summary"] == "Document is processing."
+
+
 def test_explained_and_ids(spark):
     row = [(7, "date", "Due date", "May 1, 2024", 1, "May 2, 2024", 3, "a", "b")]
     given = spark.createDataFrame(row, "doc_id long, type string, label string, value_a string, page_a int, value_b string, page_b int, snippet_a string, snippet_b string")
