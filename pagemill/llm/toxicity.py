@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 from zlib import crc32
 
 import numpy as np
@@ -28,6 +29,7 @@ from pagemill.session import discard, materialise, ship_code
 
 WORD = re.compile(r"\w+")
 MAX_WORDS = 400_000
+AT_ONCE = 1 << 18
 
 
 def words_of(text: str | None) -> list[str]:
@@ -62,24 +64,25 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, buckets: int = 1 <<
     of a text's words, which is small where few of them matter.
     """
     vocabulary: dict[str, int] = {}
-    docs, cols = array("i"), array("i")
-    for i, text in enumerate(texts):
-        found = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
-        cols.extend(found)
-        docs.extend([i] * len(found))
-    doc, word = np.array(docs, np.int64), np.array(cols, np.int64)
-    del docs, cols
-    per_doc = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
-    key, count = np.unique(doc * len(vocabulary) + word, return_counts=True)
-    doc, word = (x.astype(np.int32) for x in np.divmod(key, max(len(vocabulary), 1)))
-    weight = (scale * count / per_doc[doc]).astype(np.float32)
+    # a text's words are counted as it is read: what is held grows with its distinct words
+    cols, counts, distinct, per_doc = array("i"), array("i"), array("i"), array("i")
+    for text in texts:
+        found = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)), np.int32)
+        own, count = np.unique(found, return_counts=True)
+        cols.frombytes(own.tobytes())
+        counts.frombytes(count.astype(np.int32).tobytes())
+        distinct.append(len(own))
+        per_doc.append(max(len(found), 1))
+    doc, word = np.repeat(np.arange(len(texts), dtype=np.int32), np.array(distinct, np.int32)), np.array(cols, np.int32)
+    weight = (scale * np.array(counts, np.int64) / np.array(per_doc, np.int64)[doc]).astype(np.float32)
+    del cols, counts
     grams, sizes = array("i"), array("i")
     for w in vocabulary:
         own = ngram_buckets(w, buckets)
         grams.extend(own)
         sizes.append(len(own))
     n_words = len(vocabulary)
-    del vocabulary, key, count
+    del vocabulary
     gram, sizes = np.array(grams, np.int32), np.array(sizes, np.int32)
     del grams
     owner = np.repeat(np.arange(n_words, dtype=np.int32), sizes)
@@ -89,20 +92,25 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, buckets: int = 1 <<
     met = np.bincount(gram, texts_of_word[owner], buckets)
     keep = met[gram] >= max(2, round(least_share * len(texts)))
     gram, owner = gram[keep], owner[keep]
-    used, gram = np.unique(gram, return_inverse=True)
-    gram = gram.astype(np.int32)
+    held = np.bincount(gram, minlength=buckets) > 0
+    used, gram = np.flatnonzero(held), (np.cumsum(held, dtype=np.int32) - 1)[gram]
     share = (1 / sizes).astype(np.float32)[owner]
 
     def pooled(index: np.ndarray, source: np.ndarray, factor: np.ndarray, n: int):
-        """values -> for each index, the sum of factor * values[source]; the order is made once."""
+        """values -> for each index, the sum of factor * values[source]; the order is made once, sums by blocks of about ``AT_ONCE`` terms."""
         order = np.argsort(index, kind="stable")
-        at, starts = np.unique(index[order], return_index=True)
+        sizes = np.bincount(index, minlength=n)
+        at = np.flatnonzero(sizes)
+        ends = np.cumsum(sizes[at])
+        starts = ends - sizes[at]
         source, factor = source[order], factor[order, None]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(starts // AT_ONCE)) + 1, [len(at)]]) if len(at) else np.zeros(1, np.int64)
 
         def run(values: np.ndarray) -> np.ndarray:
             out = np.zeros((n, values.shape[1]), np.float32)
-            if len(at):
-                out[at] = np.add.reduceat(values[source] * factor, starts, axis=0)
+            for low, high in pairwise(cuts.tolist()):
+                first, end = starts[low], ends[high - 1]
+                out[at[low:high]] = np.add.reduceat(values[source[first:end]] * factor[first:end], starts[low:high] - first, axis=0)
             return out
 
         return run
