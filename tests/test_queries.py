@@ -47,3 +47,9 @@ def test_registry():
     import __spark_entry__
 
     assert set(ORACLE_SQL) <= set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_review_report_reads_written_findings(spark):
+    """References, disagreements and vague words are found once: deductions and lists read what was written."""
+    files = QUERIES["review_report"](spark, SF).inputFiles()
+    assert all(any(f"/{kind}-" in f for f in files) for kind in ("references", "entity-conflicts", "ambiguities"))
