@@ -204,17 +204,19 @@ def verified_links(bits: np.ndarray, shingles: list[np.ndarray], limit: int, sim
     return links
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 24, table_bits: int = 20, lanes: int = 8, pair_limit: int = 32, slice_rows: int = 512, bands: int = 16, band_rows: int = 5, slice_shingles: int = 1 << 21) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 24, table_bits: int = 20, lanes: int = 8, pair_limit: int = 32, slice_rows: int = 512, bands: int = 20, band_rows: int = 5, slice_shingles: int = 1 << 21) -> DataFrame:
     """(doc_id, component_id) of each row of ``docs``; texts linked by pairs of the similarity share the smallest id.
 
-    Two texts with Jaccard similarity J of their distinct shingles meet in a band with probability 1 - (1 - J**5)**16:
-    0.998 at 0.8, wherever they differ. The cosine of their shingles is 2J/(1+J) or more and a bit differs with
+    Two texts with Jaccard similarity J of their distinct shingles meet in a band with probability 1 - (1 - J**5)**20:
+    0.9996 at 0.8, wherever they differ. Blocks have ``table_bits`` bits or more, by the number of rows, so that the share of
+    texts that meet by chance doesn't grow with the table. The cosine of their shingles is 2J/(1+J) or more and a bit differs with
     probability arccos(cosine)/pi at most; the limit lies 6 standard deviations above that, for sets so small that bits tie.
     """
     spark = docs.sparkSession
     ship_code(spark)
     differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
     limit = math.floor(64 * lanes * differs + 6 * math.sqrt(64 * lanes * differs * (1 - differs)))
+    table_bits = min(max(table_bits, docs.count().bit_length() + 5), 62)
     key_lanes = -(-tables * table_bits // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

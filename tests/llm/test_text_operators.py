@@ -170,6 +170,18 @@ def test_similar_groups_links_grow_with_rows(docs, monkeypatch):
     assert 29 <= counts[0] <= 300
 
 
+def test_similar_groups_chance_meetings(docs, monkeypatch):
+    """Texts that have nothing in common meet in few buckets, however many they are."""
+    from pagemill.llm import simhash
+
+    rng = random.Random(9)
+    given = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))) for i in range(600)]
+    met, write = {}, simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, label: met.setdefault(label, write(df, label)))
+    assert simhash.similar_groups(docs(given), table_bits=6).where("doc_id <> component_id").count() == 0
+    assert met["long-buckets"].count() <= 0.1 * 24 * 600
+
+
 def test_similar_groups_block_edits(docs):
     """Appended, truncated and replaced blocks at 0.8 to 0.9 are linked, those just under 0.8 aren't."""
     from pagemill.llm.simhash import similar_groups
