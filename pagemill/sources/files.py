@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pagemill.functions.text import title_of
-from pagemill.session import materialise
+from pagemill.session import materialise, ship_code
 
 
 def resolve_format(name: Column, mime: Column) -> Column:
@@ -47,6 +49,39 @@ def file_documents(spark: SparkSession, path: str, prefix: str = "") -> tuple[Da
     return documents, files.where("format is null or format in ('pdf', 'docx')").select("path", "name", "format", "length")
 
 
+def write_files(pages: DataFrame, base: str, order: list[str]) -> int:
+    """Files below ``base`` from ``pages`` (key, text, ...): a file a key, its texts in ``order``, a form feed after each. How many there are.
+
+    ``key`` is the path below ``base``. Tasks write with Arrow's file systems, a page at a time, straight to the file's name:
+    a file costs an open and a close, and a task that runs again writes the same file.
+    """
+    ship_code(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(base)
+        at, out, made, folders = None, None, 0, set()
+        try:
+            for batch in batches:
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if key != at:
+                        if out:
+                            out.close()
+                        if (folder := f"{root}/{key}".rsplit("/", 1)[0]) not in folders:
+                            store.create_dir(folder, recursive=True)
+                            folders.add(folder)
+                        at, out, made = key, store.open_output_stream(f"{root}/{key}"), made + 1
+                    out.write((text.as_py() or "").encode() + b"\f")
+        finally:
+            if out:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64())], ["made"])
+
+    placed = pages.where("key is not null").repartition("key").sortWithinPartitions("key", *order).select("key", "text")
+    return placed.mapInArrow(run, "made long").agg(F.coalesce(F.sum("made"), F.lit(0))).first()[0]
+
+
 def sanitised(metadata: Column) -> Column:
     """A map of strings without nulls."""
     return F.map_filter(metadata, lambda _, v: v.isNotNull())

@@ -116,3 +116,34 @@ def test_scored_by(spark):
     hits = spark.createDataFrame([(1, 1, "c0", 0, 2, "y" * 130, 0.7, 0.6, 0.5, 0.4), (1, 2, "c1", 9, 1, "short", 0.3, None, None, None)], "query_id long, rank int, chunk_id string, doc_id long, page int, text string, score double, similarity double, keyword double, hybrid double")
     out = [(r.document_name, r.hybrid_score, r.similarity_score, r.keyword_score, r.preview) for r in retrieval.diagnostics(hits, names).orderBy("rank").collect()]
     assert out == [("Zero", 0.4, 0.6, 0.5, "y" * 120 + "..."), ("9", 0.3, 0.3, 0.0, "short")]
+
+
+def test_write_files(spark):
+    """Files keep their names, so a task that runs again writes no second one; pages come in order, nulls count as empty."""
+    from pagemill.sources.files import write_files
+
+    base = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="spark-"))
+    rows = spark.createDataFrame([("a/x.txt", 2, "zwei"), ("a/x.txt", 1, "éins"), ("b/c/y.txt", 3, None), (None, 4, "lost")], "key string, n int, text string")
+    for _ in range(2):
+        assert write_files(rows.repartition(3), base, ["n"]) == 2
+        root = base.removeprefix("file://")
+        found = {os.path.relpath(os.path.join(d, f), root): open(os.path.join(d, f), "rb").read() for d, _, fs in os.walk(root) for f in fs}
+        assert found == {"a/x.txt": "éins\fzwei\f".encode(), "b/c/y.txt": b"\f"}
+    assert write_files(rows.where("false"), base, ["n"]) == 0
+
+
+def test_stream_of_shelves_batches(spark, monkeypatch):
+    """The number of micro-batches is bounded, however many files there are; odd names of sources come back whole."""
+    from pagemill.plans import file_queries
+
+    root = tempfile.mkdtemp(prefix="spark-")
+    docs = spark.range(2400).selectExpr("id * 100 as doc_id", "'t' as text", "if(id = 0, 'a/b c:+%', 'src1') as source")
+    docs.write.parquet(f"{root}/documents.parquet")
+    asked, rows = [], file_queries.parsers.file_rows
+    monkeypatch.setattr(file_queries.parsers, "file_rows", lambda *a, **k: (asked.append(k["files_a_batch"]), rows(*a, **k))[1])
+    monkeypatch.setattr(file_queries.streams, "drained", lambda stream: stream)
+    file_queries.stream_parsed_files(spark, root)
+    assert 1201 / asked[0] <= 25
+    assert {r.source for r in file_queries.listed_files(spark, root).collect()} == {"src1"}
+    monkeypatch.undo()
+    assert {r.source for r in file_queries.parsed_files(spark, root).select("source").distinct().collect()} == {"a/b c:+%", "src1"}
