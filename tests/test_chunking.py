@@ -86,3 +86,25 @@ def test_scope_of_many_documents_goes_with_the_chunks(spark):
         assert sorted((r.query_id, r.rank, r.chunk_id) for r in found.collect()) == want
     found = retrieval.dense_search(queries.where("query_id < 2"), chunks, k=3, scope=scope)
     assert found.count() == 6
+
+
+def test_batches_are_bounded(spark):
+    """Python gets Arrow batches of some megabytes, however wide the rows are; a session's own bound stays."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from pagemill.session import ship_code
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    ship_code(spark)
+    wide = spark.range(4000, numPartitions=1).select("id", F.repeat(F.lit("0123456789"), 1000).alias("text"))
+    assert wide.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 9 << 20
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1m")
+    ship_code(spark)
+    assert spark.conf.get(name) == "1m"
+    spark.conf.set(name, before)
