@@ -164,3 +164,14 @@ def test_mentions_on_one_page_stay_in_order(spark):
     row = merged.first()
     assert [(m.page, m.snippet) for m in row.mentions] == [(1, "pays $8"), (1, "owes $7"), (2, "pays $9")] and (row.entity, row.confidence, row.related) == ("Fee", 0.7, ["x"])
     assert (entities.mention_conflicts(merged).first().value_a, entities.mention_conflicts(merged).first().value_b) == ("$8", "$7")
+
+
+def test_prompt_batches_many_documents(spark):
+    """Documents share calls into Python: no group of them is a call; null texts count as empty."""
+    from pagemill.operators.pairs import prompt_batches
+
+    rows = spark.range(2000).selectExpr("id as doc_id", "1 as ord", "2 as page", "if(id = 5, null, 'x') as text")
+    made = prompt_batches(rows)
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.doc_id, r.batch, r.n_segments, r.chars) for r in made.where("doc_id in (4, 5)").collect()} == {(4, 0, 1, 1), (5, 0, 1, 0)}
+    assert made.count() == 2000
