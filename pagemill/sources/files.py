@@ -115,10 +115,10 @@ def delete(chunks: DataFrame, filters: dict[str, object]) -> DataFrame:
     return chunks.where(~F.coalesce(matching(filters), F.lit(False)))
 
 
-def write_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Chunks as Parquet, partitioned by a hash of the document; only the partitions at hand are replaced."""
+def write_chunks(chunks: DataFrame, path: str, buckets: int = 64, mode: str = "overwrite") -> None:
+    """Chunks as Parquet, partitioned by a hash of the document; only the partitions at hand are replaced, or added to (``append``)."""
     bucketed = chunks.withColumn("doc_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    bucketed.repartition("doc_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
+    bucketed.repartition("doc_bucket").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
 
 
 def _fingerprint(rows: DataFrame) -> DataFrame:
@@ -141,12 +141,19 @@ def read_back(written: DataFrame, path: str, buckets: int = 64) -> DataFrame:
     return joined.select("doc_bucket", "expected", F.coalesce("found", F.lit(0)).alias("found"))
 
 
+def _files(placed: DataFrame) -> list[str]:
+    """The files of ``placed`` (doc_id, file): of a chunk table one for each bucket and write."""
+    return [row[0] for row in placed.select("file").distinct().collect()]
+
+
 def replace_in(spark: SparkSession, chunks: DataFrame, documents: DataFrame, path: str, buckets: int = 64, failures: str | None = None) -> None:
     """Replace the chunks of ``documents`` (doc_id) in the table that :func:`write_chunks` keeps at ``path`` by ``chunks``.
 
-    Partitions that hold such documents are read once; their other rows are written back with the new ones. The rows are
-    written aside first, as a table can't be read while it is replaced. Without a table, one is made. With ``failures``, what
-    was written is read back, and buckets that lack it are appended to the table there (:func:`read_back`).
+    Files that hold such documents are read once; their other rows are added with the new ones as new files, then those
+    files go. All other files stay as they are, so documents that the table lacks are only added. A run that broke off
+    before files went is mended by the next one. Without a table, one is made. With ``failures``, whole partitions are
+    replaced, written aside first; they are read back, and those that lack what was written are appended to the table
+    there (:func:`read_back`).
     """
 
     def verified(written: DataFrame) -> None:
@@ -161,6 +168,22 @@ def replace_in(spark: SparkSession, chunks: DataFrame, documents: DataFrame, pat
         verified(chunks)
         return
     old = spark.read.schema(StructType([*chunks.schema.fields, StructField("doc_bucket", LongType())])).parquet(path)
+    if not failures:
+        placed = old.select("doc_id", F.col("_metadata.file_path").alias("file"))
+        held = _files(placed.join(documents.distinct(), "doc_id", "left_semi"))
+        if not held:
+            write_chunks(chunks, path, buckets, "append")
+            return
+        # a document lies in one file; if two hold it, a run broke off there, and what it had added is there twice
+        shared = placed.join(placed.where(F.col("file").isin(held)).select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+        gone = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f)) for f in _files(shared)]
+        kept = spark.read.schema(old.schema).option("basePath", path).parquet(*(f.toString() for f in gone)).join(documents, "doc_id", "left_anti").drop("doc_bucket")
+        if not shared.groupBy("doc_id").count().where("count > 1").isEmpty():
+            kept = kept.dropDuplicates(["chunk_id"] if "chunk_id" in kept.columns else None)
+        write_chunks(kept.unionByName(chunks), path, buckets, "append")
+        for file in gone:
+            file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, False)
+        return
     touched = documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("doc_bucket")).distinct()
     kept = old.join(F.broadcast(touched), "doc_bucket", "left_semi").join(documents, "doc_id", "left_anti").drop("doc_bucket")
     new = materialise(kept.unionByName(chunks), "replaced-chunks")

@@ -133,3 +133,35 @@ def test_late_rows_and_state_across_batches(spark):
 def test_delete_leaves_rows_without_value(spark):
     rows = spark.createDataFrame([(1, "x"), (2, None)], "doc_id long, text string")
     assert [r["doc_id"] for r in files.delete(rows, {"text": "x"}).collect()] == [2]
+
+
+def test_replace_in_leaves_other_files(spark):
+    """New documents are only added, and of old ones only their files are written anew; a run that broke off leaves nothing twice."""
+    import glob
+    import os
+    import shutil
+
+    path = "file://" + tempfile.mkdtemp(prefix="spark-") + "/a table"
+    root = path.removeprefix("file://")
+    rows = lambda ids, text: spark.createDataFrame([(f"{i}-{k}", i, text) for i in ids for k in (0, 1)], "chunk_id string, doc_id long, text string")
+    put = lambda chunks, ids: files.replace_in(spark, chunks, spark.createDataFrame([(i,) for i in ids], "doc_id long"), path, buckets=4)
+    held = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{root}/*/*.parquet")}
+    read = lambda: sorted(tuple(r) for r in spark.read.parquet(path).select("chunk_id", "text").collect())
+    put(rows(range(40), "a"), range(40))
+    first = held()
+    put(rows(range(40, 80), "b"), range(40, 80))
+    second = held()
+    assert first.items() < second.items()
+    want = {(f"{i}-{k}", "a" if i < 40 else "b") for i in range(80) for k in (0, 1)}
+    assert read() == sorted(want)
+    copies = tempfile.mkdtemp(prefix="spark-")
+    for n, f in enumerate(first):
+        shutil.copy(f, f"{copies}/{n}")
+    put(rows([7, 8], "c").where("doc_id = 8"), [7, 8])  # the one has no chunks any more
+    assert {f: t for f, t in second.items() if f not in first}.items() < held().items()
+    want = {(c, "c" if c[:2] == "8-" else t) for c, t in want if c[:2] != "7-"}
+    assert read() == sorted(want)
+    for n, f in enumerate(first):  # as if the run had broken off before old files went
+        shutil.copy(f"{copies}/{n}", f)
+    put(rows([7, 8], "c").where("doc_id = 8"), [7, 8])
+    assert {r for r in read() if r[1] != "a"} == {r for r in want if r[1] != "a"} and len(set(read())) == len(read())
