@@ -122,3 +122,12 @@ def test_findings_read_twice_are_written_once(spark):
     found = findings(spark, "/root/testdata/sf0.001", reread=True)
     for name in ("contradictions", "references", "requirements", "entity_conflicts", "ambiguities"):
         assert all(f"/{name.replace('_', '-')}-" in f for f in found[name].inputFiles()), name
+
+
+def test_fact_conflicts_read_facts_once(spark):
+    """The facts that both sides of the join read are found once."""
+    rows = [(1, 1, "a", "price", "$1,000", 1, 0.9), (1, 2, " A ", "Price", "1000", 2, 0.9), (1, 3, "a", "price", "2000", 3, 0.7), (1, 4, "a", "price", "2000 ", 4, 0.9)]
+    facts = spark.createDataFrame(rows, "doc_id long, ord int, subject string, predicate string, value string, page int, confidence double")
+    found = entities.fact_conflicts(facts)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window") == 0
+    assert sorted((r.value_a, r.value_b, r.pages, r.severity) for r in found.collect()) == [("$1,000", "2000", [1, 3], "medium"), ("1000", "2000", [2, 3], "medium")]
