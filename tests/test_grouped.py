@@ -75,3 +75,19 @@ def test_semantic_findings_give_way_to_detected_ones(spark):
     assert sorted((r.doc_id, r.type, r.explanation.strip(), r.page) for r in found.collect()) == [(1, "logical", "differs", 1), (1, "numerical", "", 1), (2, "logical", said.strip(), 5)]
     plan = audit.contradictions(chunks, semantic.where("explanation like '%iffers%'"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 2 and plan.count("Window [") == 1 and "Join" not in plan  # as without semantic ones
+
+
+def test_access_scope_of_workspaces_with_documents(spark):
+    """Readers are found for workspaces with documents only, and meet a large one's documents in groups."""
+    from pagemill.operators import workspace
+
+    documents = spark.range(9000).select(F.col("id").alias("document_id"), F.when(F.col("id") < 8990, 1).otherwise(F.col("id") % 3 + 2).cast("long").alias("workspace_id"))
+    spaces = spark.createDataFrame([(1, 7, 10), (2, 7, None), (3, 8, 11), (4, 7, 11), (5, 9, 10)], "workspace_id long, owner_id long, organization_id long")
+    members = spark.createDataFrame([(7, 10, "admin"), (8, 10, "member"), (8, 11, "member")], "user_id long, organization_id long, role string")
+    found = workspace.access_scope(documents, spaces, members)
+    n = {r[0]: r[1] for r in documents.groupBy("workspace_id").count().collect()}
+    want = {(1, 7, "admin"): n[1], (1, 8, "member"): n[1], (2, 7, "admin"): n[2], (3, 8, "member"): n[3], (4, 7, None): n[4], (4, 8, "member"): n[4]}
+    assert {(r[0], r[1], r[2]): r[3] for r in found.groupBy("workspace_id", "user_id", "role").count().collect()} == want
+    assert found.distinct().count() == found.count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.count("pmod") >= 1
